@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from textbench import constants as K
 from textbench.functions.text import UNICODE, null_if_empty, strip, strip_bold
 
-# The seven ways a record is headed. Group 1 is the choice, the
-# last group the text of the record. Both wordings of the record type are read.
+# The seven ways a record is headed. Group 1 is the choice, group 2
+# the text of the record, which holds no # and so ends at the next one or at the
+# end of the response. Both wordings of the record type are read.
 _KIND = r"(?:Correct record|Error record|正しい記録|エラー記録)"
 HEADINGS = [
-    rf"###\s*選択肢\s*([a-e])\s*(?:（.+?）)?\s*から合成した\s*{_KIND}([^#]*?)(?=###\s*選択肢[a-e]|$)",
-    rf"####\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*から合成した\s*{_KIND}([^#]*?)(?=####\s*選択肢[a-e]|###|$)",
-    rf"###\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*から合成した\s*{_KIND}([^#]*?)(?=###\s*選択肢[a-e]|$)",
-    rf"###\s*選択肢\s+([a-e])\s+から合成した\s*{_KIND}([^#]*?)(?=###\s*選択肢\s+[a-e]|$)",
-    rf"####\s*選択肢\s*([a-e])\s*から合成した\s*{_KIND}([^#]*?)(?=####\s*選択肢[a-e]|###|$)",
-    rf"###\s*選択肢\s*([a-e])\s*から合成した\s*{_KIND}(?:\s*[（(][^)）]*[)）])?\s*([^#]*?)(?=###\s*選択肢[a-e]|$)",
-    r"###[#]?\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*(?:から合成した|から合成)?\s*([^#]*?)(?=###[#]?\s*選択肢[a-e]|$)",
+    rf"###\s*選択肢\s*([a-e])\s*(?:（.+?）)?\s*から合成した\s*{_KIND}([^#]*+)(?=###\s*選択肢[a-e]|$)",
+    rf"####\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*から合成した\s*{_KIND}([^#]*+)(?=####\s*選択肢[a-e]|###|$)",
+    rf"###\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*から合成した\s*{_KIND}([^#]*+)(?=###\s*選択肢[a-e]|$)",
+    rf"###\s*選択肢\s+([a-e])\s+から合成した\s*{_KIND}([^#]*+)(?=###\s*選択肢\s+[a-e]|$)",
+    rf"####\s*選択肢\s*([a-e])\s*から合成した\s*{_KIND}([^#]*+)(?=####\s*選択肢[a-e]|###|$)",
+    rf"###\s*選択肢\s*([a-e])\s*から合成した\s*{_KIND}(?:\s*[（(][^)）]*[)）])?\s*([^#]*+)(?=###\s*選択肢[a-e]|$)",
+    r"###[#]?\s*選択肢\s*([a-e])\s*(?:\([^)]*\))?\s*(?:から合成した|から合成)?\s*([^#]*+)(?=###[#]?\s*選択肢[a-e]|$)",
 ]
 # Looser ways to find a single missing choice ({} is its letter),
 # and the section that is then read.
@@ -38,105 +39,127 @@ _NUMBERED = r"(\d+)\.\s*([^\n]+(?:\n(?!\d+\.)[^\n]*+)*+)"
 _FLAGS = "(?Udis)"
 
 
-def _sections(content: Column) -> Column:
-    """First section of each choice under the heading form that finds most choices."""
+_SECTION_TYPE = "array<struct<choice: string, whole: string, body: string, loose: boolean>>"
 
-    def under(pattern):
-        whole = F.regexp_extract_all(content, F.lit(_FLAGS + pattern), F.lit(0))
-        read = F.transform(
-            whole,
-            lambda m: F.struct(
-                F.lower(F.regexp_extract(m, _FLAGS + pattern, 1)).alias("choice"),
-                m.alias("whole"),
-                F.regexp_extract(m, _FLAGS + pattern, 2).alias("body"),
-                F.lit(False).alias("loose"),
-            ),
-        )
-        letters = F.array(*[F.lit(x) for x in K.CHOICES])
-        firsts = F.transform(
-            letters, lambda x: F.get(F.filter(read, lambda s: s["choice"] == x), F.lit(0))
-        )
-        return F.filter(firsts, lambda s: s.isNotNull())
 
-    forms = F.array(*[under(pattern) for pattern in HEADINGS])
+def _section(choice: Column, whole: Column, body: Column, loose: bool) -> Column:
+    return F.struct(
+        choice.alias("choice"),
+        whole.alias("whole"),
+        body.alias("body"),
+        F.lit(loose).alias("loose"),
+    )
+
 
-    # The earlier form stays unless a later one finds strictly more.
-    def better(kept, found):
-        return F.when(F.size(found) > F.size(kept), found).otherwise(kept)
+def _headed(content: Column, pattern: str) -> Column:
+    """Sections under one heading form, the first of each choice."""
+    pattern = _FLAGS + pattern
+    read = F.transform(
+        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+        lambda m: _section(
+            F.lower(F.regexp_extract(m, pattern, 1)), m, F.regexp_extract(m, pattern, 2), False
+        ),
+    )
 
-    return F.aggregate(F.slice(forms, 2, len(HEADINGS) - 1), F.get(forms, F.lit(0)), better)
+    def add(kept, s):
+        known = F.exists(kept, lambda k: k["choice"] == s["choice"])
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(read, F.array().cast(_SECTION_TYPE), add)
 
 
 def _loose_section(content: Column, letter: str) -> Column:
+    """Zero or one section of a choice that no heading form found."""
     starts = [F.regexp_instr(content, F.lit(_FLAGS + p.format(letter))) for p in LOOSE]
     start = F.coalesce(*[F.nullif(s, F.lit(0)) for s in starts])
-    body = null_if_empty(
-        F.regexp_extract(F.substr(content, start), _FLAGS + SECTION.format(letter), 1)
-    )
-    return F.when(
-        body.isNotNull(),
-        F.struct(
-            F.lit(letter).alias("choice"),
-            body.alias("whole"),
-            body.alias("body"),
-            F.lit(True).alias("loose"),
-        ),
+    body = F.regexp_extract(F.substr(content, start), _FLAGS + SECTION.format(letter), 1)
+    found = F.filter(F.array(body), lambda b: b.isNotNull() & (b != ""))
+    return F.transform(found, lambda b: _section(F.lit(letter), b, b, True))
+
+
+def with_sections(df: DataFrame, content: str) -> DataFrame:
+    """Add `_sections`. A later heading form counts only if it finds strictly
+    more choices, so it is not even tried once all five are found."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    best = F.col("_sections")
+    out = df.withColumn("_sections", _headed(text, HEADINGS[0]))
+    for pattern in HEADINGS[1:]:
+        # The one-element fold lets the candidate be computed once.
+        better = F.aggregate(
+            F.array(_headed(text, pattern)),
+            best,
+            lambda kept, found: F.when(F.size(found) > F.size(kept), found).otherwise(kept),
+        )
+        out = out.withColumn(
+            "_sections", F.when(F.size(best) < len(K.CHOICES), better).otherwise(best)
+        )
+    extra = [
+        F.when(
+            ~F.exists(best, lambda s: s["choice"] == x), _loose_section(text, x)
+        ).otherwise(F.array().cast(_SECTION_TYPE))
+        for x in K.CHOICES
+    ]
+    return out.withColumn(
+        "_sections", F.when(F.size(best) < FEW_RECORDS, F.concat(best, *extra)).otherwise(best)
     )
 
 
-def _record(section: Column) -> Column:
-    # The heading is the first line; a section found loosely is an error record.
-    heading = F.regexp_extract(section["whole"], r"\A[^\n]*", 0)
-    correct = ~section["loose"] & heading.rlike(r"(?i)Correct record|正答|正しい") & ~heading.rlike(
-        r"(?i)から合成した\s*(?:Error record|エラー記録)"
+def parse_synthesis(df: DataFrame, content: str = "content") -> DataFrame:
+    """One row per record read from a response: `choice`, `record_type`,
+    `sentences` and the error fields. Responses without records give no row."""
+    # The outer form keeps Spark from testing the array a second time below the explode,
+    # which would compute every section twice.
+    rows = with_sections(df, content).withColumn("_s", F.explode_outer("_sections"))
+    rows = rows.drop("_sections").where(F.col("_s").isNotNull()).withColumns(
+        {
+            # The heading is the first line; a section found loosely is an error record.
+            "_heading": F.regexp_extract("_s.whole", r"\A[^\n]*", 0),
+            "_text": strip(F.col("_s.body")),
+        }
+    ).withColumn("_story", strip(F.get(F.split("_text", TYPE_MARK), F.lit(0))))
+    rows = rows.withColumn(
+        "_numbered", F.regexp_extract_all("_story", F.lit(UNICODE + _NUMBERED), F.lit(2))
     )
-    text = strip(section["body"])
-    story = strip(F.get(F.split(text, TYPE_MARK), F.lit(0)))
-    numbered = F.regexp_extract_all(story, F.lit(UNICODE + _NUMBERED), F.lit(2))
     # The first line still holds the end of the heading when the loosest form matched.
-    lines = F.transform(F.split(F.regexp_replace(story, UNICODE + r"\A\s*" + _KIND, ""), "\n"), strip)
-    bare = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit(ERROR_MARK)))
-    sentences = F.when(F.size(numbered) > 0, numbered).otherwise(F.slice(bare, 1, BARE_LINES))
-
-    def after(mark, kind=r"[^\n]+"):
-        return null_if_empty(F.regexp_extract(text, UNICODE + mark + r"\s*(" + kind + ")", 1))
-
-    wrong_type, wrong, right = after(TYPE_MARK), after(WRONG_MARK), after(RIGHT_MARK)
-    told = ~correct & wrong_type.isNotNull() & wrong.isNotNull() & right.isNotNull()
-
-    def if_told(value):
-        return F.when(told, value)
-
-    return F.struct(
-        section["choice"].alias("choice"),
-        F.when(correct, "correct").otherwise("error").alias("record_type"),
-        F.transform(sentences, strip).alias("sentences"),
-        if_told(strip(wrong_type)).alias("error_type"),
-        if_told(after(NUMBER_MARK, r"\d+").try_cast("int")).alias("error_number"),
-        if_told(strip(wrong)).alias("error_sentence"),
-        if_told(strip(right)).alias("corrected_sentence"),
+    lines = F.split(F.regexp_replace("_story", UNICODE + r"\A\s*" + _KIND, ""), "\n")
+    bare = F.filter(
+        F.transform(lines, strip), lambda x: (x != "") & ~F.startswith(x, F.lit(ERROR_MARK))
+    )
+    heading = F.col("_heading")
+    correct = (
+        ~F.col("_s.loose")
+        & heading.rlike(r"(?i)Correct record|正答|正しい")
+        & ~heading.rlike(r"(?i)から合成した\s*(?:Error record|エラー記録)")
     )
 
+    def after(mark, kind=r"[^\n]+"):
+        found = F.regexp_extract("_text", UNICODE + mark + r"\s*(" + kind + ")", 1)
+        return null_if_empty(strip(found))
 
-def parse_synthesis(df: DataFrame, content: str = "content") -> DataFrame:
-    """One row per record read from a response: `choice`, `record_type`,
-    `sentences` and the error fields. Responses without records give no row."""
-    c = F.coalesce(F.col(content), F.lit(""))
-    found = df.withColumn("_sections", _sections(c))
-    have = F.transform("_sections", lambda s: s["choice"])
-    extra = [
-        F.when(~F.array_contains(have, x), _loose_section(c, x)) for x in K.CHOICES
-    ]
-    more = F.filter(F.array(*extra), lambda s: s.isNotNull())
-    full = found.withColumn(
-        "_sections",
-        F.when(F.size("_sections") < FEW_RECORDS, F.concat(F.col("_sections"), more)).otherwise(
-            F.col("_sections")
-        ),
+    rows = rows.withColumns(
+        {
+            "sentences": F.when(F.size("_numbered") > 0, F.col("_numbered")).otherwise(
+                F.slice(bare, 1, BARE_LINES)
+            ),
+            "record_type": F.when(correct, "correct").otherwise("error"),
+            "_type": after(TYPE_MARK),
+            "_wrong": after(WRONG_MARK),
+            "_right": after(RIGHT_MARK),
+        }
+    ).where(F.size("sentences") > 0)
+    told = F.col("record_type") == "error"
+    for name in ("_type", "_wrong", "_right"):
+        told = told & F.col(name).isNotNull()
+    return rows.select(
+        *df.columns,
+        F.col("_s.choice").alias("choice"),
+        "record_type",
+        F.transform("sentences", strip).alias("sentences"),
+        F.when(told, F.col("_type")).alias("error_type"),
+        F.when(told, after(NUMBER_MARK, r"\d+").try_cast("int")).alias("error_number"),
+        F.when(told, F.col("_wrong")).alias("error_sentence"),
+        F.when(told, F.col("_right")).alias("corrected_sentence"),
     )
-    rows = full.withColumn("_section", F.explode("_sections")).drop("_sections")
-    records = rows.withColumn("_record", _record(F.col("_section"))).drop("_section")
-    return records.where(F.size("_record.sentences") > 0).select("*", "_record.*").drop("_record")
 
 
 def assemble_items(records: DataFrame, question_id: str = "question_id") -> DataFrame:

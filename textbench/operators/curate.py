@@ -220,18 +220,13 @@ def accuracy_distribution(filtered: DataFrame) -> DataFrame:
     known = filtered.where(
         F.col("complete_accuracy").isNotNull() & F.col("detection_accuracy").isNotNull()
     )
-    bins = F.array(
-        F.struct(
-            F.lit("complete").alias("measure"),
-            T.accuracy_bin(F.col("complete_accuracy")).alias("bin"),
-        ),
-        F.struct(F.lit("detection"), T.accuracy_bin(F.col("detection_accuracy"))),
-        F.struct(
-            F.lit("difference"),
-            T.difference_bin(F.col("detection_accuracy") - F.col("complete_accuracy")),
-        ),
-    )
-    return known.select(F.inline(bins)).groupBy("measure", "bin").agg(
+    bins = {
+        "complete": T.accuracy_bin(F.col("complete_accuracy")),
+        "detection": T.accuracy_bin(F.col("detection_accuracy")),
+        "difference": T.difference_bin(F.col("detection_accuracy") - F.col("complete_accuracy")),
+    }
+    rows = [F.struct(F.lit(m).alias("measure"), b.alias("bin")) for m, b in bins.items()]
+    return known.select(F.inline(F.array(*rows))).groupBy("measure", "bin").agg(
         F.count(F.lit(1)).alias("items")
     )
 

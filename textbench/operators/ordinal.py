@@ -40,7 +40,7 @@ def piece_offsets(df: DataFrame, order: str, within: Sequence[str] = ()) -> Data
         pieces.groupBy(*within, "_stretch")
         .agg(F.sum("_rows").alias("_sum"))
         .withColumn(
-            "_base",
+            "_ahead",
             F.coalesce(
                 F.sum("_sum").over(
                     Window.partitionBy(*within)
@@ -59,7 +59,7 @@ def piece_offsets(df: DataFrame, order: str, within: Sequence[str] = ()) -> Data
     )
     return (
         pieces.join(stretches, [*within, "_stretch"])
-        .withColumn("_before", F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+        .withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
         .select(*within, "_piece", "_rows", "_before")
     )
 
