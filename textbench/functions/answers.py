@@ -21,66 +21,71 @@ from textbench.functions.text import (
     truncate_middle,
 )
 
-# The answer forms. Each row holds the pattern of the sentence
-# number, whether it must be one of the first fifty, and the pattern of the text.
+# The answer forms. Each row holds a text that the form cannot do
+# without, the pattern of the sentence number, whether it must be one of the
+# first fifty, and the pattern of the corrected text.
 PRIMARY_FORMS = [
-    (r"(?m)^\s*(\d+)\s*:\s*.+", False, r"(?ms)^\s*\d+\s*:\s*(.+?)(?:\n\n|\n[A-Z]|\n\*|\n-|$)"),
+    (":", r"(?m)^\s*(\d+)\s*:\s*.+", False, r"(?ms)^\s*\d+\s*:\s*(.+?)(?:\n\n|\n[A-Z]|\n\*|\n-|$)"),
 ]
 SECONDARY_FORMS = [
-    (r"文(\d+)\s*:\s*.+", False, r"文\d+\s*:\s*(.+?)(?:\n|$)"),
-    (r"(?m)^\s*(\d+)\.\s*.+", True, r"(?m)^\s*\d+\.\s*(.+?)(?:\n|$)"),
-    (r"文番号\s*:\s*(\d+)\s*:\s*.+", False, r"文番号\s*:\s*\d+\s*:\s*(.+?)(?:\n|$)"),
-    (
-        r"(?m)文番号\s*:\s*(\d+)\s*\n\s*\d+\.\s*.+",
-        False,
-        r"(?m)文番号\s*:\s*\d+\s*\n\s*\d+\.\s*(.+?)(?:\n|$)",
-    ),
+    ("文", r"文(\d+)\s*:\s*.+", False, r"文\d+\s*:\s*(.+?)(?:\n|$)"),
+    (".", r"(?m)^\s*(\d+)\.\s*.+", True, r"(?m)^\s*\d+\.\s*(.+?)(?:\n|$)"),
+    ("文番号", r"文番号\s*:\s*(\d+)\s*:\s*.+", False, r"文番号\s*:\s*\d+\s*:\s*(.+?)(?:\n|$)"),
+    ("文番号", r"(?m)文番号\s*:\s*(\d+)\s*\n\s*\d+\.\s*.+", False, r"(?m)文番号\s*:\s*\d+\s*\n\s*\d+\.\s*(.+?)(?:\n|$)"),
 ]
 TERTIARY_FORMS = [
-    (r"文番号\s*:\s*(\d+)\.", False, r"文番号\s*:\s*\d+\.\s*(.+?)(?:\n|$)"),
-    (r"(\d+)文目\s*:", False, r"\d+文目\s*:\s*(.+?)(?:\n|$)"),
-    (r"文番号(\d+)\s*:", False, r"文番号\d+\s*:\s*(.+?)(?:\n|$)"),
-    (r"-\s*(\d+)\s*:", True, r"-\s*\d+\s*:\s*(.+?)(?:\n|$)"),
-    (r"(?m)文番号\s*:\s*(\d+)\s*\n\s*.+", False, r"(?m)文番号\s*:\s*\d+\s*\n\s*(.+?)(?:\n|$)"),
-    (r"文番号\s*:\s*(\d+)\s+.+", False, r"文番号\s*:\s*\d+\s+(.+?)(?:\n|$)"),
+    ("文番号", r"文番号\s*:\s*(\d+)\.", False, r"文番号\s*:\s*\d+\.\s*(.+?)(?:\n|$)"),
+    ("文目", r"(\d+)文目\s*:", False, r"\d+文目\s*:\s*(.+?)(?:\n|$)"),
+    ("文番号", r"文番号(\d+)\s*:", False, r"文番号\d+\s*:\s*(.+?)(?:\n|$)"),
+    ("-", r"-\s*(\d+)\s*:", True, r"-\s*\d+\s*:\s*(.+?)(?:\n|$)"),
+    ("文番号", r"(?m)文番号\s*:\s*(\d+)\s*\n\s*.+", False, r"(?m)文番号\s*:\s*\d+\s*\n\s*(.+?)(?:\n|$)"),
+    ("文番号", r"文番号\s*:\s*(\d+)\s+.+", False, r"文番号\s*:\s*\d+\s+(.+?)(?:\n|$)"),
 ]
-# Words that say there is no error.
-CORRECT_WORD = r"(?i)\bCORRECT\b|_CORRECT_"
-NO_ERROR_WORD = r"(?i)\b(?:エラーなし|誤りなし|間違いなし|問題なし)\b"
+# Words that say there is no error, each with a text it cannot do without.
+CORRECT_WORD = ("CORRECT", r"(?i)\bCORRECT\b|_CORRECT_")
+NO_ERROR_WORD = ("なし", r"(?i)\b(?:エラーなし|誤りなし|間違いなし|問題なし)\b")
 
 NO_ERROR = -2  # inner mark: the answer says that nothing is wrong
 
 
-def _number(c: Column, pattern: str, limited: bool) -> Column:
-    digits = null_if_empty(F.regexp_extract(c, UNICODE + pattern, 1))
+def _found(c: Column, need: str, pattern: str) -> Column:
+    """Group 1 of the first match, null without one. A byte search for the text
+    that the form needs comes first, so most answers skip most patterns."""
+    return F.when(
+        F.contains(c, F.lit(need)), null_if_empty(F.regexp_extract(c, UNICODE + pattern, 1))
+    )
+
+
+def _number(c: Column, need: str, pattern: str, limited: bool) -> Column:
+    digits = _found(c, need, pattern)
     # A number too long for a bigint is still a number.
-    known = F.when(
-        digits.isNotNull(),
-        F.coalesce(fold_digits(digits).try_cast("bigint"), F.lit(2**63 - 1)),
+    numbers = F.transform(
+        F.array_compact(F.array(digits)),
+        lambda d: F.coalesce(fold_digits(d).try_cast("bigint"), F.lit(2**63 - 1)),
     )
-    if not limited:
-        return known
-    allowed = F.filter(F.array(known), lambda n: n.between(1, K.MAX_LISTED_SENTENCE))
-    return F.get(allowed, F.lit(0))
+    if limited:
+        numbers = F.filter(numbers, lambda n: n.between(1, K.MAX_LISTED_SENTENCE))
+    return F.get(numbers, F.lit(0))
 
 
 def _numbers(c: Column, forms) -> Column:
-    return F.coalesce(*[_number(c, number, limited) for number, limited, _ in forms])
+    return F.coalesce(*[_number(c, need, number, limited) for need, number, limited, _ in forms])
 
 
 def _texts(c: Column, forms) -> Column:
-    found = [null_if_empty(strip(F.regexp_extract(c, UNICODE + text, 1))) for _, _, text in forms]
-    return F.coalesce(*found)
+    return F.coalesce(*[null_if_empty(strip(_found(c, need, text))) for need, _, _, text in forms])
+
 
+def _says(c: Column, word: tuple[str, str]) -> Column:
+    need, pattern = word
+    return F.contains(F.upper(c), F.lit(need)) & c.rlike(UNICODE + pattern)
 
-def _says(c: Column, pattern: str) -> Column:
-    return c.rlike(UNICODE + pattern)
 
+def answer_outcome(text: Column, plain: Column) -> Column:
+    """Sentence number, -2 when the answer sees no error, -1 when it cannot be read.
 
-def answer_outcome(content: Column) -> Column:
-    """Sentence number, -2 when the answer sees no error, -1 when it cannot be read."""
-    text = strip(content)
-    plain = strip_decoration(text)
+    `text` is the stripped answer, `plain` the same without decorations.
+    """
     return F.coalesce(
         F.when(_says(plain, CORRECT_WORD), F.lit(NO_ERROR).cast("bigint")),
         _numbers(plain, PRIMARY_FORMS),
@@ -99,24 +104,12 @@ def outcome_sentence_id(outcome: Column) -> Column:
     return F.when(outcome == NO_ERROR, F.lit(0).cast("bigint")).otherwise(outcome)
 
 
-def parse_detection(content: Column) -> Column:
-    """1 error, 0 no error, -1 unreadable."""
-    return outcome_detection(answer_outcome(content))
-
-
-def parse_sentence_id(content: Column) -> Column:
-    """Number of the wrong sentence, 0 no error, -1 unreadable."""
-    return outcome_sentence_id(answer_outcome(content))
-
-
-def parse_correction(content: Column) -> Column:
+def correction_text(text: Column, plain: Column) -> Column:
     """Corrected text, '' no error, PARSE_FAILED unreadable.
 
     A CORRECT answer only ends the first stage: the later ones still look for
     a text in the undecorated answer.
     """
-    text = strip(truncate_middle(content))
-    plain = strip_decoration(text)
     return F.coalesce(
         F.when(~_says(plain, CORRECT_WORD), _texts(plain, PRIMARY_FORMS)),
         _texts(text, SECONDARY_FORMS),
@@ -126,14 +119,34 @@ def parse_correction(content: Column) -> Column:
     )
 
 
-def parse_answers(responses: DataFrame, content: str = "content") -> DataFrame:
-    """Add `ed_pred`, `se_pred` and `ec_pred`; each text is read once per kind."""
+def _prepared(df: DataFrame, content: str, cut: bool) -> DataFrame:
+    """Add `_text` and `_plain`, each computed once however many patterns read it."""
     c = F.coalesce(F.col(content), F.lit(""))
-    read = responses.withColumn("_outcome", answer_outcome(c))
-    return read.withColumns(
-        {
-            "ed_pred": outcome_detection(F.col("_outcome")),
-            "se_pred": outcome_sentence_id(F.col("_outcome")),
-            "ec_pred": parse_correction(c),
-        }
-    ).drop("_outcome")
+    text = strip(truncate_middle(c) if cut else c)
+    return df.withColumn("_text", text).withColumn("_plain", strip_decoration(F.col("_text")))
+
+
+def parse_outcome(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add `ed_pred` (1 error, 0 none, -1 unreadable) and `se_pred`, the number of
+    the wrong sentence (0 none, -1 unreadable)."""
+    read = _prepared(df, content, cut=False).withColumn(
+        "_outcome", answer_outcome(F.col("_text"), F.col("_plain"))
+    )
+    both = {
+        "ed_pred": outcome_detection(F.col("_outcome")),
+        "se_pred": outcome_sentence_id(F.col("_outcome")),
+    }
+    return read.withColumns(both).drop("_outcome", "_text", "_plain")
+
+
+def parse_correction(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add `ec_pred`: corrected text, '' no error, PARSE_FAILED unreadable."""
+    read = _prepared(df, content, cut=True)
+    return read.withColumn("ec_pred", correction_text(F.col("_text"), F.col("_plain"))).drop(
+        "_text", "_plain"
+    )
+
+
+def parse_answers(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add `ed_pred`, `se_pred` and `ec_pred`."""
+    return parse_correction(parse_outcome(df, content), content)

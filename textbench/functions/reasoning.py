@@ -114,6 +114,28 @@ def _quoted(phrase: str) -> str:
     return r"\Q" + phrase + r"\E"
 
 
+def _by_first_letters(rows: Sequence[tuple[str, str]]) -> str:
+    """Pattern of (text, what follows) rows that shares common beginnings, so that
+    most positions of a text are settled by one look at their letter."""
+    branches: dict[str, list[tuple[str, str]]] = {}
+    ends = []
+    for text, rest in rows:
+        if text:
+            branches.setdefault(text[0].lower(), []).append((text[1:], rest))
+        else:
+            ends.append(rest)
+    if "" in ends:  # a phrase ends here, so whatever is longer matches too
+        return ""
+    parts = []
+    for letter, tails in branches.items():
+        if len(tails) == 1:
+            text, rest = tails[0]
+            parts.append(_quoted(letter + text) + rest)
+        else:
+            parts.append(_quoted(letter) + _by_first_letters(tails))
+    return "(?:" + "|".join(parts + ends) + ")"
+
+
 def removal_pattern(
     phrases: Sequence[str], sequences: Sequence[Sequence[str]] = (), period: str = "."
 ) -> str:
@@ -125,25 +147,39 @@ def removal_pattern(
     do, so does the nearest.
     """
     line, sentence = f"[^{period}\n]", f"[^{period}]"
-    rows = [_quoted(p) for p in phrases]
+    rows = [(p, "") for p in phrases]
     for first, *rest in sequences:
-        rows.append(_quoted(first) + "".join(f"(?>{line}*?{_quoted(p)})" for p in rest))
+        rows.append((first, "".join(f"(?>{line}*?{_quoted(p)})" for p in rest)))
+    hit = _by_first_letters(rows)
     close = re.escape(period)
-    return (
-        f"(?iu)(?<!{sentence})(?={sentence}*+{close}){sentence}*?(?:{'|'.join(rows)}){sentence}*+{close}"
-    )
+    return f"(?iu)(?<!{sentence})(?={sentence}*+{close}){sentence}*?{hit}{sentence}*+{close}"
 
 
 PATTERN_EN = removal_pattern(K.PHRASES_EN, K.SEQUENCES_EN, ".")
 PATTERN_JA = removal_pattern(K.PHRASES_JA, K.SEQUENCES_JA, "。")
 
 
+# Stands for a removed sentence until it is counted; a private character.
+_MARK = "\ue0ff"
+
+
 def clean_reasoning(text: Column, pattern: str) -> Column:
     """struct(text, removed): the text without the matching sentences and their number."""
-    return F.struct(
-        F.regexp_replace(text, pattern, "").alias("text"),
-        F.regexp_count(text, F.lit(pattern)).alias("removed"),
+
+    def result(kept, removed):
+        return F.struct(kept.alias("text"), removed.cast("int").alias("removed"))
+
+    # One pass puts a mark for each sentence; marks are then counted and taken out.
+    marked = F.transform(
+        F.array(F.regexp_replace(text, pattern, _MARK)),
+        lambda m: result(
+            F.replace(m, F.lit(_MARK), F.lit("")),
+            F.length(m) - F.length(F.replace(m, F.lit(_MARK), F.lit(""))),
+        ),
     )
+    # A text that holds the mark itself takes two passes.
+    twice = result(F.regexp_replace(text, pattern, ""), F.regexp_count(text, F.lit(pattern)))
+    return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(F.get(marked, F.lit(0)))
 
 
 def clean_reasoning_en(text: Column) -> Column:

@@ -13,9 +13,17 @@ from textbench import constants as K
 UNICODE = "(?Ud)"
 
 
+# All characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, UNICODE + r"^\s+|(?<!\s)\s+\z", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -84,7 +92,9 @@ def strip_decoration(c: Column) -> Column:
     fence = F.regexp_replace(fence, UNICODE + r"```\w*", "")
     ticks = F.regexp_replace(fence, r"`([^`]*)`", "$1")
     ticks = F.replace(ticks, F.lit("```"), F.lit(""))
-    return strip(F.regexp_replace(strip(ticks), r"""^["']+|(?<!["'])["']+\z""", ""))
+    # Most answers hold no back-tick; a byte search settles that without a pattern.
+    plain = F.when(F.contains(c, F.lit("`")), ticks).otherwise(c)
+    return strip(F.trim(strip(plain), F.lit("\"'")))
 
 
 def clean_quotes(c: Column) -> Column:

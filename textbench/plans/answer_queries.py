@@ -30,7 +30,7 @@ CORRECTION = """CASE WHEN ed_pred = 1 THEN CASE WHEN length(content) <= 5000 THE
     ["response"],
 )
 def _(fx):
-    return fx.response.select(*KEYS, A.parse_detection(c("content")).alias("pred"))
+    return A.parse_outcome(fx.response).select(*KEYS, c("ed_pred").alias("pred"))
 
 
 @query(
@@ -39,7 +39,7 @@ def _(fx):
     ["response"],
 )
 def _(fx):
-    return fx.response.select(*KEYS, A.parse_sentence_id(c("content")).alias("pred"))
+    return A.parse_outcome(fx.response).select(*KEYS, c("se_pred").alias("pred"))
 
 
 @query(
@@ -48,7 +48,7 @@ def _(fx):
     ["response"],
 )
 def _(fx):
-    return fx.response.select(*KEYS, A.parse_correction(c("content")).alias("pred"))
+    return A.parse_correction(fx.response).select(*KEYS, c("ec_pred").alias("pred"))
 
 
 @query(
@@ -64,8 +64,7 @@ def _(fx):
 )
 def _(fx):
     answers = fx.response.select(*KEYS, "error_flag", "content")
-    parsed = answers.withColumn("ed_pred", A.parse_detection(c("content")))
-    return score.detection_metrics(parsed, ["model", "template"]).select(
+    return score.detection_metrics(A.parse_outcome(answers), ["model", "template"]).select(
         "model", "template", "tp", "fp", "tn", "fn", "accuracy", "f1"
     )
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ["documents", "labels", "conversations", "events"]
+TEXTS = ["documents", "conversations"]
 
 
 @dataclass(frozen=True)
@@ -291,6 +292,17 @@ def with_tables(names: list[str], query: str, dialect: Dialect = DUCK) -> str:
     return f"WITH {', '.join(ctes)} {rest}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table kept in fewer files than there are cores.
+
+    A table of many files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 class Tables:
     """The derived tables as DataFrames over one folder of parquet files."""
 
@@ -298,7 +310,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" not in _TABLES:
