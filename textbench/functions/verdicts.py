@@ -58,9 +58,9 @@ def _judgment(raw: Column, read: Column, language: str) -> Column:
         return F.when(yes, 1).otherwise(F.coalesce(whole, F.lit(0))).cast("bigint")
 
     def infinite(name):
-        return F.coalesce(
-            F.abs(_last(read, name)["value"].try_cast("double")) == float("inf"), F.lit(False)
-        )
+        # The reader puts quotes around numbers beyond a double.
+        value = F.trim(_last(read, name)["value"], F.lit('"'))
+        return F.coalesce(F.abs(value.try_cast("double")) == float("inf"), F.lit(False))
 
     def all_of(names):
         good = has("explanation")
