@@ -44,6 +44,7 @@ def _load() -> None:
     from textbench.plans import (  # noqa: F401
         answer_queries,
         curate_queries,
+        flow_queries,
         report_queries,
         response_queries,
         score_queries,
