@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textbench.llm import decontaminate, mixing, quality, reshard, simhash
+from textbench.llm import decontaminate, mixing, quality, reshard, simhash, vectors
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def _decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op2_embedding_near_dup")
+def _vectors(spark, folder):
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op4_quality")
 def _quality(spark, folder):
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
