@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from textbench.llm import decontaminate, mixing, quality, reshard, simhash, vectors
+from pyspark.sql import functions as F
+
+from textbench.llm import (
+    decontaminate,
+    mixing,
+    pii,
+    quality,
+    reputation,
+    reshard,
+    simhash,
+    tokencount,
+    toxicity,
+    vectors,
+)
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -36,6 +48,11 @@ def _vectors(spark, folder):
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query("op3_pii")
+def _pii(spark, folder):
+    return pii.summary(table(spark, folder, "documents"))
+
+
 @query("op4_quality")
 def _quality(spark, folder):
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -70,20 +87,100 @@ b AS (SELECT d.doc_id, d.size, t.source_size, CAST(t.target AS DOUBLE) AS target
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS whole FROM b),
 r AS (SELECT *, demand - whole * source_size - before AS rest FROM p)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
        CAST(whole * size + greatest(least(rest, size), 0) AS BIGINT) AS taken,
-       CASE WHEN whole > 0 OR rest > 0 THEN
+       round(CASE WHEN whole > 0 OR rest > 0 THEN
          CASE WHEN before = 0 THEN CAST(0 AS DOUBLE) ELSE
            2 * (CAST(before AS DOUBLE) / demand) / ((1 - CAST(lean AS DOUBLE)) + sqrt(
              (1 - CAST(lean AS DOUBLE)) * (1 - CAST(lean AS DOUBLE)) + 4 * CAST(lean AS DOUBLE) * (CAST(before AS DOUBLE) / demand))) END
-       END AS first_position
+       END, 6) AS first_position
 FROM r
 """
 
 
 @query("op6_mix", MIX_SQL)
 def _mix(spark, folder):
-    return mixing.summary(table(spark, folder, "documents"))
+    out = mixing.summary(table(spark, folder, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("target", "first_position")})
+
+
+@query("op7_toxicity")
+def _toxicity(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_token_count")
+def _tokens(spark, folder):
+    return tokencount.count_tokens(table(spark, folder, "documents"), tokencount.read_vocabulary())
+
+
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+REPUTATION_SQL = r"""
+WITH p AS (
+  SELECT page_id, url,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+q AS (SELECT page_id, url,
+             coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+o AS (SELECT q.host, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1.0 ELSE 0.0 END AS good
+      FROM q JOIN labels l ON try_cast(nullif(regexp_extract(q.path, '/([0-9]+)(?:\.html)?/?$', 1), '') AS BIGINT) = l.doc_id
+      WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL),
+seen AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS k FROM o GROUP BY host),
+names AS (SELECT DISTINCT host FROM q),
+tree AS (SELECT h.host, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
+                array_to_string(list_slice(string_split(h.host, '.'), -2, NULL), '.') AS domain,
+                string_split(h.host, '.')[-1] AS suffix
+         FROM names h LEFT JOIN seen USING (host)),
+whole AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM seen),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT mean FROM whole) AS above FROM tree GROUP BY suffix),
+s1 AS (SELECT (sum(n * (k / n - above) * (k / n - above) / (above * (1 - above))) - count(*)) / nullif(sum(n) - count(*), 0) AS r
+       FROM s0 WHERE n > 0 AND above * (1 - above) > 0),
+s2 AS (SELECT suffix, (k + m * above) / (n + m) AS post
+       FROM s0, (SELECT 1 / greatest(least(coalesce(r, 0.0001), 0.9999), 0.0001) - 1 AS m FROM s1)),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k, any_value(post) AS above
+       FROM tree JOIN s2 USING (suffix) GROUP BY suffix, domain),
+d1 AS (SELECT (sum(n * (k / n - above) * (k / n - above) / (above * (1 - above))) - count(*)) / nullif(sum(n) - count(*), 0) AS r
+       FROM d0 WHERE n > 0 AND above * (1 - above) > 0),
+d2 AS (SELECT domain, (k + m * above) / (n + m) AS post
+       FROM d0, (SELECT 1 / greatest(least(coalesce(r, 0.0001), 0.9999), 0.0001) - 1 AS m FROM d1)),
+h0 AS (SELECT host, n, k, post AS above FROM tree JOIN d2 USING (domain)),
+h1 AS (SELECT (sum(n * (k / n - above) * (k / n - above) / (above * (1 - above))) - count(*)) / nullif(sum(n) - count(*), 0) AS r
+       FROM h0 WHERE n > 0 AND above * (1 - above) > 0),
+h2 AS (SELECT host, k + m * above AS a, n - k + m * (1 - above) AS b
+       FROM h0, (SELECT 1 / greatest(least(coalesce(r, 0.0001), 0.9999), 0.0001) - 1 AS m FROM h1)),
+h3 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h2),
+j AS (SELECT q.page_id, q.host, q.path, h3.bound,
+        CASE WHEN (q.host = 'example.org' OR q.host LIKE '%.example.org') AND starts_with(q.path, '/en/1') THEN 'example.org/en/1'
+             WHEN (q.host = 'example.org' OR q.host LIKE '%.example.org') AND starts_with(q.path, '/es/') THEN 'example.org/es/'
+             WHEN (q.host = 'com' OR q.host LIKE '%.com') AND starts_with(q.path, '/fr/') THEN 'com/fr/'
+             WHEN (q.host = 'com' OR q.host LIKE '%.com') AND starts_with(q.path, '/de/') THEN 'com/de/'
+             WHEN (q.host = 'org' OR q.host LIKE '%.org') AND starts_with(q.path, '/') THEN 'org/' END AS rule
+      FROM q JOIN h3 ON q.host = h3.host)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict,
+       round(bound, 6) AS bound
+FROM j
+"""
+
+
+@query("op9_url_reputation", REPUTATION_SQL)
+def _reputation(spark, folder):
+    """A page's path ends in the number of its document, whose labels are its outcome."""
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    number = F.regexp_extract(reputation.host_and_path(F.col("url"))[1], r"/([0-9]+)(?:\.html)?/?$", 1)
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    known = pages.select("url", F.nullif(number, F.lit("")).try_cast("bigint").alias("doc_id"))
+    outcomes = known.join(labels.select("doc_id", good.alias("good")), "doc_id")
+    out = reputation.judge(pages, outcomes, RULES)
+    return out.withColumn("bound", F.round("bound", 6))
 
 
 @query("op10_reshard")
