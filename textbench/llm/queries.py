@@ -135,7 +135,7 @@ o AS (SELECT q.host, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1.0 ELSE 0.0 E
 seen AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS k FROM o GROUP BY host),
 names AS (SELECT DISTINCT host FROM q),
 tree AS (SELECT h.host, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
-                array_to_string(list_slice(string_split(h.host, '.'), -2, NULL), '.') AS domain,
+                array_to_string(string_split(h.host, '.')[-2:], '.') AS domain,
                 string_split(h.host, '.')[-1] AS suffix
          FROM names h LEFT JOIN seen USING (host)),
 whole AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM seen),
