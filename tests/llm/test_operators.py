@@ -1,0 +1,644 @@
+"""Training-data operators on small tables: brute force, and odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from textbench.llm import (
+    decontaminate,
+    mixing,
+    pii,
+    quality,
+    reputation,
+    reshard,
+    simhash,
+    tokencount,
+    toxicity,
+    vectors,
+)
+from textbench.llm.gam import Gam
+from textbench.llm.graph import components
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return pq.read_table(f"{DATA}/documents.parquet")["text"].to_pylist()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, a very long text, repeats and clashing column names."""
+    long = "word " * 60_000 + "end of it"
+    rows = [
+        (1, None, None, None, None),
+        (2, "", "en", "a", 0),
+        (3, " \t\n", "en", "a", 3),
+        (4, long, "en", "b", len(long)),
+        (5, "One two three four five six. Mail a@b.example.com or +1 (988) 555-2485!", "en", "b", 70),
+        (5, "One two three four five six. Mail a@b.example.com or +1 (988) 555-2485!", "en", "b", 70),
+        (None, "no id here at all", "en", "c", 17),
+        (6, "Ünï çödé 漢字かな 🙂 \u0000 x", None, "a", 20),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("size", "score", "shard", "_text", "_id", "component_id", "item_id", "predicted"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 0, 1), (5, 1, 0), (None, 1, 1), (6, None, None), (7, 5, 5), (2, 1, 0)], LABELS)
+
+
+@pytest.fixture(scope="module")
+def no_labels(spark):
+    return spark.createDataFrame([], LABELS)
+
+
+# --- connected components -------------------------------------------------
+
+
+def smallest(pairs):
+    parent = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {a: find(a) for a in parent}
+
+
+@pytest.mark.parametrize(
+    "pairs",
+    [
+        [],
+        [(1, 1)],
+        [(i, i + 1) for i in range(60)],
+        [(0, i) for i in range(1, 50)] + [(100, 101), (101, 100)],
+        [(int(a), int(b)) for a, b in np.random.default_rng(3).integers(-40, 90, (70, 2))],
+    ],
+)
+def test_components(spark, pairs):
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.component for r in components(edges, "a", "b").collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {k: v for k, v in smallest(pairs).items() if k in linked and k != v}
+
+
+# --- 1 decontamination ----------------------------------------------------
+
+
+def word_edits(a, b):
+    """Least edits between a and any stretch of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_decontaminate_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 2500")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, bench).collect()}
+    words = lambda t: re.findall(r"\w+", t.lower())
+    items = [(r.item_id, words(r.text)) for r in bench.collect()]
+    want = {}
+    for d in docs.collect():
+        text = words(d.text or "")
+        near = set(text)
+        for i, item in items:
+            most = int(len(item) * 0.2 + 1e-9)
+            if sum(w in near for w in item) >= len(item) - most:
+                k = word_edits(item, text)
+                if k <= most:
+                    want[d.doc_id, i] = k
+    assert want and got == want
+
+
+def test_decontaminate_recall_on_edits():
+    bench = pq.read_table(f"{DATA}/benchmark.parquet").to_pydict()
+    items = list(zip(bench["item_id"], [t.lower() for t in bench["text"]]))
+    index = decontaminate.build_index(items)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _, text in items:
+        words = re.findall(r"\w+", text)
+        for _ in range(int(len(words) * 0.2 + 1e-9)):
+            p, kind = rng.integers(0, len(words)), rng.integers(0, 3)
+            if kind == 0:
+                words[p] = f"x{rng.integers(1e6)}"
+            elif kind == 1:
+                words.insert(p, f"y{rng.integers(1e6)}")
+            else:
+                words.pop(p)
+        texts.append(" ".join(["some", "words", "ahead"] + words + ["and", "behind"]))
+    found = decontaminate.search(index, pa.array(texts))
+    hit = [any(h["item_id"] == i for h in hs) for (i, _), hs in zip(items, found)]
+    assert np.mean(hit) >= 0.95
+
+
+def test_decontaminate_odd(spark, odd, nothing):
+    bench = spark.createDataFrame(
+        [(1, "one two three four five six"), (2, None), (None, "word word word word word word"), (3, ""), (4, "of a"), (5, "x y z 漢字かな q")],
+        "item_id long, text string",
+    )
+    got = [tuple(r) for r in decontaminate.contaminated(odd, bench).collect()]
+    assert got == [(5, 1, 0, 6, 0)] * 2
+    assert decontaminate.clean(odd, bench).count() == odd.count() - 2
+    assert decontaminate.clean(odd, bench).columns == odd.columns
+    assert decontaminate.contaminated(nothing, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
+
+
+def test_decontaminate_finds_at_ends_and_across_case(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, item.upper() + "!"),
+            (2, "x " * 30 + "Alpha, beta; gamma\ndelta epsilon zeta eta theta iota"),
+            (3, item.replace("delta ", "").replace("zeta", "zed") + " and more words " * 5),
+            (4, item.replace("delta ", "").replace("zeta", "zed").replace("kappa", "k")),
+            (5, item + " filler words between them now and then " + item),
+        ],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: (r.distance, r.first_word) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: (0, 0), 2: (1, 29), 3: (2, 0), 5: (0, 0)}
+
+
+# --- 2 embeddings ---------------------------------------------------------
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 16)), np.repeat(base[:3], 5, axis=0)])
+    x = np.concatenate([x, base[5] + 0.03 * rng.normal(size=(80, 16))]).astype(np.float32)
+    label = [int(v) for v in rng.integers(0, 2, len(x))]
+    label[-80:] = [1] * 80
+    order = rng.permutation(len(x))
+    rows = [(int(i), [float(v) for v in x[i]], label[i]) for i in order]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(link, False)
+    part = smallest([(int(a), int(b)) for a, b in zip(*np.nonzero(link))])
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    found = sum(r.n_links for r in got.values())
+    assert 0.9 * link.sum() <= found <= link.sum()
+    right = [got[i].component_id == part.get(i, i) for i in range(len(x))]
+    assert np.mean(right) >= 0.95
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_vectors_odd(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None),
+        (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 0.0], 1), (9, [1.0, None], 1),
+        (None, [1.0, 0.0], 1), (10, [], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1e-30, 0.0], 1), (13, [-1.0, 0.0], 1),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("x"))
+    got = collections.Counter(tuple(r) for r in vectors.near_duplicates(df).collect())
+    alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 13)]
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (12, 3, 1, False), (None, 0, None, True)]
+    assert got == collections.Counter(alone + want)
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_list_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + 0.01 * rng.normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(df).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
+
+
+# --- 3 personal data ------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        c = int(c) * (2 if k % 2 else 1)
+        total += c - 9 if c > 9 else c
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((m.start(), rank, m.end(), kind))
+    return ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(out))
+
+
+ODD_PII = [
+    "", "a@b.co_x@c.de", "a@b.co.x@c.de,", "@b.c a@b a@b. x@y.z", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.003.0004",
+    "1.2.3.00000000000000000000255 9999999999999.1.1.1", "4111 1111 1111 1111 4111111111111111",
+    "4111-1111-1111-1111", "+1 (988) 555-2485+44 20 7946 0958", "+12 +123 +1234567890123456", "🙂 é a@b.cd 🙂 10.0.0.1",
+    "4" * 50_000, "a" * 50_000 + "@", "1." * 30_000, "+1" + " 2" * 20_000, "x@" * 5000 + "y.zz",
+    "0" * 16, "5 5 0 5 5 5 5 5 5 5 5 5 5 4 4 4 4", "+1-2-3-4-5-6-7-8-9-0-",
+]
+
+
+def test_base_spans_equal_plain_patterns(spark, texts):
+    rng = np.random.default_rng(8)
+    noise = ["".join(rng.choice(list("0123456789.+- @ab"), 60)) for _ in range(400)]
+    every = ODD_PII + texts + noise
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = pii.find(df, pii.Detector({})).select("doc_id", pii._text_of(F.col("_base")).alias("s")).collect()
+    assert {r.doc_id: r.s for r in got} == {k: base_spans(t) for k, t in enumerate(every)}
+
+
+def test_pii_query_columns(spark, odd, nothing):
+    got = {r.doc_id: r for r in pii.summary(odd).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got[1].base_sha256 == got[2].base_sha256 == empty and got[1].spans == ""
+    assert (got[5].n_email, got[5].n_phone, got[5].n_ip, got[5].n_card) == (1, 1, 0, 0)
+    assert got[5].base_sha256 == hashlib.sha256(base_spans("One two three four five six. Mail a@b.example.com or +1 (988) 555-2485!").encode()).hexdigest()
+    assert pii.summary(nothing).count() == 0
+
+
+def test_added_spans_keep_the_base_and_redact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    detector = pii.fit(docs)
+    rows = pii.find(docs, detector).select("text", pii._text_of(F.col("_base")).alias("b"), pii._text_of(F.col("_spans")).alias("s"), pii.redacted(F.col("text"), F.col("_spans")).alias("r")).collect()
+    for r in rows:
+        base, spans = (set(x.split(",")) - {""} for x in (r.b, r.s))
+        assert base <= spans
+        cut = sorted((int(a), int(e)) for _, a, e in (x.split(":") for x in spans))
+        if spans and all(x[1] <= y[0] for x, y in zip(cut, cut[1:])):
+            kept = re.sub(r"\[(?:email|ip|card|phone|secret)\]", "", r.r)
+            assert len(kept) == len(r.text) - sum(e - a for a, e in cut)
+
+
+def test_trees_agree_as_sql(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 3)).astype(float)
+    model = pii.boost(x, y)
+    assert ((model.raw(x) > 0) == y).mean() > 0.95
+    df = spark.createDataFrame([[float(v) for v in r] for r in x], "a double, b double, c double, d double")
+    total = F.lit(model.start)
+    for t in model.trees:
+        total = total + t.column([F.col(c) for c in "abcd"])
+    assert np.allclose([r[0] for r in df.select(total).collect()], model.raw(x))
+
+
+# --- 4 quality ------------------------------------------------------------
+
+
+def test_gam_learns_main_effects_and_a_pair():
+    rng = np.random.default_rng(1)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] > 0.6) ^ (x[:, 1] > 0.5)).astype(int)
+    model = Gam().fit(x[:3000], y[:3000])
+    assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.95
+    assert (0, 1) in model.pair_tables
+
+
+def test_quality_on_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.classify(docs, marks).join(marks, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.97
+    assert np.mean([r.predicted for r in held if r.quality]) > 0.98
+
+
+def test_quality_odd(odd, nothing, labels, no_labels):
+    got = quality.classify(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    assert {r.score for r in quality.classify(odd, no_labels).collect()} == {0.5}
+    assert quality.keep_good(odd, no_labels).columns == odd.columns
+    assert quality.classify(nothing, labels).count() == 0
+
+
+# --- 5 SimHash ------------------------------------------------------------
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        text = list(rng.choice(words, 400))
+        rows.append(" ".join(text))
+        for _ in range(4):
+            text[rng.integers(len(text))] = "changed"
+            rows.append("\n".join(text).upper())
+    rows += ["", None, "  ", "one", "one two", "ONE  two", "x x x x", rows[0]]
+    ids = [int(v) for v in rng.permutation(len(rows))]
+    df = spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string")
+    prints = [simhash.fingerprint_of((t or "").encode()) for t in rows]
+    pairs = [
+        (ids[a], ids[b]) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2
+    ]
+    part = smallest(pairs)
+    assert len(set(part.values())) < len(rows) - 100
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: (f"{p:016x}", part.get(i, i)) for i, p in zip(ids, prints)}
+    kept = simhash.keep_one(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
+
+
+def test_fingerprint_definition():
+    from xxhash import xxh64_intdigest
+
+    text = "The the THE cat\tÀ"
+    w = ["the", "the", "the", "cat", "À"]
+    h = [xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > 3)
+    assert simhash.fingerprint_of(text.encode()) == want
+    assert simhash.fingerprint_of(b"A b") == xxh64_intdigest(b"a b", 42)
+    assert simhash.fingerprint_of(b" \n") == 0
+
+
+def test_simhash_lists_in_pieces(spark):
+    rng = np.random.default_rng(7)
+    base = int(rng.integers(0, 1 << 62))
+    prints = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (150, 2))})
+    df = spark.createDataFrame(list(enumerate(prints)), "_id long, _print long")
+    want = smallest([(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    for limit in (8, 4096):
+        got = smallest([tuple(r) for r in simhash.links(df, limit).collect()])
+        assert got == want
+
+
+def test_simhash_odd(odd, nothing):
+    got = simhash.near_duplicates(odd).collect()
+    blank = [r for r in got if r.fingerprint == "0" * 16]
+    assert {r.component_id for r in blank} == {1} and len(got) == odd.count()
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([1, 4, 5, 6, None])
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
+
+
+# --- 6 mixing -------------------------------------------------------------
+
+
+def test_targets_fill_up(spark):
+    sizes = {"a": 10, "b": 1000, "c": 20, "d": 4000, "e": 1}
+    df = spark.createDataFrame([("0" + k, v) for k, v in sizes.items()], "_key string, source_size long")
+    got = {r._key[1:]: r.target for r in mixing.source_targets(df).collect()}
+    weights = dict(zip(sorted(sizes), [1, 2, 3, 1, 2]))
+    target, open_ = {}, set(sizes)
+    while True:
+        left = sum(sizes.values()) - sum(target[k] for k in sizes if k not in open_)
+        for k in open_:
+            target[k] = left * weights[k] / sum(weights[j] for j in open_)
+        over = {k for k in open_ if target[k] > 3 * sizes[k]}
+        if not over:
+            break
+        for k in over:
+            target[k] = 3 * sizes[k]
+        open_ -= over
+    assert got == pytest.approx(target)
+
+
+def test_position_inverts_the_schedule(spark):
+    rows = [(s / 50, lean) for s in range(50) for lean in (-0.9, -0.5, 0.0, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "share double, lean double")
+    for r in df.select("share", "lean", mixing.position(F.col("share"), F.col("lean")).alias("t")).collect():
+        assert r.t + r.lean * (r.t**2 - r.t) == pytest.approx(r.share, abs=1e-9) and 0 <= r.t < 1
+
+
+def test_mixture_takes_and_order(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    placed = mixing.assign(docs).collect()
+    taken, target = collections.Counter(), {}
+    for r in placed:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size and r.taken == pytest.approx(r.takes * r.size, abs=r.size)
+    assert all(abs(taken[s] - t) < 1 for s, t in target.items())
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == {r.doc_id: r.takes for r in placed if r.takes}
+
+
+def test_mixing_odd(odd, nothing):
+    got = mixing.summary(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.doc_id: r.size for r in got}[1] == 0 and {r.doc_id: r.size for r in got}[4] == 60_003
+    assert sum(r.size for r in got) == pytest.approx(sum({r.source_size: r.target for r in got}.values()))
+    assert mixing.summary(nothing).count() == 0 and mixing.mixture(nothing).count() == 0
+    assert mixing.mixture(odd).columns == odd.columns
+
+
+# --- 7 toxicity -----------------------------------------------------------
+
+
+def test_unlabelled_learning_finds_the_toxic_word():
+    rng = np.random.default_rng(9)
+    words = [f"word{k}" for k in range(200)]
+    make = lambda bad: " ".join([*rng.choice(words, 40), *(["vile", "vile"] if bad else [])])
+    positive = toxicity.feature_sets(pa.array([make(True) for _ in range(150)]))
+    unlabelled = toxicity.feature_sets(pa.array([make(k % 10 == 0) for k in range(600)]))
+    model = toxicity.train(positive, unlabelled, 0.1)
+    fresh = model.score(pa.array([make(k < 50) for k in range(200)]))
+    assert ((fresh >= 0.3) == (np.arange(200) < 50)).mean() > 0.97
+
+
+def test_toxicity_on_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.classify(docs, marks).join(marks, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([r.predicted for r in held if r.toxic]) > 0.9
+    assert np.mean([r.predicted for r in held if not r.toxic]) < 0.06
+
+
+def test_toxicity_odd(odd, nothing, labels, no_labels):
+    for marks in (labels, no_labels):
+        got = toxicity.classify(odd, marks).collect()
+        assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.classify(nothing, labels).count() == 0
+
+
+# --- 8 token counts -------------------------------------------------------
+
+
+def test_counts_equal_the_tokenizer(spark, texts):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = tokencount.read_vocabulary()
+    worst = min(s for _, s in vocabulary)
+    theirs = Tokenizer(models.Unigram([("<unk>", worst), *vocabulary], 0, False))
+    theirs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace()])
+    every = texts + ["", "   ", "漢字 かな 🙂🙂x 🙂", "⁂⁂ a⁂b ▁▁x x▁y", "a" * 3000]
+    want = [len(e.ids) for e in theirs.encode_batch(every, add_special_tokens=False)]
+    df = spark.createDataFrame([*enumerate(every), (-1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, vocabulary).collect()}
+    assert got.pop(-1) == 0 and [got[k] for k in range(len(every))] == want
+
+
+def test_ties_and_unknowns_follow_the_tokenizer():
+    from tokenizers import Tokenizer, models
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pieces = {"".join(rng.choice(list("abc▁"), rng.integers(1, 5))) for _ in range(12)}
+        vocabulary = [(p, -float(rng.integers(1, 4))) for p in sorted(pieces)]
+        worst = min(s for _, s in vocabulary)
+        theirs = Tokenizer(models.Unigram([("<unk>", worst), *vocabulary], 0, False))
+        counter = tokencount.Counter(vocabulary)
+        for _ in range(20):
+            text = "".join(rng.choice(list("abcd▁"), rng.integers(1, 14)))
+            assert counter.count(text) == len(theirs.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_count_odd(odd, nothing):
+    got = tokencount.count_tokens(odd, [("▁word", -1.0), ("▁", -2.0)]).collect()
+    assert len(got) == odd.count() and {r.doc_id: r.n_tokens for r in got}[2] == 0
+    assert {r.n_tokens for r in tokencount.count_tokens(odd.where("doc_id = 5"), []).collect()} == {12}
+    assert tokencount.count_tokens(nothing, []).count() == 0
+
+
+# --- 9 url reputation -----------------------------------------------------
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = {
+        1: ("HTTPS://WWW.Example.ORG/en/12?x=/es/", "www.example.org", "/en/12", "example.org/en/1", "block"),
+        2: ("http://a.org", "a.org", "", None, None),
+        3: ("http://a.org/", "a.org", "/", "org/", "allow"),
+        4: ("http://x.com/de/1#/fr/", "x.com", "/de/1", "com/de/", "block"),
+        5: ("http://com/fr/", "com", "/fr/", "com/fr/", "allow"),
+        6: ("nothing", "", "", None, None),
+        7: (None, "", "", None, None),
+        8: ("a://b://c/d", "b:", "//c/d", None, None),
+        9: ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
+        10: ("http://example.org?p=1", "example.org", "", None, None),
+        11: ("http://É.ÀB.com/fr/x", "É.Àb.com", "/fr/x", "com/fr/", "allow"),
+    }
+    from textbench.llm.queries import RULES
+
+    pages = spark.createDataFrame([(k, v[0], "html") for k, v in urls.items()], "page_id long, url string, bound string")
+    outcomes = spark.createDataFrame([("http://a.org/q", 0)] * 40 + [("x://ok.net", 1)] * 40 + [(None, None)], "url string, good int")
+    got = {r.page_id: r for r in reputation.judge(pages, outcomes, RULES).collect()}
+    for k, (_, host, path, rule, verdict) in urls.items():
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        assert got[k].verdict == verdict or verdict is None and got[k].verdict in ("allow", "block")
+    assert got[2].verdict == "block"
+    assert reputation.judge(pages.limit(0), outcomes, RULES).count() == 0
+    assert reputation.judge(pages, outcomes.limit(0), RULES).count() == len(urls)
+
+
+def test_bounds_shrink_to_the_domain(spark):
+    rows = [("http://a.bad.net/", 0)] * 200 + [("http://a.good.net/", 1)] * 200 + [("http://b.good.net/", 1)]
+    hosts = spark.createDataFrame([("b.good.net",), ("c.bad.net",), ("z.other.org",), ("a.good.net",)], "host string")
+    known = spark.createDataFrame(rows, "url string, good int").select(
+        reputation.host_and_path(F.col("url"))[0].alias("host"), "good"
+    )
+    got = {r.host: r.bound for r in reputation.host_bounds(known, hosts).collect()}
+    assert got["c.bad.net"] < got["z.other.org"] < got["b.good.net"] <= got["a.good.net"]
+
+
+# --- 10 resharding --------------------------------------------------------
+
+
+def least_moved(supply, capacity):
+    return sum(supply) - sum(min(a, b) for a, b in zip(supply, capacity))
+
+
+def test_flow_moves_the_fewest_bytes():
+    rng = np.random.default_rng(11)
+    for _ in range(25):
+        m, n = rng.integers(1, 9, 2)
+        supply = [int(v) for v in rng.integers(0, 100, m)]
+        capacity = reshard.capacities(sum(supply), int(n))
+        flow = reshard.transfers(supply, capacity)
+        assert [sum(r) for r in flow] == supply and [sum(c) for c in flow.T] == capacity
+        moved = sum(flow[i, j] for i in range(m) for j in range(n) if i != j)
+        assert moved == least_moved(supply, capacity)
+
+
+def test_flow_with_prices_is_optimal():
+    import itertools
+
+    rng = np.random.default_rng(12)
+    for _ in range(10):
+        cost = rng.integers(0, 9, (4, 4)).astype(float)
+        flow = reshard.transfers([1] * 4, [1] * 4, cost)
+        best = min(sum(cost[i, p[i]] for i in range(4)) for p in itertools.permutations(range(4)))
+        assert sum(flow[i, j] * cost[i, j] for i in range(4) for j in range(4)) == best
+
+
+def test_reshard_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = reshard.summary(docs).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in got:
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id]) + 16, zlib.crc32(text[r.doc_id]))
+        assert r.law == "bytes" and r.grown_shard is None
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert set(sizes) == set(range(40))
+    assert max(sizes.values()) < 1.15 * sum(sizes.values()) / 40
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_reshard_odd(odd, nothing):
+    got = reshard.reshard(odd).collect()
+    assert len(got) == odd.count() and "moved" in got[0]
+    assert len({(r.shard, r.slot) for r in got}) == len(got)
+    assert reshard.summary(nothing).count() == 0 and reshard.reshard(nothing).count() == 0
+
+
+def test_rewrite_touches_changed_shards_only(spark, tmp_path):
+    rows = [(i, i % 2, 10) for i in range(40)] + [(100 + i, 2, 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, old int, size long")
+    planned = reshard.plan(df, "old", "size", shards=3, old_shards=3)
+    assert reshard.affected(planned, "old") == []
+    planned = reshard.plan(df, "old", "size", shards=4, old_shards=3, capacity=[200, 100, 200, 100])
+    assert reshard.affected(planned, "old") == [1, 3]
+    reshard.rewrite(planned, "old", str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {1: 10, 3: 10}

@@ -40,7 +40,7 @@ SAMPLED = 2
 #: Chance that a position of the walk agrees at the largest distance, measured on random edits.
 AGREE = 0.3
 _ROWS = 128
-HITS = "array<struct<item_id:bigint,distance:int,words:int,first_word:bigint,occurrences:int>>"
+HITS = "array<struct<item_id:bigint,distance:int,words:int,first_word:bigint>>"
 
 
 def repetitions(recall: float = RECALL, sampled: int = SAMPLED, agree: float = AGREE) -> int:
@@ -227,10 +227,8 @@ def search(index: Index, texts: pa.Array) -> list[list[dict]]:
                     continue
                 at = max(low + end - n_, low)
             hit = best.get((d, i))
-            times = 1 + (hit["occurrences"] if hit else 0)
             if hit is None or distance < hit["distance"]:
-                hit = {"item_id": int(index.ids[i]), "distance": distance, "words": n_, "first_word": at - int(bounds[d])}
-            best[d, i] = hit | {"occurrences": times}
+                best[d, i] = {"item_id": int(index.ids[i]), "distance": distance, "words": n_, "first_word": at - int(bounds[d])}
         for (d, _), hit in sorted(best.items()):
             out[first + d].append(hit)
     return out
@@ -277,7 +275,7 @@ def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col:
             if not kept:
                 kept.append(build_index(block, **options))
             kind = pa.list_(
-                pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("words", pa.int32()), ("first_word", pa.int64()), ("occurrences", pa.int32())])
+                pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("words", pa.int32()), ("first_word", pa.int64())])
             )
             return pa.array(search(kept[0], texts), kind)
 
@@ -290,10 +288,10 @@ def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """(id, item_id, distance, words, first_word, occurrences): a row per document and item found.
+    """(id, item_id, distance, words, first_word): a row per document and item found.
 
-    `first_word` counts the text's words from 0, `occurrences` the separate
-    stretches. Documents without a hit have no row. Repeated rows and rows with
+    The nearest stretch counts; `first_word` numbers the text's words from 0.
+    Documents without a hit have no row. Repeated rows and rows with
     a null id are searched like any other. Other columns are ignored.
     """
     found = docs.select(F.col(id_col), hits(F.col(text_col), benchmark, **options).alias("_hits"))

@@ -19,8 +19,8 @@ def _sum(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, left: str, right: str, most_rounds: int = 64) -> DataFrame:
     """(node, component): each node with the smallest node it is joined to.
 
-    `edges` holds whole numbers; order, repeats and loops do not matter. Nodes
-    without an edge to another node are left out. Each round aggregates minima
+    `edges` holds whole numbers; order, repeats and loops do not matter. A
+    component's smallest node and nodes without an edge to another are left out. Each round aggregates minima
     (partial sums first, so a hot node costs a row per task) and joins them
     back on the node, a join that adaptive execution may split. Rounds are
     about the logarithm of the longest path; each is written to the shared

@@ -33,6 +33,8 @@ SHARED = 3
 #: Reference points, at most: a bounded sample that every task holds.
 MOST_PIVOTS = 4096
 LEAST_PIVOTS = 32
+#: Cosine above which two reference points would be too close to order anything.
+CLOSEST_PIVOTS = 0.95
 LIST = 1024
 
 
@@ -164,11 +166,13 @@ def _solve(cosine: float):
 
 
 def _spread_out(x: np.ndarray, many: int) -> np.ndarray:
-    """Farthest-first choice of `many` rows, from row 0 on."""
+    """Farthest-first choice of up to `many` rows, from row 0 on, none too close to another."""
     chosen = [0]
     nearest = x @ x[0]
-    while len(chosen) < min(many, len(x)):
+    while len(chosen) < many:
         at = int(nearest.argmin())
+        if nearest[at] > CLOSEST_PIVOTS:
+            break
         chosen.append(at)
         np.maximum(nearest, x @ x[at], out=nearest)
     return x[chosen]
