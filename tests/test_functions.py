@@ -38,7 +38,7 @@ ANSWERS = [
     ("5文目: abc", 1, 5, "abc"),
     ("文番号6: abc", 1, 6, "abc"),
     ("x - 8: abc", 1, 8, "abc"),
-    ("x - 51: abc", -1, -1, "abc"),
+    ("x - 51: abc", 1, 51, "abc"),
     ("文番号: 4\nabc", 1, 4, "abc"),
     ("文番号: ９ abc", 1, 9, "abc"),
     ("エラーなし", 0, 0, K.PARSE_FAILED),
@@ -59,10 +59,16 @@ def test_answers(spark):
 
 def test_long_answer_is_cut_in_the_middle(spark):
     rows = [(n, "5: " + "a" * (n - 4) + "z") for n in (5000, 5001)]
-    df = A.parse_answers(spark.createDataFrame(rows, "n int, content string"))
-    got = {r.n: r.ec_pred for r in df.collect()}
+    df = spark.createDataFrame(rows, "n int, content string")
+    got = {r.n: r.ec_pred for r in A.parse_answers(df, most_chars=5000).collect()}
     assert got[5000] == "a" * 4996 + "z"
     assert got[5001] == "a" * 2487
+    assert A.parse_answers(df).where("n = 5001").first().ec_pred == "a" * 4997 + "z"
+
+
+def test_listed_numbers_may_be_limited(spark):
+    df = spark.createDataFrame([("x - 51: abc",)], "content string")
+    assert A.parse_answers(df, most_listed=50).first().se_pred == -1
 
 
 def one(spark, value, kind, build):

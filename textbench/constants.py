@@ -16,7 +16,8 @@ REDACTED_NOTE = "[Thinking content was present but redacted for safety]"
 NO_ERROR_TYPE = "No Error"
 THINK_START, THINK_END = "<think>", "</think>"
 
-# Longest correction text read by the parser and the mark put in the cut.
+# Limits of the published scoring, all of them options: characters of an answer
+# that are read, the mark put in the cut, and the highest number of a listed sentence.
 MAX_CORRECTION_CHARS = 5000
 TRUNCATION_MARK = "\n...[TRUNCATED]...\n"
 MAX_LISTED_SENTENCE = 50
@@ -107,7 +108,6 @@ YES_WORDS = ["yes", "はい", "あり", "エラー", "error", "1"]
 NO_WORDS = ["no", "いいえ", "なし", "エラーなし", "no error", "0"]
 
 # English phrases whose sentences are removed from reasoning.
-# The run-together phrase of the published list is written as the two phrases it stands for.
 PHRASES_EN = [
     "told that",
     "are told",
@@ -119,8 +119,7 @@ PHRASES_EN = [
     "text claims",
     "external instructions",
     "prior knowledge",
-    "prior information",
-    "reference information",
+    "prior informationreference information",
     "reference correction",
     "reference says",
     "sample correction",
@@ -158,6 +157,9 @@ PHRASES_EN = [
     "as if you are analyzing it from scratch",
     "do NOT make any reference",
 ]
+# The same list with the run-together phrase as the two phrases it may stand for; an option.
+RUN_TOGETHER_EN = {"prior informationreference information": ["prior information", "reference information"]}
+PHRASES_EN_SPLIT = [q for p in PHRASES_EN for q in RUN_TOGETHER_EN.get(p, [p])]
 # English phrase sequences, all on one line.
 SEQUENCES_EN = [
     ["This time", "reviewing", "error", "example"],
@@ -229,3 +231,8 @@ SEQUENCES_JA = [
     ["設定上"],
     ["課題として"],
 ]
+
+# Wording of the reasons for which the difficulty filter rejects an item.
+REASON_MODELS = "Complete accuracy: %d/{total} models correct (allowed range for %s: %d-%d)"
+REASON_DIFFERENCE = "Accuracy difference: %s (>= %s threshold for %s)"
+REASON_INCONSISTENT = "Data cleaning: inconsistent data (error_flag=1 but error_sentence_id=None/nan)"

@@ -2,7 +2,9 @@
 
 An answer is looked at in three stages: the asked-for `number: text` after
 decorations are taken off, then common variants, then rarer ones. The first
-stage that yields something wins. `coalesce` stops at the first hit, so an
+stage that yields something wins. Whole answers are read and any sentence
+number counts; the limits of the published scoring (`MAX_CORRECTION_CHARS`,
+`MAX_LISTED_SENTENCE`) are options. `coalesce` stops at the first hit, so an
 answer in the asked-for form costs one pattern only.
 """
 
@@ -22,8 +24,8 @@ from textbench.functions.text import (
 )
 
 # The answer forms. Each row holds a text that the form cannot do
-# without, the pattern of the sentence number, whether it must be one of the
-# first fifty, and the pattern of the corrected text.
+# without, the pattern of the sentence number, whether the number may be
+# limited, and the pattern of the corrected text.
 PRIMARY_FORMS = [
     (":", r"(?m)^\s*(\d+)\s*:\s*.+", False, r"(?ms)^\s*\d+\s*:\s*(.+?)(?:\n\n|\n[A-Z]|\n\*|\n-|$)"),
 ]
@@ -56,7 +58,7 @@ def _found(c: Column, need: str, pattern: str) -> Column:
     )
 
 
-def _number(c: Column, need: str, pattern: str, limited: bool) -> Column:
+def _number(c: Column, need: str, pattern: str, limited: bool, most: int | None) -> Column:
     digits = _found(c, need, pattern)
     # A number too long for a bigint is still a number.
     numbers = F.transform(
@@ -64,12 +66,14 @@ def _number(c: Column, need: str, pattern: str, limited: bool) -> Column:
         lambda d: F.coalesce(fold_digits(d).try_cast("bigint"), F.lit(2**63 - 1)),
     )
     if limited:
-        numbers = F.filter(numbers, lambda n: n.between(1, K.MAX_LISTED_SENTENCE))
+        numbers = F.filter(numbers, lambda n: (n >= 1) if most is None else n.between(1, most))
     return F.get(numbers, F.lit(0))
 
 
-def _numbers(c: Column, forms) -> Column:
-    return F.coalesce(*[_number(c, need, number, limited) for need, number, limited, _ in forms])
+def _numbers(c: Column, forms, most: int | None) -> Column:
+    return F.coalesce(
+        *[_number(c, need, number, limited, most) for need, number, limited, _ in forms]
+    )
 
 
 def _texts(c: Column, forms) -> Column:
@@ -81,17 +85,18 @@ def _says(c: Column, word: tuple[str, str]) -> Column:
     return F.contains(F.upper(c), F.lit(need)) & c.rlike(UNICODE + pattern)
 
 
-def answer_outcome(text: Column, plain: Column) -> Column:
+def answer_outcome(text: Column, plain: Column, most_listed: int | None = None) -> Column:
     """Sentence number, -2 when the answer sees no error, -1 when it cannot be read.
 
-    `text` is the stripped answer, `plain` the same without decorations.
+    `text` is the stripped answer, `plain` the same without decorations. With
+    `most_listed` the forms `N.` and `- N:` take no higher number.
     """
     return F.coalesce(
         F.when(_says(plain, CORRECT_WORD), F.lit(NO_ERROR).cast("bigint")),
-        _numbers(plain, PRIMARY_FORMS),
-        _numbers(text, SECONDARY_FORMS),
+        _numbers(plain, PRIMARY_FORMS, most_listed),
+        _numbers(text, SECONDARY_FORMS, most_listed),
         F.when(_says(text, NO_ERROR_WORD), F.lit(NO_ERROR).cast("bigint")),
-        _numbers(text, TERTIARY_FORMS),
+        _numbers(text, TERTIARY_FORMS, most_listed),
         F.lit(K.NO_ANSWER).cast("bigint"),
     )
 
@@ -119,18 +124,20 @@ def correction_text(text: Column, plain: Column) -> Column:
     )
 
 
-def _prepared(df: DataFrame, content: str, cut: bool) -> DataFrame:
+def _prepared(df: DataFrame, content: str, most_chars: int | None = None) -> DataFrame:
     """Add `_text` and `_plain`, each computed once however many patterns read it."""
     c = F.coalesce(F.col(content), F.lit(""))
-    text = strip(truncate_middle(c) if cut else c)
+    text = strip(c if most_chars is None else truncate_middle(c, most_chars))
     return df.withColumn("_text", text).withColumn("_plain", strip_decoration(F.col("_text")))
 
 
-def parse_outcome(df: DataFrame, content: str = "content") -> DataFrame:
+def parse_outcome(
+    df: DataFrame, content: str = "content", most_listed: int | None = None
+) -> DataFrame:
     """Add `ed_pred` (1 error, 0 none, -1 unreadable) and `se_pred`, the number of
     the wrong sentence (0 none, -1 unreadable)."""
-    read = _prepared(df, content, cut=False).withColumn(
-        "_outcome", answer_outcome(F.col("_text"), F.col("_plain"))
+    read = _prepared(df, content).withColumn(
+        "_outcome", answer_outcome(F.col("_text"), F.col("_plain"), most_listed)
     )
     both = {
         "ed_pred": outcome_detection(F.col("_outcome")),
@@ -139,14 +146,24 @@ def parse_outcome(df: DataFrame, content: str = "content") -> DataFrame:
     return read.withColumns(both).drop("_outcome", "_text", "_plain")
 
 
-def parse_correction(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add `ec_pred`: corrected text, '' no error, PARSE_FAILED unreadable."""
-    read = _prepared(df, content, cut=True)
+def parse_correction(
+    df: DataFrame, content: str = "content", most_chars: int | None = None
+) -> DataFrame:
+    """Add `ec_pred`: corrected text, '' no error, PARSE_FAILED unreadable.
+
+    With `most_chars` a longer answer is read as its two ends.
+    """
+    read = _prepared(df, content, most_chars)
     return read.withColumn("ec_pred", correction_text(F.col("_text"), F.col("_plain"))).drop(
         "_text", "_plain"
     )
 
 
-def parse_answers(df: DataFrame, content: str = "content") -> DataFrame:
+def parse_answers(
+    df: DataFrame,
+    content: str = "content",
+    most_chars: int | None = None,
+    most_listed: int | None = None,
+) -> DataFrame:
     """Add `ed_pred`, `se_pred` and `ec_pred`."""
-    return parse_correction(parse_outcome(df, content), content)
+    return parse_correction(parse_outcome(df, content, most_listed), content, most_chars)

@@ -84,7 +84,10 @@ def extract_reasoning_items(raw: Column) -> Column:
 
 
 def redact_keys(raw: Column, keys: Sequence[str]) -> Column:
-    """Drop the named keys at every depth of a free JSON text."""
+    """Drop the named keys at every depth of a free JSON text.
+
+    Texts that are no JSON stay as they are, whatever they mention.
+    """
     secret = frozenset(keys)
 
     def without(value):
@@ -98,13 +101,20 @@ def redact_keys(raw: Column, keys: Sequence[str]) -> Column:
     def redact(texts: pd.Series) -> pd.Series:
         import json
 
-        return texts.map(
-            lambda t: t if t is None else json.dumps(without(json.loads(t)), ensure_ascii=False)
-        )
+        def clean(text):
+            if text is None:
+                return None
+            try:
+                return json.dumps(without(json.loads(text)), ensure_ascii=False)
+            except ValueError:
+                return text
+
+        return texts.map(clean)
 
-    # Texts that do not name a key stay in the JVM untouched.
+    # A function of Python runs on every row, so texts that name no key go in as nulls.
     names = "|".join(re.escape(k) for k in keys)
-    return F.when(raw.rlike(f'"(?:{names})"'), redact(raw)).otherwise(raw) if keys else raw
+    named = F.when(raw.rlike(f'"(?:{names})"'), raw)
+    return F.coalesce(redact(named), raw) if keys else raw
 
 
 # --- cleaning ---------------------------------------------------------------

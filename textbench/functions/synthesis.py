@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from textbench import constants as K
 from textbench.functions.text import UNICODE, null_if_empty, strip, strip_bold
 
-# The seven ways a record is headed. Group 1 is the choice, group 2
+# The seven ways a record is headed. They differ from the published ones in three
+# points: both wordings of the record type are read, the type is not captured, and the text is
+# matched without backtracking. Group 1 is the choice, group 2
 # the text of the record, which holds no # and so ends at the next one or at the
 # end of the response. Both wordings of the record type are read.
 _KIND = r"(?:Correct record|Error record|正しい記録|エラー記録)"
@@ -29,12 +31,13 @@ LOOSE = [
     r"選択肢\s*{}[^#]*?記録[^#]*?(\d+\.\s*[^\n]+)",
 ]
 SECTION = r"(選択肢\s*{}[^#]*?)(?=選択肢\s*[a-e]|$)"
-FEW_RECORDS = 4
-# Marks of the error part and the number of bare lines that may stand for sentences.
+# Marks of the error part.
 TYPE_MARK, NUMBER_MARK, WRONG_MARK, RIGHT_MARK, ERROR_MARK = (
     "エラータイプ:", "エラー文番号:", "エラー文:", "修正文:", "エラー",
 )
-BARE_LINES = 10
+# The published limits, which are options here: choices are looked for one by one
+# when fewer records than this were read, and so many bare lines may stand for sentences.
+FEW_RECORDS, BARE_LINES = 4, 10
 _NUMBERED = r"(\d+)\.\s*([^\n]+(?:\n(?!\d+\.)[^\n]*+)*+)"
 _FLAGS = "(?Udis)"
 
@@ -77,9 +80,11 @@ def _loose_section(content: Column, letter: str) -> Column:
     return F.transform(found, lambda b: _section(F.lit(letter), b, b, True))
 
 
-def with_sections(df: DataFrame, content: str) -> DataFrame:
+def with_sections(df: DataFrame, content: str, few_records: int | None = None) -> DataFrame:
     """Add `_sections`. A later heading form counts only if it finds strictly
-    more choices, so it is not even tried once all five are found."""
+    more choices, so it is not even tried once all five are found. Choices that
+    are still missing are looked for one by one; with `few_records` only in
+    responses that gave fewer records."""
     text = F.coalesce(F.col(content), F.lit(""))
     best = F.col("_sections")
     out = df.withColumn("_sections", _headed(text, HEADINGS[0]))
@@ -100,16 +105,25 @@ def with_sections(df: DataFrame, content: str) -> DataFrame:
         for x in K.CHOICES
     ]
     return out.withColumn(
-        "_sections", F.when(F.size(best) < FEW_RECORDS, F.concat(best, *extra)).otherwise(best)
+        "_sections", F.when(F.size(best) < (few_records or len(K.CHOICES)), F.concat(best, *extra)).otherwise(best)
     )
 
 
-def parse_synthesis(df: DataFrame, content: str = "content") -> DataFrame:
+def parse_synthesis(
+    df: DataFrame,
+    content: str = "content",
+    bare_lines: int | None = None,
+    few_records: int | None = None,
+) -> DataFrame:
     """One row per record read from a response: `choice`, `record_type`,
-    `sentences` and the error fields. Responses without records give no row."""
+    `sentences` and the error fields. Responses without records give no row.
+
+    A record without numbers takes its lines as sentences, all of them or the
+    first `bare_lines`.
+    """
     # The outer form keeps Spark from testing the array a second time below the explode,
     # which would compute every section twice.
-    rows = with_sections(df, content).withColumn("_s", F.explode_outer("_sections"))
+    rows = with_sections(df, content, few_records).withColumn("_s", F.explode_outer("_sections"))
     rows = rows.drop("_sections").where(F.col("_s").isNotNull()).withColumns(
         {
             # The heading is the first line; a section found loosely is an error record.
@@ -139,7 +153,7 @@ def parse_synthesis(df: DataFrame, content: str = "content") -> DataFrame:
     rows = rows.withColumns(
         {
             "sentences": F.when(F.size("_numbered") > 0, F.col("_numbered")).otherwise(
-                F.slice(bare, 1, BARE_LINES)
+                bare if bare_lines is None else F.slice(bare, 1, bare_lines)
             ),
             "record_type": F.when(correct, "correct").otherwise("error"),
             "_type": after(TYPE_MARK),

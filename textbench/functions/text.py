@@ -189,8 +189,10 @@ def text_between(c: Column, start: str, end: str) -> Column:
 
 
 def first_number(c: Column) -> Column:
+    """The first number; one beyond a bigint counts as the largest bigint."""
     digits = F.regexp_extract(c, UNICODE + r"\d+", 0)
-    return fold_digits(digits).try_cast("bigint")
+    most = F.when(digits != "", F.lit(2**63 - 1))
+    return F.coalesce(fold_digits(digits).try_cast("bigint"), most)
 
 
 def fold_digits(c: Column) -> Column:

@@ -17,6 +17,8 @@ from textbench.operators.ordinal import (
 )
 from textbench.operators.score import count_where, ratio
 
+#: Error types that may have limits of their own.
+MOST_LIMITS = 1000
 TEXT_FIELDS = ["sentences", "corrected_text", "error_sentence", "corrected_sentence"]
 
 # --- validation -------------------------------------------------------------
@@ -128,21 +130,22 @@ def quality_filter(
         F.when(flag == 0, K.NO_ERROR_TYPE).otherwise(T.map_error_type(F.col("error_type"), mapping)),
     )
     names = ["stage1_min_models", "stage1_max_models", "stage2_max_diff"]
-    default = limits.where(F.col("error_type") == "default")
-    own = limits.select(F.col("error_type").alias("error_type_english"), *names)
-    # No hint: Spark broadcasts the limits when they are small and joins by key otherwise.
-    ready = typed.join(own, "error_type_english", "left")
+    rows = limits.select("error_type", *names).limit(MOST_LIMITS + 1).collect()
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"limits for more than {MOST_LIMITS} error types")
+    # The few limits become literals: items, with their texts, are not shuffled by their type.
+    own = {r.error_type: r for r in rows}
     known = F.col("complete_accuracy").isNotNull() & F.col("detection_accuracy").isNotNull()
     lost = F.raise_error(F.concat(F.lit("no limits for "), F.col("error_type_english")))
-    ready = ready.withColumns(
-        {
-            n: F.when(
-                known,
-                F.coalesce(F.col(n), default.agg(F.max(n)).scalar(), lost.cast(limits.schema[n].dataType)),
-            )
-            for n in names
-        }
-    )
+
+    def limit(name):
+        kind = limits.schema[name].dataType
+        default = F.lit(own["default"][name]).cast(kind) if "default" in own else lost.cast(kind)
+        named = [x for t, r in own.items() if t is not None and r[name] is not None for x in (F.lit(t), F.lit(r[name]).cast(kind))]
+        listed = F.try_element_at(F.create_map(*named), F.col("error_type_english")) if named else F.lit(None)
+        return F.when(known, F.coalesce(listed, default))
+
+    ready = typed.withColumns({n: limit(n) for n in names})
     difference = F.col("detection_accuracy") - F.col("complete_accuracy")
     right = (F.col("complete_accuracy") * total_models).cast("int")
     staged = ready.withColumns({"accuracy_difference": difference, "models_correct": right})
@@ -162,7 +165,7 @@ def quality_filter(
         F.when(
             stage == 1,
             F.format_string(
-                f"Complete accuracy: %d/{total_models} models correct (allowed range for %s: %d-%d)",
+                K.REASON_MODELS.format(total=total_models),
                 n,
                 "error_type_english",
                 "stage1_min_models",
@@ -171,20 +174,14 @@ def quality_filter(
         )
         .when(
             stage == 2,
-            F.concat(
-                F.lit("Accuracy difference: "),
+            F.format_string(
+                K.REASON_DIFFERENCE,
                 percent(F.col("accuracy_difference")),
-                F.lit(" (>= "),
                 percent(F.col("stage2_max_diff")),
-                F.lit(" threshold for "),
-                F.col("error_type_english"),
-                F.lit(")"),
+                "error_type_english",
             ),
         )
-        .when(
-            stage == 3,
-            "Data cleaning: inconsistent data (error_flag=1 but error_sentence_id=None/nan)",
-        )
+        .when(stage == 3, K.REASON_INCONSISTENT)
     )
     adopted = known & stage.isNull()
     judged = staged.withColumns(

@@ -178,6 +178,8 @@ def filter_items(
     yes = F.col("error_flag") == 1 if positive is None else positive
     out = items
     if len(status) == 1 and status[0] in labels:
+        # An unknown status counts as the second one.
+        yes = F.coalesce(yes, F.lit(False))
         out = out.where(yes if status[0] == labels[0] else ~yes)
     if categories:
         kind = F.coalesce(T.null_if_empty(F.col("error_type")), F.lit("None"))

@@ -99,19 +99,27 @@ def extraction_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def group_language(
-    df: DataFrame, reference: str, by: Sequence[str], order: str, votes: int = 5
+    df: DataFrame,
+    reference: str,
+    by: Sequence[str],
+    order: str | None = None,
+    votes: int | None = None,
 ) -> DataFrame:
-    """(by…, language): majority over the first references of each group.
+    """(by…, language): majority over the references of each group.
 
-    Only `votes` rows per group leave a task, since Spark keeps the first rows
-    of a ranked window before the shuffle.
+    All references vote, counted inside the tasks first. With `votes` only the
+    first ones by `order` do, as in the published scoring (five); then only so
+    many rows per group leave a task.
     """
-    first = Window.partitionBy(*by).orderBy(order)
-    voters = (
-        df.select(*by, order, F.col(reference).alias("_ref"))
-        .withColumn("_place", F.row_number().over(first))
-        .where(F.col("_place") <= votes)
-    )
+    if votes is None:
+        voters = df.select(*by, F.col(reference).alias("_ref"))
+    else:
+        first = Window.partitionBy(*by).orderBy(order)
+        voters = (
+            df.select(*by, order, F.col(reference).alias("_ref"))
+            .withColumn("_place", F.row_number().over(first))
+            .where(F.col("_place") <= votes)
+        )
     seen = voters.withColumn(
         "_lang", F.when(~T.is_blank(F.col("_ref")), T.detect_language(F.col("_ref")))
     )
@@ -170,13 +178,19 @@ def pair_counters(pairs: DataFrame, by: Sequence[str], count_empty_na: bool = Fa
 
 
 def with_language(
-    pairs: DataFrame, by: Sequence[str], order: str, language: str | None = None
+    pairs: DataFrame,
+    by: Sequence[str],
+    order: str,
+    language: str | None = None,
+    votes: int | None = None,
 ) -> DataFrame:
-    """Add the language of the group, detected unless it is given."""
+    """Add the language of the group, detected unless it is given; null keys are a group too."""
     if language is not None:
         return pairs.withColumn("language", F.lit(language))
-    votes = group_language(pairs, "reference", by, order)
-    return pairs.join(votes, list(by))
+    found = group_language(pairs, "reference", by, order, votes)
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in by], "language")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+    return pairs.join(found, same).drop(*[f"_{k}" for k in by])
 
 
 def score_pairs(
@@ -223,9 +237,14 @@ def score_pairs(
 
 
 def correction_per_item(
-    pairs: DataFrame, by: Sequence[str], order: str, language: str | None = None, **options
+    pairs: DataFrame,
+    by: Sequence[str],
+    order: str,
+    language: str | None = None,
+    votes: int | None = None,
+    **options,
 ) -> DataFrame:
-    return score_pairs(with_language(pairs, by, order, language), **options)
+    return score_pairs(with_language(pairs, by, order, language, votes), **options)
 
 
 def correction_metrics(
@@ -387,17 +406,21 @@ def screening_metrics(judgments: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def issue_histogram(judgments: DataFrame, by: Sequence[str], most: int = 5) -> DataFrame:
-    """(by…, issues, samples, rate) for 0 … `most` issues, zeros included."""
+    """(by…, issues, samples, rate) for 0 … `most` issues, zeros included.
+
+    The bin `most` + 1 holds all higher totals.
+    """
     total = F.col("judgment.total_issues")
     ok = ~F.col("judgment.parse_error")
     counts = judgments.groupBy(*by).agg(
         count_where(ok).alias("_valid"),
         *[count_where(ok & (total == i)).alias(f"_{i}") for i in range(most + 1)],
+        count_where(ok & (total > most)).alias(f"_{most + 1}"),
     )
     rows = F.array(
         *[
             F.struct(F.lit(i).alias("issues"), F.col(f"_{i}").alias("samples"))
-            for i in range(most + 1)
+            for i in range(most + 2)
         ]
     )
     return (

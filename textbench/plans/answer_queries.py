@@ -16,10 +16,14 @@ from textbench.plans.registry import query
 c = F.col
 KEYS = ["model", "template", "ord"]
 
-# What each built answer means; a bare `N.` is read as a number up to fifty only.
-DETECTION = "CASE WHEN ed_pred = 1 AND ord % 6 = 3 AND se_pred > 50 THEN -1 ELSE ed_pred END"
-SENTENCE = "CASE WHEN ed_pred = 1 AND ord % 6 = 3 AND se_pred > 50 THEN -1 ELSE se_pred END"
-CORRECTION = """CASE WHEN ed_pred = 1 THEN CASE WHEN length(content) <= 5000 THEN answer_text
+# What each built answer means.
+DETECTION = "ed_pred"
+SENTENCE = "se_pred"
+CORRECTION = """CASE WHEN ed_pred = 1 THEN answer_text
+    WHEN contains(content, 'CORRECT') THEN '' ELSE 'PARSE_FAILED' END"""
+# The same under the published limits: a bare `N.` up to fifty, and the ends of long answers.
+LISTED = "CASE WHEN ed_pred = 1 AND ord % 6 = 3 AND se_pred > 50 THEN -1 ELSE {} END"
+CUT = """CASE WHEN ed_pred = 1 THEN CASE WHEN length(content) <= 5000 THEN answer_text
          ELSE rtrim(substr(content, length(lead) + 1, 2490 - length(lead))) END
     WHEN contains(content, 'CORRECT') THEN '' ELSE 'PARSE_FAILED' END"""
 
@@ -51,6 +55,19 @@ def _(fx):
     return A.parse_correction(fx.response).select(*KEYS, c("ec_pred").alias("pred"))
 
 
+@query(
+    "parse_limited",
+    f"""SELECT model, template, ord, CAST({LISTED.format("ed_pred")} AS INT) AS ed, CAST({LISTED.format("se_pred")} AS BIGINT) AS se, {CUT} AS ec
+        FROM fx_response""",
+    ["response"],
+)
+def _(fx):
+    read = A.parse_answers(
+        fx.response, most_chars=K.MAX_CORRECTION_CHARS, most_listed=K.MAX_LISTED_SENTENCE
+    )
+    return read.select(*KEYS, c("ed_pred").alias("ed"), c("se_pred").alias("se"), c("ec_pred").alias("ec"))
+
+
 @query(
     "parse_and_score",
     f"""SELECT model, template, tp, fp, tn, fn, round((tp + tn) / n, 6) AS accuracy,

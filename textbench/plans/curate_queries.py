@@ -22,16 +22,25 @@ _SOLVED = """SELECT sample_id, count(DISTINCT model) AS models,
         THEN ed_pred = 1 AND CASE WHEN se_pred = 0 THEN 1 ELSE se_pred END = error_sentence_id
         ELSE ed_pred = 0 END) AS complete_models,
     count(DISTINCT model) FILTER (WHERE (ed_pred = 1) = (error_flag = 1)) AS detection_models
-    FROM fx_pred WHERE NOT (lang = 'de' AND quality IS NULL) GROUP BY sample_id"""
+    FROM fx_pred GROUP BY sample_id"""
 _ACCURACY = f"""acc AS (SELECT sample_id, models, complete_models, detection_models,
     complete_models::DOUBLE / models AS complete_accuracy, detection_models::DOUBLE / models AS detection_accuracy
     FROM ({_SOLVED}) s)"""
+# The same with accuracies that are not known for some items.
+_UNKNOWN = "lower(sample_id) LIKE '%_c_m1'"
+_KNOWN = f"""{_ACCURACY.replace("acc AS", "every AS")}, acc AS (SELECT * REPLACE (
+    CASE WHEN {_UNKNOWN} THEN NULL ELSE complete_accuracy END AS complete_accuracy,
+    CASE WHEN {_UNKNOWN} THEN NULL ELSE detection_accuracy END AS detection_accuracy) FROM every)"""
 
 
 def _accuracies(fx):
-    # Nobody was asked about unlabelled German items.
-    asked = fx.pred.where(~((c("lang") == "de") & c("quality").isNull()))
-    return curate.item_accuracy(asked)
+    return curate.item_accuracy(fx.pred)
+
+
+def _known(fx):
+    known = ~c("sample_id").like("%\\_c\\_m1")
+    both = ("complete_accuracy", "detection_accuracy")
+    return _accuracies(fx).withColumns({n: F.when(known, c(n)) for n in both})
 
 
 @query(
@@ -91,7 +100,7 @@ def _(fx):
 
 
 # Limits by type; type2 has its own, every other one the default.
-_STAGED = f"""WITH {_ACCURACY}, staged AS (
+_STAGED = f"""WITH {_KNOWN}, staged AS (
     SELECT s.*, complete_accuracy, detection_accuracy, etype,
            CASE WHEN complete_accuracy IS NULL THEN NULL
                 WHEN CAST(floor(complete_accuracy * {MODELS}) AS INT) < lo OR CAST(floor(complete_accuracy * {MODELS}) AS INT) > hi THEN 1
@@ -113,7 +122,7 @@ def _filtered(fx):
         fx.sample.select(
             "ord", "sample_id", "error_flag", "error_type", "error_sentence_id", "corrected_sentence"
         ),
-        _accuracies(fx),
+        _known(fx),
     )
     return curate.quality_filter(items, limits, MODELS)
 
@@ -162,10 +171,10 @@ def _(fx):
 
 @query(
     "accuracy_distribution",
-    f"""WITH {_ACCURACY} SELECT measure, bin, count(*) AS items FROM (
-            SELECT 'complete' AS measure, {_BIN.format('complete_accuracy')} AS bin FROM acc
-            UNION ALL SELECT 'detection', {_BIN.format('detection_accuracy')} FROM acc
-            UNION ALL SELECT 'difference', {_DIFF_BIN.format('(detection_accuracy - complete_accuracy)')} FROM acc) x GROUP BY measure, bin""",
+    f"""WITH {_KNOWN}, k AS (SELECT * FROM acc WHERE complete_accuracy IS NOT NULL) SELECT measure, bin, count(*) AS items FROM (
+            SELECT 'complete' AS measure, {_BIN.format('complete_accuracy')} AS bin FROM k
+            UNION ALL SELECT 'detection', {_BIN.format('detection_accuracy')} FROM k
+            UNION ALL SELECT 'difference', {_DIFF_BIN.format('(detection_accuracy - complete_accuracy)')} FROM k) x GROUP BY measure, bin""",
     ["pred"],
 )
 def _(fx):
@@ -220,10 +229,11 @@ def _(fx):
     return curate.dedup_best(items).select("ord", "sample_id")
 
 
-# Only items of the groups' kept rows: French ones leave groups of one, two and three.
+# Ids of French items name no model, so each is a group of its own beside groups of one, two and three.
 @query(
     "dedup_alternating",
-    f"""WITH s AS (SELECT ord, sample_id, {_BASE} AS base FROM fx_sample WHERE lang <> 'fr'),
+    f"""WITH s AS (SELECT ord, CASE WHEN lang = 'fr' THEN concat('f', CAST(ord AS VARCHAR)) ELSE sample_id END AS sample_id,
+                  CASE WHEN lang = 'fr' THEN concat('f', CAST(ord AS VARCHAR)) ELSE {_BASE} END AS base FROM fx_sample),
         g AS (SELECT base, min(ord) AS first, count(*) AS size FROM s GROUP BY base),
         k AS (SELECT base, size, row_number() OVER (ORDER BY first) - 1 AS k FROM g WHERE size > 1),
         r AS (SELECT s.*, row_number() OVER (PARTITION BY base ORDER BY ord) - 1 AS place FROM s)
@@ -231,25 +241,28 @@ def _(fx):
     ["sample"],
 )
 def _(fx):
-    items = fx.sample.where(c("lang") != "fr").select("ord", "sample_id")
+    own = F.concat(F.lit("f"), c("ord").cast("string"))
+    named = F.when(c("lang") == "fr", own).otherwise(c("sample_id"))
+    items = fx.sample.select("ord", named.alias("sample_id"))
     return curate.dedup_alternating(items)
 
 
 # --- merging ----------------------------------------------------------------
 
-# Left: items in English, French and German; right: those with a label, ids blanked
-# for toxic-free Spanish ones stay out. Both repeat their ids with a later copy.
-_SIDES = """l AS (SELECT sample_id, ord, error_flag FROM fx_sample WHERE lang <> 'es'),
-    r AS (SELECT CASE WHEN lang = 'de' THEN '' ELSE sample_id END AS sample_id, ord, 1 - error_flag AS error_flag FROM fx_sample WHERE quality IS NOT NULL)"""
+# Spanish ids differ on the left, those of unlabelled items on the right, and German
+# ones are blank on the right.
+_SIDES = """l AS (SELECT CASE WHEN lang = 'es' THEN concat('left', sample_id) ELSE sample_id END AS sample_id, ord, error_flag FROM fx_sample),
+    r AS (SELECT CASE WHEN lang = 'de' THEN '' WHEN quality IS NULL THEN concat('right', sample_id) ELSE sample_id END AS sample_id,
+                 ord, 1 - error_flag AS error_flag FROM fx_sample)"""
 
 
 def _sides(fx):
     s = fx.sample.select("sample_id", "ord", "error_flag", "lang", "quality")
-    left = s.where(c("lang") != "es").select("sample_id", "ord", "error_flag")
-    named = F.when(c("lang") == "de", "").otherwise(c("sample_id"))
-    right = s.where(c("quality").isNotNull()).select(
-        named.alias("sample_id"), "ord", (1 - c("error_flag")).alias("error_flag")
-    )
+    own = c("sample_id")
+    named = F.when(c("lang") == "es", F.concat(F.lit("left"), own)).otherwise(own)
+    left = s.select(named.alias("sample_id"), "ord", "error_flag")
+    named = F.when(c("lang") == "de", "").when(c("quality").isNull(), F.concat(F.lit("right"), own)).otherwise(own)
+    right = s.select(named.alias("sample_id"), "ord", (1 - c("error_flag")).alias("error_flag"))
     return left, right
 
 

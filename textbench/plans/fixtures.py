@@ -139,11 +139,11 @@ def _judge(d: Dialect) -> str:
                             ', "explanation": "seen in ', lang, '"}}') END AS output
     FROM (SELECT s.sample_id, s.ord, s.lang, s.error_flag, s.error_type,
                  concat('judge', {d.text("t")}) AS template,
-                 CASE WHEN (s.ord + t) % 23 = 0 THEN 1 ELSE 0 END AS unread,
+                 CASE WHEN (s.ord + t) % 23 = 0 OR s.lang = 'es' AND s.quality IS NULL THEN 1 ELSE 0 END AS unread,
                  (s.ord + t) % 4 % 2 AS c_ambiguous,
                  CASE WHEN s.ord % 9 = 0 THEN 1 ELSE 0 END AS c_multiple,
                  CASE WHEN (s.ord + t) % 13 = 0 THEN 2 ELSE 0 END AS c_special
-          FROM {d.each("(SELECT * FROM fx_sample WHERE quality IS NOT NULL) s", 2, "t")}) j"""
+          FROM {d.each("fx_sample s", 2, "t")}) j"""
 
 
 def _label(d: Dialect) -> str:
@@ -250,9 +250,8 @@ def _synth(d: Dialect) -> str:
                   CASE WHEN lang = 'en' THEN '' ELSE concat('{head.format("e", "Correct record")}', chr(10), '1. only e', chr(10)) END)
                AS content
     FROM (SELECT q.*, concat('synth', {d.text("ord % 2")}) AS model,
-                 trim(replace(replace(replace(text, chr(10), ' '), '#', ''), '**', '')) AS story
-          FROM fx_question q) r
-    WHERE answer <> 'f'"""
+                 trim(replace(replace(replace(replace(text, chr(10), ' '), '#', ''), '**', ''), '選択肢', '')) AS story
+          FROM fx_question q) r"""
 
 
 _TABLES = {
@@ -293,14 +292,11 @@ def with_tables(names: list[str], query: str, dialect: Dialect = DUCK) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table kept in fewer files than there are cores.
+    """Deal the rows of a text table out evenly, whatever its files and keys are.
 
-    A table of many files is left as it is read.
+    It belongs to the derivation of the tables below, not to the operators.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, df.columns[0])
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 class Tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textbench.plans import flows
-from textbench.plans.curate_queries import _STAGED, _VERDICT, MODELS
+from textbench.plans.curate_queries import _ACCURACY, _KNOWN, _STAGED, _VERDICT, MODELS
 from textbench.plans.registry import query
 from textbench.plans.score_queries import R6, _n
 
@@ -61,7 +61,7 @@ def _(fx):
 
 @query(
     "build_benchmark",
-    f"""{_STAGED}, {_VERDICT}, kept AS (SELECT ord, sample_id, grp FROM filtered WHERE split = 'adopted'),
+    f"""{_STAGED.replace(_KNOWN, _ACCURACY)}, {_VERDICT}, kept AS (SELECT ord, sample_id, grp FROM filtered WHERE split = 'adopted'),
         g AS (SELECT grp, min(ord) AS first, count(*) AS size FROM kept GROUP BY grp),
         k AS (SELECT grp, size, row_number() OVER (ORDER BY first) - 1 AS k FROM g WHERE size > 1),
         r AS (SELECT kept.*, row_number() OVER (PARTITION BY grp ORDER BY ord) - 1 AS place FROM kept)
@@ -77,7 +77,5 @@ def _(fx):
     items = fx.sample.select(
         "ord", "sample_id", "sentences", "error_flag", "error_type", "error_sentence_id", "corrected_sentence"
     )
-    # Nobody was asked about unlabelled German items.
-    asked = fx.pred.where(~((c("lang") == "de") & c("quality").isNull()))
-    built = flows.build_benchmark(items, asked, limits, fx.judge, MODELS)
+    built = flows.build_benchmark(items, fx.pred, limits, fx.judge, MODELS)
     return built.select("ord", "sample_id", "is_valid")

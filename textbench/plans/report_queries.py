@@ -221,13 +221,15 @@ def _scored(fx):
     right = F.when(c("se_pred") == F.coalesce("error_sentence_id", F.lit(0)), 1.0).when(
         c("ed_pred") == c("error_flag"), 0.5
     )
-    return fx.pred.where(c("model").isin(*MODELS) & (c("lang") != "es")).select(
-        "sample_id", F.coalesce(right, F.lit(0.0)).alias("composite")
+    # Spanish answers were never scored.
+    right = F.when(c("lang") != "es", F.coalesce(right, F.lit(0.0)))
+    return fx.pred.where(c("model").isin(*MODELS)).select(
+        "sample_id", right.alias("composite")
     )
 
 
-_COMPOSITE = f"""m AS (SELECT sample_id, avg(CASE WHEN se_pred = coalesce(error_sentence_id, 0) THEN 1.0 WHEN ed_pred = error_flag THEN 0.5 ELSE 0 END) AS composite
-    FROM fx_pred WHERE {CHOSEN} AND lang <> 'es' GROUP BY sample_id)"""
+_COMPOSITE = f"""m AS (SELECT sample_id, avg(CASE WHEN lang = 'es' THEN NULL WHEN se_pred = coalesce(error_sentence_id, 0) THEN 1.0 WHEN ed_pred = error_flag THEN 0.5 ELSE 0 END) AS composite
+    FROM fx_pred WHERE {CHOSEN} GROUP BY sample_id)"""
 
 
 @query(
@@ -274,17 +276,14 @@ def _(fx):
                p2 AS predicted_id, s.error_sentence_id AS actual_id,
                CASE WHEN p2 BETWEEN 1 AND s.n_sentences THEN string_split(s.sentences, chr(10))[p2] ELSE '' END AS predicted_sentence,
                coalesce(s.error_sentence, '') AS actual_sentence, pc AS predicted_correction, coalesce(s.corrected_sentence, '') AS actual_correction
-        FROM (SELECT *, CASE WHEN ed_pred = 1 AND ord % 6 = 3 AND se_pred > 50 THEN -1 ELSE ed_pred END AS p1,
-                     CAST(CASE WHEN ed_pred = 1 AND ord % 6 = 3 AND se_pred > 50 THEN -1 ELSE se_pred END AS BIGINT) AS p2,
-                     CASE WHEN ed_pred = 1 THEN CASE WHEN length(content) <= 5000 THEN answer_text ELSE rtrim(substr(content, length(lead) + 1, 2490 - length(lead))) END
-                          WHEN contains(content, 'CORRECT') THEN '' ELSE 'PARSE_FAILED' END AS pc FROM fx_response WHERE {CHOSEN}) r
+        FROM (SELECT *, ed_pred AS p1, se_pred AS p2,
+                     CASE WHEN ed_pred = 1 THEN answer_text
+                          WHEN contains(content, 'CORRECT') THEN '' ELSE 'PARSE_FAILED' END AS pc FROM fx_response) r
         JOIN fx_sample s ON r.sample_id = s.sample_id""",
     ["response", "sample"],
 )
 def _(fx):
-    answers = fx.response.where(c("model").isin(*MODELS)).select(
-        "sample_id", "model", "template", "content"
-    )
+    answers = fx.response.select("sample_id", "model", "template", "content")
     return report.compare_prediction(fx.sample, A.parse_answers(answers))
 
 

@@ -297,8 +297,8 @@ def _(fx):
     "issue_histogram",
     f"""SELECT template, issues, samples, {R6("samples", "ok")} AS rate FROM
         (SELECT template, {_n("unread = 0")} AS ok FROM fx_judge GROUP BY template) a
-        JOIN (SELECT b.template, issues, {_n("unread = 0 AND total_issues = issues")} AS samples
-              FROM (SELECT template, unread, {JUDGE_COLUMNS} FROM fx_judge) b CROSS JOIN (SELECT CAST(unnest(range(0, 6)) AS INT) AS issues) i
+        JOIN (SELECT b.template, issues, {_n("unread = 0 AND least(total_issues, 6) = issues")} AS samples
+              FROM (SELECT template, unread, {JUDGE_COLUMNS} FROM fx_judge) b CROSS JOIN (SELECT CAST(unnest(range(0, 7)) AS INT) AS issues) i
               GROUP BY b.template, issues) c USING (template)""",
     ["judge"],
 )

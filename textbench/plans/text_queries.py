@@ -219,17 +219,23 @@ def _(fx):
     return _mixed(fx).select("doc_id", T.detect_language(c("mixed")).alias("language"))
 
 
-@query(
-    "group_language",
-    f"""SELECT source, CASE WHEN ja >= en AND ja >= un THEN 'ja' WHEN en >= un THEN 'en' ELSE 'unknown' END AS language
+_GROUP_LANGUAGE = f"""SELECT source, CASE WHEN ja >= en AND ja >= un THEN 'ja' WHEN en >= un THEN 'en' ELSE 'unknown' END AS language
         FROM (SELECT source, count(*) FILTER (WHERE l = 'ja') AS ja, count(*) FILTER (WHERE l = 'en') AS en,
                      count(*) FILTER (WHERE l = 'unknown') AS un
               FROM (SELECT source, CASE WHEN trim(mixed) <> '' THEN {_LANG} END AS l,
                            row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM {_MIXED}) y
-              WHERE k <= 5 GROUP BY source) z""",
-)
+              WHERE k <= LIMIT_ GROUP BY source) z"""
+
+
+@query("group_language", _GROUP_LANGUAGE.replace("k <= LIMIT_", "true"))
+def _(fx):
+    return score.group_language(_mixed(fx), "mixed", ["source"])
+
+
+@query("group_language_votes", _GROUP_LANGUAGE.replace("LIMIT_", "5"))
 def _(fx):
-    return score.group_language(_mixed(fx), "mixed", ["source"], "doc_id")
+    # The published scoring asks the first five references only.
+    return score.group_language(_mixed(fx), "mixed", ["source"], "doc_id", votes=5)
 
 
 @query(
@@ -332,7 +338,8 @@ def _(fx):
 @query(
     "text_helpers",
     r"""SELECT t.doc_id, CASE WHEN t.doc_id % 4 IN (0, 2) THEN regexp_replace(a, '^\s+|\s+$', '', 'g') END AS between_tags,
-               TRY_CAST(nullif(regexp_extract(d.text, '\d+'), '') AS BIGINT) AS first_number,
+               coalesce(TRY_CAST(nullif(regexp_extract(d.text, '\d+'), '') AS BIGINT),
+                        CASE WHEN regexp_extract(d.text, '\d+') <> '' THEN 9223372036854775807 END) AS first_number,
                CASE WHEN contains(lower(d.text), 'yes') OR contains(lower(d.text), 'error') OR contains(d.text, '1') THEN 1
                     WHEN contains(lower(d.text), 'no') OR contains(d.text, '0') THEN 0 END AS yes_no
         FROM fx_think t JOIN documents d ON t.doc_id = d.doc_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,14 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach, named by `spark.checkpoint.dir`.
 
-    Only where the session names none (a single machine, as in tests) a
-    temporary folder is made and set.
+    Only where the session names none and runs on this machine alone (as in
+    tests) a temporary folder is made and set; a cluster must name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="textbench-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
