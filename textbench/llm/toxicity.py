@@ -192,19 +192,29 @@ def fit(
     if prior is None:
         prior = known.agg(F.avg("toxic")).first()[0] or 0.01
     toxic = known.groupBy(id_col).agg(F.min("toxic").alias("toxic")).where("toxic = 1")
-    sets = F.arrow_udf(
-        lambda t: pa.array([s.view(np.int64) for s in feature_sets(t)], pa.list_(pa.int64())), "array<bigint>"
-    )
 
-    def collect(rows: DataFrame) -> list[np.ndarray]:
-        got = rows.select("_id", sets(F.lower("_text")).alias("s")).collect()
+    def collect(rows: DataFrame, known: np.ndarray | None = None) -> list[np.ndarray]:
+        """Features per document, as bytes on the way; only `known` ones where given."""
+
+        def run(texts: pa.Array) -> pa.Array:
+            found = feature_sets(texts)
+            if known is not None:
+                found = [s[np.isin(s, known)] for s in found]
+            return pa.array([s.tobytes() for s in found], pa.binary())
+
+        got = rows.select("_id", F.arrow_udf(run, "binary")(F.lower("_text")).alias("s")).collect()
         got.sort(key=lambda r: r._id)
-        return [np.array(r.s, np.int64).view(np.uint64) for r in got]
+        return [np.frombuffer(bytes(r.s), np.uint64) for r in got]
 
     found = labelled_sample(docs, toxic, "toxic", F.lit(True), positives, id_col, text_col)
+    positive = collect(found)
+    if not positive:
+        return train(positive, [], prior)
+    # What fewer positives hold is never chosen, so it need not come from the unlabelled ones.
+    code, share = np.unique(np.concatenate(positive), return_counts=True)
     others = docs.where(F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("other"))
     drawn = labelled_sample(docs, others, "other", F.lit(True), unlabelled, id_col, text_col)
-    return train(collect(found), collect(drawn), prior)
+    return train(positive, collect(drawn, code[share >= LEAST_DOCUMENTS]), prior)
 
 
 def score(text: Column, model: PuModel) -> Column:
