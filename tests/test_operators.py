@@ -152,6 +152,41 @@ def test_responder_failures_are_rows(spark):
     assert {(r.ord, r.content, r.error) for r in got} == {(1, None, "down"), (2, None, "down")}
 
 
+def test_a_bad_row_fails_alone(spark):
+    def load():
+        def respond(rows):
+            if any(r["prompt"] == "bad" for r in rows):
+                raise RuntimeError("down")
+            return [{"content": "ok"} for r in rows if r["prompt"] != "lost"]
+
+        return respond
+
+    df = spark.createDataFrame([(1, "p"), (2, "bad"), (3, "lost"), (4, "q")], "ord bigint, prompt string")
+    got = {r.ord: (r.content, r.error) for r in responses.apply_responder(df, load, ["ord"]).collect()}
+    assert got == {1: ("ok", None), 2: (None, "down"), 3: (None, "0 answers to 1 prompts"), 4: ("ok", None)}
+
+
+def test_rounds_start_from_an_earlier_run(spark):
+    def load():
+        return lambda rows: [{"content": "new"} for _ in rows]
+
+    df = spark.createDataFrame([("m", 1), ("m", 2), ("m", 3)], "model string, ord bigint")
+    old = spark.createDataFrame(
+        [("m", 1, "old", None, None), ("m", 2, "", None, "timeout")],
+        "model string, ord bigint, content string, reasoning string, error string",
+    )
+    merged, used = responses.resume_rounds(spark, df, load, ["model"], 3, existing=old)
+    assert used == 1 and {r.ord: r.content for r in merged.collect()} == {1: "old", 2: "new", 3: "new"}
+    merged, used = responses.resume_rounds(spark, df, load, ["model"], 0, existing=old)
+    assert used == 0 and merged.count() == 2
+
+
+def test_a_repeated_position_is_an_error(spark):
+    df = spark.createDataFrame([("q1_a_m0", 0), ("q1_a_m1", 0)], "sample_id string, ord bigint")
+    with pytest.raises(Exception, match="position used twice"):
+        curate.dedup_first(df).collect()
+
+
 def test_rounds_stop_when_nothing_is_left(spark):
     def load():
         return lambda rows: [{"content": "ok"} for _ in rows]

@@ -31,16 +31,19 @@ def parse_judgments(
 ) -> DataFrame:
     """Add a struct of seven criteria, total_issues, is_valid, explanation,
     detected_language and parse_error; -1 everywhere when unreadable."""
+    # One projection per step: what a later one reads more than once is computed once.
     found = df.withColumn("_raw", null_if_empty(F.regexp_extract(output, r"(?s)\{.*?\}", 0)))
-    parsed = found.withColumn("_read", _json_map(F.col("_raw")))
-    judgment = _judgment(F.col("_raw"), F.col("_read"), language)
-    return parsed.withColumn(into, judgment).drop("_raw", "_read")
-
-
-def _judgment(raw: Column, read: Column, language: str) -> Column:
+    fields = ", ".join(f"{name} string" for name in [*K.CRITERIA, "explanation"])
+    read = found.withColumns(
+        {
+            "_keys": F.coalesce(F.map_keys(_json_map(F.col("_raw"))), F.array().cast("array<string>")),
+            # The last of several entries of a name counts.
+            "_value": F.from_json("_raw", fields, _JSON_OPTIONS),
+        }
+    )
 
     def has(name):
-        return F.map_contains_key(read, name)
+        return F.array_contains("_keys", name)
 
     if language == "auto":
         en = has("unrealistic_scenario") | has("inconsistent_context")
@@ -50,51 +53,56 @@ def _judgment(raw: Column, read: Column, language: str) -> Column:
         is_en = F.lit(language == "en")
 
     def number(name):
-        value = _last(read, name)["value"]
+        value = F.col("_value")[name]
         # A JSON true counts one; the text "true" does not.
-        yes = raw.rlike(rf'"{name}"\s*:\s*true')
+        yes = (value == "true") & F.col("_raw").rlike(rf'"{name}"\s*:\s*true')
         real = value.try_cast("double")
         whole = F.when(F.isnan(real), 0).otherwise(real.try_cast("bigint"))
         return F.when(yes, 1).otherwise(F.coalesce(whole, F.lit(0))).cast("bigint")
 
     def infinite(name):
         # The reader puts quotes around numbers beyond a double.
-        value = F.trim(_last(read, name)["value"], F.lit('"'))
+        value = F.trim(F.col("_value")[name], F.lit('"'))
         return F.coalesce(F.abs(value.try_cast("double")) == float("inf"), F.lit(False))
 
     def all_of(names):
-        good = has("explanation")
+        asked = F.array(*[F.lit(n) for n in [*names, "explanation"]])
+        good = F.size(F.array_except(asked, F.col("_keys"))) == 0
         for name in names:
-            good = good & has(name) & ~infinite(name)
+            good = good & ~infinite(name)
         return good
 
-    readable = F.coalesce(F.when(is_en, all_of(K.CRITERIA_EN)).otherwise(all_of(K.CRITERIA_JA)), F.lit(False))
+    judged = read.withColumns(
+        {
+            "_en": is_en,
+            "_good": F.when(is_en, all_of(K.CRITERIA_EN)).otherwise(all_of(K.CRITERIA_JA)),
+            "_number": F.struct(*[number(name).alias(name) for name in K.CRITERIA]),
+        }
+    )
+    zero, lost = (F.lit(x).cast("bigint") for x in (0, -1))
 
     def score(name):
-        if name in K.CRITERIA_JA and name in K.CRITERIA_EN:
-            value = number(name)
-        else:
-            used = is_en if name in K.CRITERIA_EN else ~is_en
-            value = F.when(used, number(name)).otherwise(F.lit(0).cast("bigint"))
-        return F.when(readable, value).otherwise(F.lit(-1).cast("bigint"))
-
-    scores = {name: score(name) for name in K.CRITERIA}
-    total = F.lit(0).cast("bigint")
-    for value in scores.values():
-        total = total + value
-    total = F.when(readable, total).otherwise(F.lit(-1).cast("bigint"))
-    return F.struct(
-        *[value.alias(name) for name, value in scores.items()],
-        total.alias("total_issues"),
-        (total == 0).alias("is_valid"),
-        F.when(readable, _last(read, "explanation")["value"])
-        .otherwise("Parse error")
-        .alias("explanation"),
-        F.when(readable, F.when(is_en, "en").otherwise("ja"))
+        value = F.col("_number")[name]
+        if not (name in K.CRITERIA_JA and name in K.CRITERIA_EN):
+            value = F.when(F.col("_en") == (name in K.CRITERIA_EN), value).otherwise(zero)
+        return F.when(F.col("_good"), value).otherwise(lost)
+
+    scored = judged.withColumn("_score", F.struct(*[score(name).alias(name) for name in K.CRITERIA]))
+    total = sum((F.col("_score")[name] for name in K.CRITERIA[1:]), F.col("_score")[K.CRITERIA[0]])
+    scored = scored.withColumn("_total", F.when(F.col("_good"), total).otherwise(lost))
+    good = F.col("_good")
+    judgment = F.struct(
+        *[F.col("_score")[name].alias(name) for name in K.CRITERIA],
+        F.col("_total").alias("total_issues"),
+        (F.col("_total") == 0).alias("is_valid"),
+        F.when(good, F.col("_value.explanation")).otherwise("Parse error").alias("explanation"),
+        F.when(good, F.when(F.col("_en"), "en").otherwise("ja"))
         .otherwise("unknown")
         .alias("detected_language"),
-        (~readable).alias("parse_error"),
+        (~good).alias("parse_error"),
     )
+    steps = ["_raw", "_keys", "_value", "_en", "_good", "_number", "_score", "_total"]
+    return scored.withColumn(into, judgment).drop(*steps)
 
 
 def extract_json(output: Column) -> Column:

@@ -244,8 +244,19 @@ def _with_base(items: DataFrame) -> DataFrame:
 
 
 def _keep(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Rows whose unique `ord` was chosen; only then are the texts read."""
-    return items.join(orders.select("ord"), "ord", "left_semi")
+    """Rows whose unique `ord` was chosen; only then are the texts read.
+
+    An `ord` that two rows share is an error: it would keep both. Readers number
+    rows over all files, `record_position` numbers records, and `union_models`
+    keeps models apart.
+    """
+    kept = items.join(orders.select("ord"), "ord", "left_semi")
+    # The join has dealt the rows by `ord` already.
+    times = F.count(F.lit(1)).over(Window.partitionBy("ord"))
+    twice = F.raise_error(F.concat(F.lit("position used twice: "), F.col("ord").cast("string")))
+    return kept.withColumn("_times", times).withColumn(
+        "ord", F.when(F.col("_times") == 1, F.col("ord")).otherwise(twice.cast("bigint"))
+    ).drop("_times")
 
 
 def dedup_first(items: DataFrame) -> DataFrame:
@@ -329,23 +340,34 @@ def merge_datasets(
     return kept.withColumn("sample_id", F.concat("sample_id", suffix)).drop("_turn")
 
 
-def union_models(items: dict[str, DataFrame], suffixes: dict[str, str] | None = None) -> DataFrame:
-    """Union per-model items; ids end in the model and `source_model` names it."""
-    parts = []
-    for model, df in items.items():
-        suffix = (suffixes or {}).get(model, model)
-        parts.append(
-            df.withColumns(
-                {
-                    "sample_id": F.concat("sample_id", F.lit(f"_{suffix}")),
-                    "source_model": F.lit(model),
-                }
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def record_position(records: DataFrame, choice: str = "choice") -> DataFrame:
+    """Make `ord` of responses unique over their records: five times it plus the choice."""
+    place = F.array_position(F.array(*[F.lit(x) for x in K.CHOICES]), F.col(choice)) - 1
+    return records.withColumn("ord", F.col("ord") * len(K.CHOICES) + place)
+
+
+def union_models(
+    items: DataFrame,
+    models: Sequence[str],
+    suffixes: dict[str, str] | None = None,
+    model: str = "model",
+) -> DataFrame:
+    """Items of the listed models, one table with a model column.
+
+    Ids end in the model and `source_model` names it. `ord` numbers the union:
+    all items of the first model come first, each model in its own order (which
+    must stay below 2**48).
+    """
+    listed = {m: (suffixes or {}).get(m, m) for m in models}
+    ends = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
+    turn = F.array_position(F.array(*[F.lit(m) for m in models]), F.col(model)) - 1
+    out = items.where(F.col(model).isin(*models)).withColumns(
+        {
+            "sample_id": F.concat("sample_id", F.lit("_"), F.element_at(ends, F.col(model))),
+            "source_model": F.col(model),
+        }
+    )
+    return out.withColumn("ord", F.shiftleft(turn.cast("bigint"), 48) + F.col("ord")) if "ord" in items.columns else out
 
 
 # --- verdicts ---------------------------------------------------------------

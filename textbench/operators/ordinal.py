@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textbench.session import shared_dir
 
 # A piece holds at most this many distinct numbers, a stretch as many pieces.
+# Numbers should be dense: with gaps, pieces hold fewer rows and counts shrink less.
 PIECE = 1 << 16
 
 
@@ -83,28 +84,32 @@ def with_position(
 def with_sorted_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add the 0-based position under any total order.
 
-    Rows are range-partitioned by the order and written to the checkpoint
-    folder, so that the partition numbers they carry stay as they are whatever
-    happens to an executor. Only one count per partition is summed up.
+    Rows are range-partitioned and sorted by the order and numbered in their
+    partition, then written to the checkpoint folder, so that their numbers stay
+    as they are whatever happens to an executor. Only one count per partition is
+    summed up and joined back.
     """
     spark = df.sparkSession
     shared_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         df.repartitionByRange(parts, *order)
-        .withColumn("_part", F.spark_partition_id())
+        .sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
         .checkpoint()
     )
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    # The number holds the partition in its high bits and the row in the low 33.
+    part = F.shiftright("_id", 33)
+    inside = F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     # At most one row per shuffle partition.
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("_part").orderBy(*order)
     return (
-        placed.withColumn("_inside", F.row_number().over(inside) - 1)
+        placed.withColumn("_part", part)
         .join(offsets, "_part")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_part", "_inside", "_before")
+        .withColumn(name, F.col("_before") + inside)
+        .drop("_part", "_id", "_before")
     )

@@ -40,19 +40,32 @@ def task_status(configured: DataFrame, implemented: DataFrame, with_results: Dat
     )
 
 
-def metric_rows(metrics: DataFrame, by: Sequence[str], category: str, columns: Sequence[str]) -> DataFrame:
-    """Wide metrics → (by…, category, metric, value) with the category in the name."""
-    rows = [
+def _metric_structs(category: str, values: dict[str, Column]) -> list[Column]:
+    return [
         F.struct(
             F.lit(category).alias("category"),
-            F.lit(f"{category}_{c}").alias("metric"),
-            F.col(c).cast("double").alias("value"),
+            F.lit(f"{category}_{name}").alias("metric"),
+            value.cast("double").alias("value"),
         )
-        for c in columns
+        for name, value in values.items()
     ]
+
+
+def metric_rows(metrics: DataFrame, by: Sequence[str], category: str, columns: Sequence[str]) -> DataFrame:
+    """Wide metrics → (by…, category, metric, value) with the category in the name."""
+    rows = _metric_structs(category, {c: F.col(c) for c in columns})
     return metrics.select(*by, F.inline(F.array(*rows)))
 
 
+def all_metric_rows(
+    metrics: DataFrame, by: Sequence[str], categories: dict[str, dict[str, Column]]
+) -> DataFrame:
+    """The same for several categories of one row per experiment; null values have no row."""
+    rows = [s for category, values in categories.items() for s in _metric_structs(category, values)]
+    given = F.filter(F.array(*rows), lambda m: m["value"].isNotNull())
+    return metrics.select(*by, F.inline(given))
+
+
 def displayed_metrics(metrics: DataFrame) -> DataFrame:
     """Without mere counts, which are known by their endings."""
     keep = F.lit(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,9 +80,12 @@ def merge_responses(old: DataFrame, new: DataFrame, by: Sequence[str]) -> DataFr
     values = [c for c in old.columns if c not in keys]
     a = old.select(*keys, F.struct(*values).alias("_old"))
     b = new.select(*keys, F.struct(*values).alias("_new"))
-    joined = a.join(b, keys, "full_outer")
-    chosen = F.when(F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("_old"))
-    return joined.select(*keys, chosen.alias("_kept")).select(*keys, "_kept.*")
+    # A union and an aggregate keep null keys together, which a join would not.
+    both = a.withColumnRenamed("_old", "_row").withColumn("_turn", F.lit(0)).unionByName(
+        b.withColumnRenamed("_new", "_row").withColumn("_turn", F.lit(1))
+    )
+    kept = both.groupBy(*keys).agg(F.max_by("_row", "_turn").alias("_kept"))
+    return kept.select(*keys, "_kept.*")
 
 
 def failure_streaks(responses: DataFrame, by: Sequence[str], is_failed: Column) -> DataFrame:
@@ -120,14 +123,49 @@ def failure_streaks(responses: DataFrame, by: Sequence[str], is_failed: Column)
 Responder = Callable[[list[dict]], list[dict]]
 
 
+def by_model(loaders: Mapping[str, Callable[[], Responder]]) -> Callable[[], Responder]:
+    """A loader whose responder passes each row to that of its `model`."""
+
+    def load() -> Responder:
+        loaded: dict[str, Responder] = {}
+
+        def respond(rows: list[dict]) -> list[dict]:
+            answers: list[dict | None] = [None] * len(rows)
+            for model in dict.fromkeys(row["model"] for row in rows):
+                if model not in loaded:
+                    loaded[model] = loaders[model]()
+                own = [k for k, row in enumerate(rows) if row["model"] == model]
+                for k, answer in zip(own, _answers(loaded[model], [rows[k] for k in own])):
+                    answers[k] = answer
+            return answers
+
+        return respond
+
+    return load
+
+
+def _answers(respond: Responder, rows: list[dict]) -> list[dict]:
+    """One answer per row; rows of a batch that fails are asked one by one."""
+    try:
+        answers = list(respond(rows))
+        if len(answers) != len(rows):
+            raise ValueError(f"{len(answers)} answers to {len(rows)} prompts")
+        return [a if isinstance(a, dict) else {"error": f"no answer: {a!r}"} for a in answers]
+    except Exception as problem:  # a service may raise anything
+        if len(rows) == 1:
+            return [{"error": str(problem) or type(problem).__name__}]
+    return [answer for row in rows for answer in _answers(respond, [row])]
+
+
 def apply_responder(
     prompts: DataFrame, load: Callable[[], Responder], keys: Sequence[str]
 ) -> DataFrame:
     """(keys…, content, reasoning, error) of a responder over prompt rows.
 
     `load` runs once per task and returns respond(batch), which takes row
-    dicts and gives dicts with `content`, `reasoning` and `error`. A batch that
-    raises is recorded as failed rows; the job goes on.
+    dicts and gives dicts with `content`, `reasoning` and `error`. When a batch
+    raises or gets a wrong number of answers its rows are asked one by one, and
+    those that fail are recorded as failed; the job goes on.
     """
     keys = list(keys)
     answer = [Ty.StructField(n, Ty.StringType()) for n in ("content", "reasoning", "error")]
@@ -136,11 +174,7 @@ def apply_responder(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         respond = load()
         for batch in batches:
-            rows = batch.to_dict("records")
-            try:
-                answers = respond(rows)
-            except Exception as problem:  # a service may raise anything
-                answers = [{"error": str(problem) or type(problem).__name__}] * len(rows)
+            answers = _answers(respond, batch.to_dict("records"))
             out = batch[keys].copy()
             for field in answer:
                 out[field.name] = [a.get(field.name) for a in answers]
@@ -149,31 +183,45 @@ def apply_responder(
     return prompts.mapInPandas(run, schema)
 
 
+def latest_answers(rounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The answer of the last round at each key, from appended rounds with a `_round`."""
+    values = [c for c in rounds.columns if c not in (*keys, "_round")]
+    last = rounds.groupBy(*keys).agg(F.max_by(F.struct(*values), "_round").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
 def resume_rounds(
     spark: SparkSession,
     prompts: DataFrame,
     load: Callable[[], Responder],
     by: Sequence[str],
     rounds: int,
+    existing: DataFrame | None = None,
 ) -> tuple[DataFrame, int]:
     """Ask for pending rows up to `rounds` times; returns responses and rounds used.
 
-    Every round is written to the shared folder, so a lost executor never makes
-    the responder run again for rows already answered.
+    `existing` holds the responses of an earlier run: what it answered is not
+    asked again. Every round appends its answers to the shared folder, so a
+    lost executor never makes the responder run again for rows already
+    answered, and the latest answer of a row counts.
     """
     keys = [*by, "ord"]
-    merged, used = None, 0
+    path = scratch_path(spark, "responses")
+    blank = apply_responder(prompts.limit(0), load, keys)
+    before = blank if existing is None else existing.select(*blank.columns)
+    before.withColumn("_round", F.lit(0)).write.parquet(path)
+
+    def merged() -> DataFrame:
+        return latest_answers(spark.read.parquet(path), keys)
+
+    used = 0
     for used in range(1, rounds + 1):
-        todo = prompts if merged is None else pending_samples(prompts, merged, by)
-        answered = apply_responder(todo, load, keys)
-        path = scratch_path(spark, "responses")
-        if merged is None:
-            answered.write.parquet(path)
-        else:
-            fresh = scratch_path(spark, "answers")
-            answered.write.parquet(fresh)
-            merge_responses(merged, spark.read.parquet(fresh), by).write.parquet(path)
-        merged = spark.read.parquet(path)
-        if merged.where(failed()).isEmpty():
+        todo = pending_samples(prompts, merged(), by)
+        answered = apply_responder(todo, load, keys).withColumn("_round", F.lit(used))
+        # Written aside first: a round reads the folder that it adds to.
+        fresh = scratch_path(spark, "answers")
+        answered.write.parquet(fresh)
+        spark.read.parquet(fresh).write.mode("append").parquet(path)
+        if pending_samples(prompts, merged(), by).isEmpty():
             break
-    return merged, used
+    return merged(), used

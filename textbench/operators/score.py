@@ -95,6 +95,41 @@ def extraction_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     ).drop("error_matches")
 
 
+def answer_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by…, detection, extraction): the metrics of both as structs, in one aggregate."""
+    rows = extraction_per_item(detection_per_item(preds))
+    outcomes = ("tp", "fp", "tn", "fn")
+    counts = rows.groupBy(*by).agg(
+        *[count_where(F.col("outcome") == x).alias(x) for x in outcomes],
+        F.count(F.lit(1)).alias("n"),
+        count_where(F.col("has_error")).alias("errors"),
+        count_where(F.col("is_exact_match")).alias("exact"),
+        count_where(F.col("is_correct_on_error")).alias("exact_errors"),
+    )
+    tp, fp, tn, fn, n = (F.col(x) for x in (*outcomes, "n"))
+    rates = counts.withColumns({"p": ratio(tp, tp + fp), "r": ratio(tp, tp + fn)})
+    p, r = F.col("p"), F.col("r")
+    match = ratio(F.col("exact"), n)
+    return rates.select(
+        *by,
+        F.struct(
+            *outcomes,
+            ratio(tp + tn, n).alias("accuracy"),
+            p.alias("precision"),
+            r.alias("recall"),
+            F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
+        ).alias("detection"),
+        F.struct(
+            match.alias("accuracy"),
+            match.alias("exact_match"),
+            ratio(F.col("exact_errors"), F.col("errors")).alias("error_accuracy"),
+            n.alias("total_samples"),
+            F.col("errors").alias("error_samples"),
+            F.col("exact").alias("exact_matches"),
+        ).alias("extraction"),
+    )
+
+
 # --- correction -------------------------------------------------------------
 
 

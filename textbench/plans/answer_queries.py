@@ -274,5 +274,4 @@ def _(fx):
 )
 def _(fx):
     items = S.usable_items(S.assemble_items(_records(fx)))
-    parts = {m: items.where(c("model") == m) for m in ("synth0", "synth1")}
-    return curate.union_models(parts).select("sample_id", "source_model")
+    return curate.union_models(items, ["synth0", "synth1"]).select("sample_id", "source_model")

@@ -118,12 +118,15 @@ def _response(d: Dialect) -> str:
 
 
 def _pair(d: Dialect) -> str:
+    """Predictions whose longest common subsequence with the reference is known:
+    all their words in even turns, all but the last in odd ones."""
     return """
     SELECT u.conv_id * 1000 + u.turn AS ord, u.conv_id, u.turn, u.role AS dataset,
            CASE WHEN u.conv_id % 11 = 0 THEN 'PARSE_FAILED' WHEN u.conv_id % 7 = 0 THEN '"CORRECT"'
-                WHEN u.conv_id % 5 = 0 THEN '' ELSE a.text END AS prediction,
+                WHEN u.conv_id % 5 = 0 THEN '' WHEN u.turn % 2 = 0 THEN a.text
+                ELSE concat(a.text, ' qqq') END AS prediction,
            CASE WHEN u.conv_id % 6 = 0 THEN '' WHEN u.turn % 2 = 0 THEN concat(u.text, ' ', a.text)
-                ELSE u.text END AS reference
+                ELSE concat(a.text, ' zzz ', u.text) END AS reference
     FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1"""
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textbench.functions import reasoning as R
+from textbench.operators import train
 from textbench.plans import flows
 from textbench.plans.curate_queries import _ACCURACY, _KNOWN, _STAGED, _VERDICT, MODELS
 from textbench.plans.registry import query
-from textbench.plans.score_queries import R6, _n
+from textbench.plans.score_queries import _RIGHT, BY, R6, _n
 
 c = F.col
 
@@ -31,17 +33,21 @@ def silent():
 
 _ANSWERED = """(SELECT template, model, error_flag, coalesce(error_sentence_id, 0) AS ref,
     CASE WHEN model = 'silent' THEN -1 WHEN n_sentences > 1 THEN 1 ELSE 0 END AS ed,
-    CASE WHEN model = 'silent' THEN -1 WHEN n_sentences > 1 THEN 2 ELSE 0 END AS se
+    CASE WHEN model = 'silent' THEN -1 WHEN n_sentences > 1 THEN 2 ELSE 0 END AS se,
+    CASE WHEN model = 'silent' OR n_sentences > 1 THEN CASE WHEN error_flag = 1 THEN 'pair' ELSE 'none' END
+         WHEN error_flag = 1 THEN 'wrong' ELSE 'right' END AS kind
     FROM fx_sample CROSS JOIN (SELECT unnest(['short', 'long']) AS template) t CROSS JOIN (SELECT unnest(['second', 'silent']) AS model) m) a"""
 
 
 @query(
     "evaluate",
     f"""SELECT model, template, {R6("tp + tn", "n")} AS accuracy, {R6("tp", "tp + fp")} AS "precision", {R6("tp", "tp + fn")} AS recall,
-               {R6("2.0 * tp", "2 * tp + fp + fn")} AS f1, {R6("ex", "n")} AS exact_match, {R6("er", "errors")} AS error_accuracy
+               {R6("2.0 * tp", "2 * tp + fp + fn")} AS f1, {R6("ex", "n")} AS exact_match, {R6("er", "errors")} AS error_accuracy,
+               pairs AS correction_pairs, {R6("good", "good + bad", "1")} AS no_error_accuracy, {R6("good", "n")} AS correction_composite
         FROM (SELECT model, template, count(*) AS n, {_n("error_flag = 1 AND ed = 1")} AS tp, {_n("error_flag = 0 AND ed <> 0")} AS fp,
                      {_n("error_flag = 0 AND ed = 0")} AS tn, {_n("error_flag = 1 AND ed <> 1")} AS fn,
-                     {_n("se = ref AND se <> -1")} AS ex, {_n("ref > 0")} AS errors, {_n("ref > 0 AND se = ref")} AS er
+                     {_n("se = ref AND se <> -1")} AS ex, {_n("ref > 0")} AS errors, {_n("ref > 0 AND se = ref")} AS er,
+                     {_n("kind = 'pair'")} AS pairs, {_n("kind = 'right'")} AS good, {_n("kind = 'wrong'")} AS bad
               FROM {_ANSWERED} GROUP BY model, template) x""",
     ["sample"],
 )
@@ -79,3 +85,40 @@ def _(fx):
     )
     built = flows.build_benchmark(items, fx.pred, limits, fx.judge, MODELS)
     return built.select("ord", "sample_id", "is_valid")
+
+
+# Two models answer every question; choice c is an error record without a known sentence.
+@query(
+    "synthesis_to_benchmark",
+    """WITH i AS (SELECT question_id, ord * 5 + p AS ord, concat(question_id, '_', ch) AS base
+            FROM fx_synth CROSS JOIN (SELECT unnest(['a', 'b', 'd', 'e']) AS ch, unnest([0, 1, 3, 4]) AS p) x WHERE ch <> 'e' OR lang <> 'en'),
+        k AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS k FROM i)
+        SELECT concat(base, '_writer', CAST(k % 2 AS VARCHAR)) AS sample_id, concat('writer', CAST(k % 2 AS VARCHAR)) AS source_model FROM k""",
+    ["synth"],
+)
+def _(fx):
+    writer = F.explode(F.array(F.lit("writer0"), F.lit("writer1")))
+    asked = fx.synth.select("ord", "question_id", "content", writer.alias("model"))
+    items = flows.synthesis_to_items(asked, ["writer0", "writer1"])
+    return items.select("sample_id", "source_model")
+
+
+@query(
+    "training_rows",
+    f"""SELECT model, template, ord, CASE WHEN {_RIGHT} THEN 'correct' WHEN error_flag = 1 THEN 'incorrect_error_flag_1' ELSE 'incorrect_error_flag_0' END AS split,
+               content, CASE WHEN lang = 'en' THEN 'Fine.' ELSE '' END AS reasoning, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS INT) AS removed_sentences
+        FROM fx_response""",
+    ["response"],
+)
+def _(fx):
+    # English answers come with two sentences of reasoning, one of them to be removed.
+    rows = fx.response.withColumns(
+        {
+            "reasoning": F.when(c("lang") == "en", "Fine. We are told that x holds."),
+            "response_model": F.lit(None).cast("string"),
+        }
+    )
+    samples = rows.select(*BY, "ord", "error_flag")
+    answers = rows.select(*BY, "ord", "content", "reasoning", "response_model")
+    out = flows.training_rows(samples, train.details_of(rows, BY), answers, BY, R.PATTERN_EN)
+    return out.select("model", "template", "ord", "split", "content", "reasoning", "removed_sentences")

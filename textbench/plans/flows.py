@@ -12,9 +12,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textbench.functions import synthesis
 from textbench.functions.answers import parse_answers
 from textbench.functions.verdicts import parse_judgments
-from textbench.operators import curate, prompts, responses, score
+from textbench.operators import curate, prompts, responses, score, train
 from textbench.session import scratch_path
 
 
@@ -38,11 +39,12 @@ def evaluate(
     named = F.explode(F.array(*[F.lit(t) for t in templates]))
     asked = prompts.render_templates(items.withColumn("template", named), templates, values)
     chat = asked.select("ord", "template", "messages")
-    answers = None
-    for model, load in responders.items():
-        got = responses.apply_responder(chat, load, ["ord", "template"])
-        got = got.withColumn("model", F.lit(model))
-        answers = got if answers is None else answers.unionByName(got)
+    # Prompts are rendered once, whatever the number of models.
+    models = F.explode(F.array(*[F.lit(m) for m in responders]))
+    chat = chat.withColumn("model", models)
+    answers = responses.apply_responder(
+        chat, responses.by_model(responders), ["ord", "template", "model"]
+    )
     # Asking is the costly step: it happens once.
     kept = stored(answers, "answers")
     truth = items.select(
@@ -52,12 +54,59 @@ def evaluate(
 
 
 def evaluation_metrics(parsed: DataFrame, by: Sequence[str] = ("model", "template")) -> DataFrame:
-    """Detection and extraction metrics of each experiment side by side."""
+    """Detection, extraction and correction metrics of each experiment side by side."""
     detection = score.detection_metrics(parsed, by).select(
         *by, "accuracy", "precision", "recall", "f1"
     )
     extraction = score.extraction_metrics(parsed, by).select(*by, "exact_match", "error_accuracy")
-    return detection.join(extraction, list(by))
+    pairs = parsed.select(
+        *by,
+        "ord",
+        F.coalesce("ec_pred", F.lit("")).alias("prediction"),
+        F.coalesce("corrected_sentence", F.lit("")).alias("reference"),
+    )
+    correction = score.correction_metrics(pairs, by, "ord", count_empty_na=True).select(
+        *by,
+        F.col("error_samples").alias("correction_pairs"),
+        "no_error_accuracy",
+        F.col("composite_avg").alias("correction_composite"),
+    )
+    return detection.join(extraction, list(by)).join(correction, list(by))
+
+
+def synthesis_to_items(
+    responses_: DataFrame,
+    models: Sequence[str],
+    dedup: Callable[[DataFrame], DataFrame] = curate.dedup_alternating,
+) -> DataFrame:
+    """Synthesis responses of several models → one item per question and choice.
+
+    `responses_` hold ord, question_id, model and content; `ord` is unique among
+    the responses of a model.
+    """
+    records = curate.record_position(synthesis.parse_synthesis(responses_))
+    items = synthesis.usable_items(synthesis.assemble_items(records))
+    # Read by several steps of the duplicate removal; texts are parsed once.
+    return dedup(stored(curate.union_models(items, models), "items"))
+
+
+def training_rows(
+    samples: DataFrame,
+    details: DataFrame,
+    answers: DataFrame,
+    by: Sequence[str],
+    pattern: str,
+) -> DataFrame:
+    """Samples of experiments that have a correct one, with the answers' reasoning cleaned.
+
+    Adds `split` (correct, incorrect_error_flag_0, incorrect_error_flag_1), by
+    which `split_write` stores them, content, reasoning, source_model and
+    removed_sentences.
+    """
+    split = train.correct_samples(train.join_details(samples, details, by))
+    stats = train.correct_sample_stats(split, by)
+    used = train.without_empty_experiments(split, stats, by)
+    return train.clean_table(train.attach_responses(used, answers, by), pattern)
 
 
 def build_benchmark(

@@ -54,19 +54,19 @@ def _(fx):
 
 def _metrics(fx):
     """Long metric table of detection, extraction and a correction stand-in."""
-    detection = score.detection_metrics(fx.pred, BY)
-    extraction = score.extraction_metrics(fx.pred, BY)
-    names = ["tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1"]
-    rows = report.metric_rows(detection, BY, "error_detection", names)
-    names = ["accuracy", "exact_match", "error_accuracy", "total_samples", "error_samples", "exact_matches"]
-    rows = rows.unionByName(report.metric_rows(extraction, BY, "sentence_extraction", names))
+    # One pass over the predictions; every metric is a row of the wide result.
+    metrics = score.answer_metrics(fx.pred, BY)
+    parts = {
+        category: {f.name: c(f"{column}.{f.name}") for f in metrics.schema[column].dataType}
+        for category, column in (("error_detection", "detection"), ("sentence_extraction", "extraction"))
+    }
     # English experiments have a composite only, the others a mean score as well.
-    f1 = detection.select(*BY, c("f1").alias("composite_avg"), (c("f1") / 2).alias("average_score"))
-    other = report.metric_rows(f1.where(c("dataset") == "en"), BY, "error_correction", ["composite_avg"])
-    full = report.metric_rows(
-        f1.where(c("dataset") != "en"), BY, "error_correction", ["composite_avg", "average_score"]
-    )
-    return rows.unionByName(other).unionByName(full)
+    f1 = c("detection.f1")
+    parts["error_correction"] = {
+        "composite_avg": f1,
+        "average_score": F.when(c("dataset") != "en", f1 / 2),
+    }
+    return report.all_metric_rows(metrics, BY, parts)
 
 
 _D = f"d AS (SELECT *, {R6('tp + tn', 'n')} AS acc, {R6('tp', 'tp + fp')} AS prec, {R6('tp', 'tp + fn')} AS rec, {R6('2.0 * tp', '2 * tp + fp + fn')} AS f1 FROM ({_CONFUSION}) x)"

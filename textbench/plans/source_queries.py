@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textbench.operators import curate
 from textbench.plans.answer_queries import CORRECTION, DETECTION, SENTENCE
 from textbench.plans.registry import query
 from textbench.plans.score_queries import _n
@@ -164,7 +165,7 @@ def _(fx):
     stamp = F.date_format("ts", "yyyyMMdd_HHmmss")
     path = F.concat_ws(
         "/",
-        F.lit("s3://bucket/out/find"),
+        F.lit("out/find"),
         "event_type",
         F.concat(F.lit("u"), c("user_id").cast("string")),
         F.concat(F.lit("t"), (c("event_id") % 3).cast("string")),
@@ -233,6 +234,27 @@ def _(fx):
     return fx.spark.read.parquet(path).select("split", "ord", "sentences")
 
 
+@query(
+    "dedup_many_files",
+    """SELECT sample_id FROM fx_sample WHERE ord % 3 = 0""",
+    ["sample"],
+)
+def _(fx):
+    # One file per group of items, written and read back; every file starts at position 0.
+    path = scratch_path(fx.spark, "files")
+    files = _item_files(fx).select(F.concat("path", F.lit(".json")).alias("name"), "text")
+    files.select("text").repartition(8).write.option("lineSep", "\u0001").text(path)
+    read = readers.read_containers(fx.spark, path)
+    # Spark writes the files of a task one after the other; each becomes a container again.
+    parts = F.posexplode(F.filter(F.split("text", "\u0001"), lambda t: F.length(t) > 0))
+    containers = read.select("path", parts.alias("k", "text")).select(
+        F.concat_ws("#", "path", F.lpad(c("k").cast("string"), 9, "0")).alias("path"), "text"
+    )
+    items = readers.number_files(readers.read_items(containers))
+    # Items of a group lie in one file in their order, so the first of a base id is that of rest 0.
+    return curate.dedup_first(items.select("sample_id", "ord")).select("sample_id")
+
+
 # --- stream -----------------------------------------------------------------
 
 

@@ -5,6 +5,11 @@ the unit of work and files are spread over tasks. Elements are kept as raw JSON
 first: that gives their position in the file and lets a row with a missing key
 be set aside instead of failing the job.
 
+Positions restart in every file; `number_files` makes them run over all files,
+which duplicate removal and merging need. `deal_rows` spreads rows that came
+out of few large files. Data that outgrows one JSON value per file is better
+kept as Parquet or JSON lines, which split.
+
 All readers have a form that takes a table of (path, text) rows, so documents
 kept in a table are read the same way.
 """
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textbench import constants as K
@@ -57,6 +62,32 @@ def normalize_container(files: DataFrame) -> DataFrame:
     ).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def number_files(rows: DataFrame) -> DataFrame:
+    """Let `ord` run over all files, in the order of their paths.
+
+    A file's rows are counted (a row per file); the running sum over files has
+    two levels, 4,096 hashed folders of paths and the paths inside them, so no
+    task sees all paths. The order is that of the paths inside a folder group.
+    """
+    sizes = rows.groupBy("path").agg((F.max("ord") + 1).alias("_rows"))
+    sizes = sizes.withColumn("_group", F.pmod(F.xxhash64("path"), F.lit(4096)))
+    inside = Window.partitionBy("_group").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("_group").agg(F.sum("_rows").alias("_all"))
+    # At most 4,096 rows.
+    ahead = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_group", F.coalesce(F.sum("_all").over(ahead), F.lit(0)).alias("_ahead"))
+    offsets = sizes.withColumn("_in", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    offsets = offsets.join(groups, "_group").select(
+        "path", (F.col("_ahead") + F.col("_in")).alias("_before")
+    )
+    return rows.join(offsets, "path").withColumn("ord", F.col("ord") + F.col("_before")).drop("_before")
+
+
+def deal_rows(rows: DataFrame) -> DataFrame:
+    """Rows of few large files over all tasks, without a key."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def container_fields(files: DataFrame, schema: str) -> DataFrame:
     """(path, fields…): chosen top-level values of wrapped files."""
     return files.select("path", F.from_json("text", schema).alias("_f")).select("path", "_f.*")

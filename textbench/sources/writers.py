@@ -11,6 +11,25 @@ from textbench.functions.reasoning import redact_keys
 from textbench.sources.schemas import EXPERIMENT
 
 
+#: Rows of one experiment that a single task writes, about.
+ROWS_PER_FILE = 1_000_000
+
+
+def clustered(df: DataFrame, by: Sequence[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows of a key together in as many tasks as its rows need.
+
+    Without it every task writes a file for each key it meets. Keys are counted
+    (a row per key and task); large ones are dealt over several tasks by a salt.
+    """
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in by], "_files")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+    others = [c for c in df.columns if c not in by]
+    salt = F.pmod(F.xxhash64(*others) if others else F.lit(0), F.col("_files"))
+    dealt = df.join(sizes, same).withColumn("_salt", salt)
+    return dealt.repartition(*by, "_salt").select(*df.columns)
+
+
 def write_responses(
     responses: DataFrame,
     path: str,
@@ -20,20 +39,20 @@ def write_responses(
 ) -> None:
     """Write responses by experiment with secret keys taken out of JSON columns."""
     clean = responses.withColumns({c: redact_keys(F.col(c), secrets) for c in config_columns})
-    clean.write.mode("append").partitionBy(*by).parquet(path)
+    clustered(clean, by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def write_predictions(
     predictions: DataFrame, metrics: DataFrame, path: str, by: Sequence[str] = tuple(EXPERIMENT)
 ) -> None:
     """Write parsed predictions and the long metric table side by side."""
-    predictions.write.mode("append").partitionBy(*by).parquet(f"{path}/samples")
-    metrics.write.mode("append").partitionBy(*by).parquet(f"{path}/metrics")
+    clustered(predictions, by).write.mode("append").partitionBy(*by).parquet(f"{path}/samples")
+    clustered(metrics, by).write.mode("append").partitionBy(*by).parquet(f"{path}/metrics")
 
 
 def split_write(df: DataFrame, path: str, by: Sequence[str] = ("split",)) -> None:
     """One pass over the rows, one folder per split (and model or experiment)."""
-    df.write.mode("append").partitionBy(*by).parquet(path)
+    clustered(df, by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def drop_null_fields(*columns: str) -> Column:
