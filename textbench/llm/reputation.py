@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textbench.llm.scratch import cut
+
 #: The bound is this many standard deviations below the posterior mean (5 % one-sided).
 DEVIATIONS = 1.645
 #: Least share of good pages the bound must reach.
@@ -62,8 +64,8 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, verdict
 
 
-def _strength(members: DataFrame, name: str) -> DataFrame:
-    """One row: the prior strength from (_n, _k, _above) of the members of a level.
+def _strength(members: DataFrame) -> float:
+    """Prior strength from (_n, _k, _above) of the members of a level.
 
     A member's squared deviation from the share above, times its count, has the
     mean m(1-m)(1 + rho(n-1)); rho is solved from the sums and kept inside
@@ -71,15 +73,25 @@ def _strength(members: DataFrame, name: str) -> DataFrame:
     """
     room = F.col("_above") * (1 - F.col("_above"))
     share = F.col("_k") / F.col("_n")
-    usable = members.where((F.col("_n") > 0) & (room > 0))
-    sums = usable.agg(
-        F.sum(F.col("_n") * (share - F.col("_above")) * (share - F.col("_above")) / room).alias("_s"),
-        F.count(F.lit(1)).alias("_members"),
-        F.sum("_n").alias("_rows"),
-    )
-    rho = (F.col("_s") - F.col("_members")) / (F.col("_rows") - F.col("_members"))
-    rho = F.greatest(F.least(F.coalesce(rho, F.lit(0.0001)), F.lit(0.9999)), F.lit(0.0001))
-    return sums.select((1 / rho - 1).alias(name))
+    sums = members.where((F.col("_n") > 0) & (room > 0)).agg(
+        F.sum(F.col("_n") * (share - F.col("_above")) * (share - F.col("_above")) / room).alias("s"),
+        F.count(F.lit(1)).alias("members"),
+        F.sum("_n").alias("rows"),
+    ).first()
+    spare = (sums.rows or 0.0) - sums.members
+    rho = (sums.s - sums.members) / spare if sums.s is not None and spare else 0.0001
+    return 1 / max(min(rho, 0.9999), 0.0001) - 1
+
+
+def _shrink(members: DataFrame) -> DataFrame:
+    """Add the posterior (_a, _b) of each member and its mean, under the share above."""
+    strength = _strength(members)
+    return members.withColumns(
+        {
+            "_a": F.col("_k") + strength * F.col("_above"),
+            "_b": F.col("_n") - F.col("_k") + strength * (1 - F.col("_above")),
+        }
+    ).withColumn("_post", F.col("_a") / (F.col("_a") + F.col("_b")))
 
 
 def host_bounds(
@@ -88,39 +100,30 @@ def host_bounds(
     """(host, bound) for each of `hosts`, from outcomes (host, good 0/1).
 
     Null outcomes are ignored. Without any outcome every bound is that of a
-    uniform prior.
+    uniform prior. The counts per host are written once; the overall share and
+    the three strengths are all that reaches the driver.
     """
     seen = (
         outcomes.where(F.col("good").isin(0, 1))
         .groupBy("host")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("good").cast("double").alias("_k"))
     )
-    tree = (
-        hosts.select("host").union(seen.select("host")).distinct().join(seen, "host", "left")
+    tree = cut(
+        hosts.select("host").distinct().join(seen, "host", "full_outer")
         .fillna(0.0, ["_n", "_k"])
         .withColumns({"_domain": domain_of(F.col("host")), "_suffix": suffix_of(F.col("host"))})
     )
-    whole = seen.agg(
-        ((F.coalesce(F.sum("_k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("_n"), F.lit(0.0)) + 2)).alias("_mean")
-    )
+    sums = tree.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
+    mean = ((sums.k or 0.0) + 1) / ((sums.n or 0.0) + 2)
+
+    def level(*names):
+        return tree.groupBy(*names).agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
 
-    def shrink(members: DataFrame, strength: str) -> DataFrame:
-        prior = _strength(members, strength)
-        # One row: a constant joined to every member.
-        return members.join(F.broadcast(prior)).withColumns(
-            {
-                "_a": F.col("_k") + F.col(strength) * F.col("_above"),
-                "_b": F.col("_n") - F.col("_k") + F.col(strength) * (1 - F.col("_above")),
-            }
-        ).withColumn("_post", F.col("_a") / (F.col("_a") + F.col("_b")))
-
-    suffixes = tree.groupBy("_suffix").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
-    suffixes = shrink(suffixes.join(F.broadcast(whole)).withColumnRenamed("_mean", "_above"), "_m")
-    domains = tree.groupBy("_suffix", "_domain").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
-    domains = domains.join(suffixes.select("_suffix", F.col("_post").alias("_above")), "_suffix")
-    domains = shrink(domains, "_m")
-    below = tree.join(domains.select("_domain", F.col("_post").alias("_above")), "_domain")
-    below = shrink(below, "_m")
+    suffixes = _shrink(level("_suffix").withColumn("_above", F.lit(mean)))
+    above = suffixes.select("_suffix", F.col("_post").alias("_above"))
+    domains = _shrink(cut(level("_suffix", "_domain").join(above, "_suffix")))
+    above = domains.select("_domain", F.col("_post").alias("_above"))
+    below = _shrink(cut(tree.join(above, "_domain")))
     total = F.col("_a") + F.col("_b")
     spread = F.sqrt(F.col("_a") * F.col("_b") / (total * total * (total + 1)))
     return below.select("host", (F.col("_post") - deviations * spread).alias("bound"))
