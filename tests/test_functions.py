@@ -31,7 +31,7 @@ ANSWERS = [
     ("文17: abc", 1, 17, "abc"),
     ("7. abc", 1, 7, "abc"),
     ("50. abc", 1, 50, "abc"),
-    ("51. abc", -1, -1, "abc"),
+    ("51. abc", 1, 51, "abc"),
     ("文番号: 3: abc", 1, 3, "abc"),
     ("文番号: 5\n5. abc", 1, 5, "abc"),
     ("文番号 : 3. abc", 1, 3, "abc"),
