@@ -381,8 +381,42 @@ def test_simhash_equals_brute_force(spark):
     assert len(set(part.values())) < len(rows) - 100
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert got == {i: (f"{p:016x}", part.get(i, i)) for i, p in zip(ids, prints)}
-    kept = simhash.keep_one(df)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
+
+
+def shingles(text, n=5):
+    w = (text or "").split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def test_similar_groups_follow_jaccard(spark):
+    rng = np.random.default_rng(16)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(80):
+        base = list(rng.choice(words, 300))
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.integers(0, 300, rng.integers(1, 9)):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    # Documents that share a long passage only.
+    passage = " ".join(rng.choice(words, 100))
+    texts += [" ".join(rng.choice(words, 100)) + " " + passage for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    part = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    sets = [shingles(t) for t in texts]
+    near = far = met = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near += j >= 0.85
+            met += j >= 0.85 and part[a] == part[b]
+            far += j < 0.5 and part[a] == part[b]
+    assert near > 150 and met >= 0.95 * near and far == 0
+    kept = [r.doc_id for r in simhash.keep_one(df).collect()]
+    assert sorted(kept) == sorted(set(part.values()))
+    assert set(range(320, 380)) <= set(kept)
 
 
 def test_fingerprint_definition():
@@ -397,6 +431,14 @@ def test_fingerprint_definition():
     assert simhash.fingerprint_of(b" \n") == 0
 
 
+def test_similar_lists_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST", 4)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[:k], "x", *base[k:]]) for k in range(0, 400, 9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_groups(df).collect()} == {0}
+
+
 def test_simhash_lists_in_pieces(spark):
     rng = np.random.default_rng(7)
     base = int(rng.integers(0, 1 << 62))

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def paired_pieces(postings: DataFrame, keys: list[str], salt: Column, limit: int) -> DataFrame:
+def paired_pieces(
+    postings: DataFrame, keys: list[str], salt: Column, limit: int, attach: DataFrame | None = None
+) -> DataFrame:
     """Entries once for each pair of pieces of their list; lists of one entry are gone.
 
     Adds _mine, _i and _j. Lists are cut into pieces of about `limit` entries by
     `salt`, a hash; two entries meet in the pair of their pieces, and only there.
-    Rows are dealt and sorted by the keys and the pair.
+    Rows are dealt and sorted by the keys and the pair. Columns of `attach` (one
+    row per _id) join the entries that are left.
     """
     sizes = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     cut_up = postings.join(sizes, keys).withColumn("_many", F.ceil(F.col("_n") / limit).cast("int"))
@@ -25,6 +28,8 @@ def paired_pieces(postings: DataFrame, keys: list[str], salt: Column, limit: int
         .withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
         .drop("_n", "_many", "_other")
     )
+    if attach is not None:
+        pairs = pairs.join(attach, "_id")
     by = [*keys, "_i", "_j"]
     return pairs.repartition(*by).sortWithinPartitions(*by)
 

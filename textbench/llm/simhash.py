@@ -13,21 +13,29 @@ dropped before anything is compared; longer lists are cut into pieces of at
 most `LIST` entries which are compared piece by piece, so no list goes to one
 task. Each comparison gives a spanning forest of its links and never all pairs:
 components are the same, and the output of a list is linear in its length.
+
+`similar_groups` serves copies that differ more, at a Jaccard similarity of 0.8
+over five-word shingles. There the expected angle leaves about 0.15 of all bits
+different, too many for 64 bits, so fingerprints have 256: 32 bytes, of which
+such a pair shares about nine in place. An entry is posted under `TRIPLES`
+fixed triples of byte positions (24 bits each), entries of a list share three
+bytes at least, and pairs are kept when their differing bits stay below the
+number that the similarity allows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.llm.blocks import paired_pieces, runs_of
 from textbench.llm.graph import components
 from textbench.llm.scratch import cut
+from textbench.llm.wordbytes import NOT_SPACE, byte_chunks, mix
+from textbench.llm.wordbytes import words as words_of
 
 SEED = 42
 WORDS = 3
@@ -85,7 +93,7 @@ def _linked(x: np.ndarray) -> np.ndarray:
     return near
 
 
-def _forest(ids: np.ndarray, prints: np.ndarray) -> tuple[list, list]:
+def _forest(ids: np.ndarray, prints: np.ndarray, linked) -> tuple[list, list]:
     """A spanning forest of the links inside one list; a node is expanded once."""
     left, right = [], []
     open_ = np.ones(len(ids), bool)
@@ -99,7 +107,7 @@ def _forest(ids: np.ndarray, prints: np.ndarray) -> tuple[list, list]:
             rest = np.flatnonzero(open_)
             if not len(rest):
                 break
-            near = rest[_linked(prints[rest] ^ prints[u])]
+            near = rest[linked(prints[rest] ^ prints[u])]
             if len(near):
                 open_[near] = False
                 left.append(np.full(len(near), ids[u]))
@@ -108,59 +116,37 @@ def _forest(ids: np.ndarray, prints: np.ndarray) -> tuple[list, list]:
     return left, right
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of lists that come sorted by (key, i, j); a list may span batches."""
-    names = ["_a", "_b"]
-    kept: pa.RecordBatch | None = None
+def _edges(left: list, right: list) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate([none, *x]) for x in (left, right))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["_a", "_b"])
+
 
-    def solve(batch: pa.RecordBatch, whole: bool):
-        key = np.stack([batch.column(c).to_numpy() for c in ("_key", "_i", "_j")])
-        ids = batch.column("_id").to_numpy()
-        prints = batch.column("_print").to_numpy().view(np.uint64)
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        starts = np.concatenate([[0], cuts, [len(ids)]])
-        if not whole:
-            starts = starts[:-1]
+def _solver(read, linked):
+    """Links of whole lists of a batch.
+
+    `read(batch)` gives the fingerprints as rows of 64-bit words, `linked(x)`
+    tells from XORs of such rows which of them link.
+    """
+
+    def solve(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ids, prints = batch.column("_id").to_numpy(), read(batch)
         size = np.diff(starts)
+        # Most lists hold two entries, which are compared all at once.
         two = starts[:-1][size == 2]
-        near = two[_linked(prints[two] ^ prints[two + 1])] if len(two) else two
+        near = two[linked(prints[two] ^ prints[two + 1])]
         left, right = [ids[near]], [ids[near + 1]]
         for k in np.flatnonzero(size > 2):
             run = slice(starts[k], starts[k + 1])
-            a, b = _forest(ids[run], prints[run])
+            a, b = _forest(ids[run], prints[run], linked)
             left += a
             right += b
-        a, b = np.concatenate(left), np.concatenate(right)
-        rest = None if whole else batch.slice(int(starts[-1]))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names), rest
-
-    for batch in batches:
-        if kept is not None:
-            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        if batch.num_rows:
-            out, kept = solve(batch, whole=False)
-            yield out
-    if kept is not None and kept.num_rows:
-        yield solve(kept, whole=True)[0]
-
-
-def _pieces(postings: DataFrame, limit: int) -> DataFrame:
-    """Every entry once for each pair of pieces of its list that it belongs to."""
-    sizes = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = F.ceil(F.col("_n") / limit).cast("int")
-    cut_up = postings.join(sizes, "_key").withColumn("_many", many)
-    mine = F.pmod(F.xxhash64("_print"), F.col("_many")).cast("int")
-    return (
-        cut_up.withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
-        .select(
-            "_key",
-            F.least("_mine", "_other").alias("_i"),
-            F.greatest("_mine", "_other").alias("_j"),
-            "_id",
-            "_print",
-        )
-    )
+        return _edges(left, right)
+
+    return solve
+
+
+_narrow = _solver(lambda batch: batch.column("_print").to_numpy().view(np.uint64), lambda x: _linked(x))
 
 
 def links(prints: DataFrame, limit: int = LIST) -> DataFrame:
@@ -171,8 +157,8 @@ def links(prints: DataFrame, limit: int = LIST) -> DataFrame:
         for n, (i, j) in enumerate(_PAIRS)
     ]
     postings = prints.select("_id", "_print", F.explode(F.array(*keys)).alias("_key"))
-    lists = _pieces(postings, limit).repartition("_key", "_i", "_j")
-    return lists.sortWithinPartitions("_key", "_i", "_j").mapInArrow(_links, "_a long, _b long")
+    lists = paired_pieces(postings, ["_key"], F.xxhash64("_print"), limit)
+    return lists.mapInArrow(lambda b: runs_of(b, ["_key", "_i", "_j"], _narrow), "_a long, _b long")
 
 
 def near_duplicates(
@@ -202,14 +188,118 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near duplicates: that of the smallest id.
+# --- copies that differ more -------------------------------------------------
+
+WIDE_WORDS = 5
+SIMILARITY = 0.8
+WIDE_BYTES = 32
+TRIPLES = 160
+#: Standard deviations of the bit count that are allowed above its mean at the similarity.
+SLACK = 1.5
+
+
+def _triples() -> np.ndarray:
+    """Fixed triples of byte positions, each position used about equally often."""
+    random = np.random.default_rng(7)
+    rounds = [random.permutation(WIDE_BYTES)[: WIDE_BYTES // 3 * 3].reshape(-1, 3) for _ in range(TRIPLES)]
+    return np.concatenate(rounds)[:TRIPLES]
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits that a pair of this Jaccard similarity hardly exceeds."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    many = WIDE_BYTES * 8
+    return int(many * share + SLACK * np.sqrt(many * share * (1 - share)))
+
+
+def wide_fingerprints(texts: pa.Array, words: int = WIDE_WORDS) -> np.ndarray:
+    """256-bit fingerprints (rows x 32 bytes) of the sets of word shingles, A-Z in lower case.
+
+    A text of fewer words has one shingle, all its words; one without words is zero.
+    """
+    out = np.zeros((len(texts), WIDE_BYTES), np.uint8)
+    turns = np.arange(1, WIDE_BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for first, data, places in byte_chunks(texts):
+        data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+        found = words_of(data, places, NOT_SPACE)
+        h, bounds = found.hash(), found.bounds()
+        for d in range(found.texts):
+            own = h[bounds[d] : bounds[d + 1]]
+            if not len(own):
+                continue
+            many = max(1, len(own) - words + 1)
+            shingle = np.zeros(many, np.uint64)
+            for k in range(min(words, len(own))):
+                shingle = mix(shingle * np.uint64(31) + own[k : k + many])
+            shingle = np.unique(shingle)
+            votes = np.zeros(WIDE_BYTES * 8, np.int64)
+            for at in range(0, len(shingle), 255):
+                # Counts of up to 255 rows fit a byte.
+                part = mix(shingle[at : at + 255, None] ^ turns[None])
+                votes += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+            out[first + d] = np.packbits(votes * 2 > len(shingle))
+    return out
+
+
+def _matrix(prints: pa.Array) -> np.ndarray:
+    flat = b"".join(prints.to_pylist())
+    return np.frombuffer(flat, np.uint8).reshape(len(prints), WIDE_BYTES)
+
+
+def _wide_keys(prints: pa.Array) -> pa.Array:
+    x, t = _matrix(prints), _triples()
+    parts = [x[:, t[:, k]].astype(np.int64) << (16 - 8 * k) for k in range(3)]
+    keys = (np.arange(len(t), dtype=np.int64) << 24) | parts[0] | parts[1] | parts[2]
+    ends = pa.array(np.arange(len(prints) + 1) * len(t), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, component_id) of the rows that have an id: groups of near copies.
+
+    Linked are texts whose five-word shingles have about this Jaccard
+    similarity or more, judged by the fingerprints; `component_id` is the
+    smallest id reachable. Texts without words are copies of each other.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([row.tobytes() for row in wide_fingerprints(texts)], pa.binary())
+
+    most = most_bits(similarity)
+    solve = _solver(
+        lambda batch: _matrix(batch.column("_print")).view(np.uint64),
+        lambda x: np.bitwise_count(x).sum(axis=1) <= most,
+    )
+    prints = cut(
+        docs.where(F.col(id_col).isNotNull()).select(
+            F.col(id_col).alias("_row"), F.arrow_udf(run, "binary")(F.col(text_col)).alias("_print")
+        )
+    )
+    classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id")))
+    keyed = F.arrow_udf(_wide_keys, "array<bigint>")("_print")
+    postings = classes.select("_id", F.explode(keyed).alias("_key"))
+    # Fingerprints join only the entries of lists of two or more.
+    lists = paired_pieces(postings, ["_key"], F.xxhash64("_id"), LIST, attach=classes)
+    edges = lists.mapInArrow(lambda b: runs_of(b, ["_key", "_i", "_j"], solve), "_a long, _b long")
+    joined = components(edges, "_a", "_b")
+    found = classes.join(joined, F.col("_id") == F.col("node"), "left").select(
+        "_print", F.coalesce("component", "_id").alias("component_id")
+    )
+    return prints.join(found, "_print").select(F.col("_row").alias(id_col), "component_id")
+
+
+def keep_one(
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with one row of each group of `similar_groups`: that of the smallest id.
 
     Rows that repeat an id are one document. Rows without an id cannot be named
     as copies of another and stay.
     """
     ids = (
-        near_duplicates(docs, id_col, text_col)
+        similar_groups(docs, similarity, id_col, text_col)
         .where(F.col(id_col) == F.col("component_id"))
         .select(F.col(id_col).alias("_kept"))
         .distinct()
