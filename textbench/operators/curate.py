@@ -243,16 +243,16 @@ def _with_base(items: DataFrame) -> DataFrame:
     return items.withColumn("_base", T.base_id(F.coalesce(F.col("sample_id"), F.lit(""))))
 
 
-def _keep(items: DataFrame, orders: DataFrame) -> DataFrame:
+def _keep(items: DataFrame, orders: DataFrame, keys: Sequence[str] = ("ord",)) -> DataFrame:
     """Rows whose unique `ord` was chosen; only then are the texts read.
 
     An `ord` that two rows share is an error: it would keep both. Readers number
     rows over all files, `record_position` numbers records, and `union_models`
     keeps models apart.
     """
-    kept = items.join(orders.select("ord"), "ord", "left_semi")
-    # The join has dealt the rows by `ord` already.
-    times = F.count(F.lit(1)).over(Window.partitionBy("ord"))
+    kept = items.join(orders.select(*keys), list(keys), "left_semi")
+    # The join has dealt the rows by their keys already.
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     twice = F.raise_error(F.concat(F.lit("position used twice: "), F.col("ord").cast("string")))
     return kept.withColumn("_times", times).withColumn(
         "ord", F.when(F.col("_times") == 1, F.col("ord")).otherwise(twice.cast("bigint"))
@@ -313,12 +313,6 @@ def id_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("sample_id").union(right.select("sample_id")).distinct()
 
 
-def _last_of_each(items: DataFrame) -> DataFrame:
-    """Last item of each non-empty id."""
-    named = items.where(F.col("sample_id") != "")
-    return _keep(named, named.groupBy("sample_id").agg(F.max("ord").alias("ord")))
-
-
 def alternate_sides(ids: DataFrame) -> DataFrame:
     """Add `side`: 1 and 2 in turn over the sorted ids."""
     placed = with_sorted_position(ids, [F.col("sample_id")], "_place")
@@ -330,14 +324,24 @@ def merge_datasets(
 ) -> DataFrame:
     """Union by id. Ids on both sides take turns in sorted order, left first;
     every id gets the suffix of the side it came from."""
-    one = _last_of_each(left).withColumn("side", F.lit(1))
-    two = _last_of_each(right).withColumn("side", F.lit(2))
-    shared = one.select("sample_id").join(two.select("sample_id"), "sample_id", "left_semi")
-    turns = alternate_sides(shared).withColumnRenamed("side", "_turn")
-    both = one.unionByName(two, allowMissingColumns=True).join(turns, "sample_id", "left")
-    kept = both.where(F.col("_turn").isNull() | (F.col("_turn") == F.col("side")))
+    def named(items: DataFrame, side: int) -> DataFrame:
+        return items.where(F.col("sample_id") != "").withColumn("side", F.lit(side))
+
+    both = named(left, 1).unionByName(named(right, 2), allowMissingColumns=True)
+    side, ord_ = F.col("side"), F.col("ord")
+    # Sides and rows are chosen on ids and positions; texts are read once, at the end.
+    last = both.groupBy("sample_id").agg(
+        F.max(F.when(side == 1, ord_)).alias("_one"), F.max(F.when(side == 2, ord_)).alias("_two")
+    )
+    shared = F.col("_one").isNotNull() & F.col("_two").isNotNull()
+    turns = alternate_sides(last.where(shared))
+    alone = last.where(~shared).withColumn("side", F.when(F.col("_one").isNotNull(), 1).otherwise(2))
+    chosen = turns.unionByName(alone).select(
+        "side", F.when(side == 1, F.col("_one")).otherwise(F.col("_two")).alias("ord")
+    )
+    kept = _keep(both, chosen, ("side", "ord"))
     suffix = F.when(F.col("side") == 1, left_suffix).otherwise(right_suffix)
-    return kept.withColumn("sample_id", F.concat("sample_id", suffix)).drop("_turn")
+    return kept.withColumn("sample_id", F.concat("sample_id", suffix))
 
 
 def record_position(records: DataFrame, choice: str = "choice") -> DataFrame:
