@@ -278,7 +278,7 @@ ODD_PII = [
     "1.2.3.00000000000000000000255 9999999999999.1.1.1", "4111 1111 1111 1111 4111111111111111",
     "4111-1111-1111-1111", "+1 (988) 555-2485+44 20 7946 0958", "+12 +123 +1234567890123456", "🙂 é a@b.cd 🙂 10.0.0.1",
     "4" * 50_000, "a" * 50_000 + "@", "1." * 30_000, "+1" + " 2" * 20_000, "x@" * 5000 + "y.zz",
-    "0" * 16, "5 5 0 5 5 5 5 5 5 5 5 5 5 4 4 4 4", "+1-2-3-4-5-6-7-8-9-0-",
+    "[at] " + "1." * 30_000, "name [at] mail [dot] org", "0" * 16, "5 5 0 5 5 5 5 5 5 5 5 5 5 4 4 4 4", "+1-2-3-4-5-6-7-8-9-0-",
 ]
 
 

@@ -183,9 +183,9 @@ def fit(
     """Fit to toxic labels whose id's crc32 leaves a remainder other than 2 by four.
 
     Only confirmed toxic labels are read as labels; the unlabelled sample is
-    drawn from all documents, whatever their label, so that it holds toxic ones at
-    the class prior. The class prior is a
-    parameter; by default it is the toxic share of the usable labels.
+    drawn from all documents, whatever their label, so that it holds toxic ones
+    at the class prior. That prior is a parameter; by default it is the toxic
+    share of the usable labels.
     """
     usable = ~held_out(F.col(id_col), 4, 2)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & usable)
