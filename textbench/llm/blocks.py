@@ -17,7 +17,7 @@ def paired_pieces(
 
     Adds _mine, _i and _j. Lists are cut into pieces of about `limit` entries by
     `salt`, a hash; two entries meet in the pair of their pieces, and only there.
-    Rows are dealt and sorted by the keys and the pair. Columns of `attach` (one
+    Rows are dealt by the keys and the pair and sorted by them and _id. Columns of `attach` (one
     row per _id) join the entries that are left.
     """
     sizes = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -31,7 +31,7 @@ def paired_pieces(
     if attach is not None:
         pairs = pairs.join(attach, "_id")
     by = [*keys, "_i", "_j"]
-    return pairs.repartition(*by).sortWithinPartitions(*by)
+    return pairs.repartition(*by).sortWithinPartitions(*by, "_id")
 
 
 def runs_of(

@@ -94,16 +94,19 @@ def _linked(x: np.ndarray) -> np.ndarray:
 
 
 def _forest(ids: np.ndarray, prints: np.ndarray, linked) -> tuple[list, list]:
-    """A spanning forest of the links inside one list; a node is expanded once."""
+    """A spanning forest of the links inside one list; a node is expanded once.
+
+    Smaller ids, which come first, are expanded first: the many lists of one
+    group then repeat the same few links.
+    """
     left, right = [], []
     open_ = np.ones(len(ids), bool)
     for seed in range(len(ids)):
         if not open_[seed]:
             continue
         open_[seed] = False
-        stack = [seed]
-        while stack:
-            u = stack.pop()
+        queue = [seed]
+        for u in queue:
             rest = np.flatnonzero(open_)
             if not len(rest):
                 break
@@ -112,7 +115,7 @@ def _forest(ids: np.ndarray, prints: np.ndarray, linked) -> tuple[list, list]:
                 open_[near] = False
                 left.append(np.full(len(near), ids[u]))
                 right.append(ids[near])
-                stack.extend(near.tolist())
+                queue.extend(near.tolist())
     return left, right
 
 

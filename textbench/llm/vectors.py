@@ -119,13 +119,12 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         if not open_[seed]:
             continue
         open_[seed] = False
-        stack = [seed]
-        while stack:
-            u = stack.pop()
+        queue = [seed]
+        for u in queue:
             near = np.flatnonzero(linked[u] & open_)
             open_[near] = False
             parent[near] = u
-            stack.extend(near.tolist())
+            queue.extend(near.tolist())
     return parent
 
 
