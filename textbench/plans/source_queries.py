@@ -250,7 +250,8 @@ def _(fx):
     containers = read.select("path", parts.alias("k", "text")).select(
         F.concat_ws("#", "path", F.lpad(c("k").cast("string"), 9, "0")).alias("path"), "text"
     )
-    items = readers.number_files(readers.read_items(containers))
+    # Whole files are read by single tasks; their rows go on from all of them.
+    items = readers.deal_rows(readers.number_files(readers.read_items(containers)))
     # Items of a group lie in one file in their order, so the first of a base id is that of rest 0.
     return curate.dedup_first(items.select("sample_id", "ord")).select("sample_id")
 
