@@ -282,7 +282,9 @@ def similar_groups(
     )
     classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id")))
     keyed = F.arrow_udf(_wide_keys, "array<bigint>")("_print")
-    postings = classes.select("_id", F.explode(keyed).alias("_key"))
+    # Each row becomes many postings, so rows are dealt over all tasks first.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = classes.repartition(parts).select("_id", F.explode(keyed).alias("_key"))
     # Fingerprints join only the entries of lists of two or more.
     lists = paired_pieces(postings, ["_key"], F.xxhash64("_id"), LIST, attach=classes)
     edges = lists.mapInArrow(lambda b: runs_of(b, ["_key", "_i", "_j"], solve), "_a long, _b long")
