@@ -419,6 +419,38 @@ def test_similar_groups_follow_jaccard(spark):
     assert set(range(320, 380)) <= set(kept)
 
 
+@pytest.mark.parametrize("least", [2, 8])
+def test_similar_groups_are_exact(spark, monkeypatch, least):
+    """No pair at 0.8 is lost and none below is linked, in short and in long texts."""
+    monkeypatch.setattr(simhash, "SHORT", least, raising=False)
+    rng = np.random.default_rng(31)
+    texts = []
+    for size in (8, 9, 14, 40, 104, 304, 1500):
+        for k in range(40):
+            base = [f"g{size}x{k}x{w}" for w in range(size)]
+            shingle_count = size - 4
+            # Cut off at the end: similarity is the share of shingles that is left, around 0.8.
+            gone = min(int(shingle_count * rng.uniform(0.12, 0.3)) + 1, shingle_count - 1)
+            texts += [" ".join(base), " ".join(base[: size - gone])]
+    # A long list of texts that are alike, most of them below the similarity.
+    common = [f"c{w}" for w in range(100)]
+    texts += [" ".join(common + [f"t{k}x{w}" for w in range(k)]) for k in range(3, 60)]
+    texts += [" ".join(common + [f"u{k}x{w}" for w in range(20)]) for k in range(60)]
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    sets = [shingles(texts[k]) for k in order]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    met = {(a, b) for h in holders.values() for a in h for b in h if b < a}
+    near = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert len(near) > 100 and len(met) > 2 * len(near)
+    want = smallest(near)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == {i: want.get(i, i) for i in range(len(texts))}
+
+
 def test_fingerprint_definition():
     from xxhash import xxh64_intdigest
 

@@ -14,13 +14,16 @@ most `LIST` entries which are compared piece by piece, so no list goes to one
 task. Each comparison gives a spanning forest of its links and never all pairs:
 components are the same, and the output of a list is linear in its length.
 
-`similar_groups` serves copies that differ more, at a Jaccard similarity of 0.8
-over five-word shingles. There the expected angle leaves about 0.15 of all bits
-different, too many for 64 bits, so fingerprints have 256: 32 bytes, of which
-such a pair shares about nine in place. An entry is posted under `TRIPLES`
-fixed triples of byte positions (24 bits each), entries of a list share three
-bytes at least, and pairs are kept when their differing bits stay below the
-number that the similarity allows.
+`similar_groups` serves copies at a Jaccard similarity of 0.8 over five-word
+shingles, which fingerprints cannot tell apart surely. It is an exact join: two
+sets that similar share one of the first 20 % of their shingles in any common
+order, so a text is posted under these only. The order puts shingles last that
+are frequent in a sample; it changes the length of lists, never the result. A
+list compares sizes and the parities of hashed shingles, bounds that lose
+nothing. Short lists give all pairs that pass, longer ones a spanning forest;
+their exact similarity is computed once a pair. Entries of longer lists that
+are still apart give their pairs in turn; where these are many, the entries meet
+with their whole sets, and a forest of exact links leaves the list.
 """
 
 from __future__ import annotations
@@ -195,33 +198,23 @@ def near_duplicates(
 
 WIDE_WORDS = 5
 SIMILARITY = 0.8
-WIDE_BYTES = 32
-TRIPLES = 160
-#: Standard deviations of the bit count that are allowed above its mean at the similarity.
-SLACK = 1.5
-
-
-def _triples() -> np.ndarray:
-    """Fixed triples of byte positions, each position used about equally often."""
-    random = np.random.default_rng(7)
-    rounds = [random.permutation(WIDE_BYTES)[: WIDE_BYTES // 3 * 3].reshape(-1, 3) for _ in range(TRIPLES)]
-    return np.concatenate(rounds)[:TRIPLES]
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits that a pair of this Jaccard similarity hardly exceeds."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    many = WIDE_BYTES * 8
-    return int(many * share + SLACK * np.sqrt(many * share * (1 - share)))
-
-
-def wide_fingerprints(texts: pa.Array, words: int = WIDE_WORDS) -> np.ndarray:
-    """256-bit fingerprints (rows x 32 bytes) of the sets of word shingles, A-Z in lower case.
-
-    A text of fewer words has one shingle, all its words; one without words is zero.
+#: Bits of the parity sketch of a set.
+SKETCH = 512
+#: Lists of so many entries give all their pairs.
+SHORT = 8
+#: Documents that are counted, and shingles kept, for the order of shingles.
+SAMPLED = 1_000
+FREQUENT = 1 << 15
+#: Ids up to which they are sent to all tasks, so that texts stay where they are.
+SENT = 1 << 20
+_EXACT = 1e-9
+
+
+def shingle_sets(texts: pa.Array, words: int = WIDE_WORDS):
+    """(row, sorted hashes of the set of word shingles) of texts with words, A-Z in lower case.
+
+    A text of fewer words has one shingle, all its words.
     """
-    out = np.zeros((len(texts), WIDE_BYTES), np.uint8)
-    turns = np.arange(1, WIDE_BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for first, data, places in byte_chunks(texts):
         data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
         found = words_of(data, places, NOT_SPACE)
@@ -234,27 +227,259 @@ def wide_fingerprints(texts: pa.Array, words: int = WIDE_WORDS) -> np.ndarray:
             shingle = np.zeros(many, np.uint64)
             for k in range(min(words, len(own))):
                 shingle = mix(shingle * np.uint64(31) + own[k : k + many])
-            shingle = np.unique(shingle)
-            votes = np.zeros(WIDE_BYTES * 8, np.int64)
-            for at in range(0, len(shingle), 255):
-                # Counts of up to 255 rows fit a byte.
-                part = mix(shingle[at : at + 255, None] ^ turns[None])
-                votes += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-            out[first + d] = np.packbits(votes * 2 > len(shingle))
-    return out
+            yield first + d, np.unique(shingle)
+
+
+def _sets(texts: pa.Array) -> pa.Array:
+    out: list = [np.zeros(0, np.int64)] * len(texts)
+    for row, found in shingle_sets(texts):
+        out[row] = found.view(np.int64)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Shingles of which two sets this similar share one, in any common order."""
+    return n - int(np.ceil(similarity * n - _EXACT)) + 1
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the hashes that fall on each bit; they differ in no more bits than sets in shingles."""
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _described(often: np.ndarray, times: np.ndarray, similarity: float):
+    """Struct of digest, size, sketch and prefix of each text; `often` is sorted."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [(b"", 0, bytes(SKETCH // 8), [])] * len(texts)
+        for row, found in shingle_sets(texts):
+            order = found
+            if len(often):
+                at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                order = found[np.lexsort((found, np.where(often[at] == found, times[at], 0)))]
+            first = order[: prefix_length(len(found), similarity)].view(np.int64)
+            rows[row] = (xxhash.xxh3_128_digest(found.tobytes()), len(found), sketch(found), first)
+        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        parts = [pa.array(list(part), kind) for part, kind in zip(zip(*rows) if rows else [()] * 4, kinds)]
+        return pa.StructArray.from_arrays(parts, ["_print", "_size", "_sketch", "_first"])
+
+    return F.arrow_udf(run, "_print binary, _size int, _sketch binary, _first array<bigint>")
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several documents of a bounded sample, and how often."""
+    share = min(1.0, SAMPLED / max(docs.count(), 1))
+    drawn = docs.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counted = (
+        drawn.select(F.explode(F.arrow_udf(_sets, "array<bigint>")("_text")).alias("_key"))
+        .groupBy("_key")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n > 2")
+        .orderBy(F.desc("_n"), "_key")
+        .limit(FREQUENT)
+        .collect()
+    )
+    often = np.array([r._key for r in counted], np.int64).view(np.uint64)
+    order = np.argsort(often)
+    return often[order], np.array([r._n for r in counted], np.int64)[order]
+
 
+def _apart(sizes: np.ndarray, similarity: float):
+    """Shingles in one set only that the similarity allows, by the sum of both sizes."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + _EXACT
 
-def _matrix(prints: pa.Array) -> np.ndarray:
-    flat = b"".join(prints.to_pylist())
-    return np.frombuffer(flat, np.uint8).reshape(len(prints), WIDE_BYTES)
 
+class _Entries:
+    """Entries of the lists of a batch: `near(u, rest)` gives those of `rest` that may link to u."""
 
-def _wide_keys(prints: pa.Array) -> pa.Array:
-    x, t = _matrix(prints), _triples()
-    parts = [x[:, t[:, k]].astype(np.int64) << (16 - 8 * k) for k in range(3)]
-    keys = (np.arange(len(t), dtype=np.int64) << 24) | parts[0] | parts[1] | parts[2]
-    ends = pa.array(np.arange(len(prints) + 1) * len(t), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
+    def __init__(self, batch: pa.RecordBatch, similarity: float):
+        self.similarity = similarity
+        self.ids = batch.column("_id").to_numpy()
+        self.size = batch.column("_size").to_numpy().astype(np.int64)
+        flat = np.frombuffer(b"".join(batch.column("_sketch").to_pylist()), np.uint64)
+        self.sketch = flat.reshape(len(self.ids), SKETCH // 64)
+
+    def pass_(self, u, v: np.ndarray) -> np.ndarray:
+        most = _apart(self.size[u] + self.size[v], self.similarity)
+        fit = np.abs(self.size[u] - self.size[v]) <= most
+        return fit & (np.bitwise_count(self.sketch[u] ^ self.sketch[v]).sum(axis=1) <= most)
+
+    def near(self, u: int, rest: np.ndarray) -> np.ndarray:
+        return rest[self.pass_(u, rest)]
+
+
+class _SetEntries(_Entries):
+    """Entries with their sets: `near` is exact."""
+
+    def __init__(self, batch: pa.RecordBatch, similarity: float):
+        super().__init__(batch, similarity)
+        self.flat = batch.column("_set").flatten().to_numpy()
+        self.ends = np.concatenate([[0], np.cumsum(self.size)])
+
+    def near(self, u: int, rest: np.ndarray) -> np.ndarray:
+        rest = super().near(u, rest)
+        own = self.flat[self.ends[u] : self.ends[u + 1]]
+        shared = [
+            len(np.intersect1d(own, self.flat[self.ends[v] : self.ends[v + 1]], assume_unique=True)) for v in rest
+        ]
+        both = self.size[rest] + self.size[u]
+        return rest[both - 2 * np.array(shared, np.int64) <= _apart(both, self.similarity)]
+
+
+def _grow(entries: _Entries, low: int, high: int, left: list, right: list) -> None:
+    """A spanning forest of one list, as in `_forest`."""
+    open_ = np.ones(high - low, bool)
+    for seed in range(high - low):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        queue = [seed + low]
+        for u in queue:
+            rest = np.flatnonzero(open_) + low
+            if not len(rest):
+                break
+            near = entries.near(u, rest)
+            open_[near - low] = False
+            left.append(np.full(len(near), entries.ids[u]))
+            right.append(entries.ids[near])
+            queue.extend(near.tolist())
+
+
+def _candidates(similarity: float):
+    """Pairs of lists that pass the bounds: all of short lists, else a forest."""
+
+    def solve(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        entries, size = _Entries(batch, similarity), np.diff(starts)
+        left, right = [], []
+        for many in range(2, SHORT + 1):
+            low = starts[:-1][size == many]
+            for i in range(many if len(low) else 0):
+                for j in range(i + 1, many):
+                    near = low[entries.pass_(low + i, low + j)]
+                    left.append(entries.ids[near + i])
+                    right.append(entries.ids[near + j])
+        for k in np.flatnonzero(size > SHORT):
+            _grow(entries, int(starts[k]), int(starts[k + 1]), left, right)
+        return _edges(left, right)
+
+    return solve
+
+
+def _long(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """Entries of the lists that gave a forest only."""
+    size = np.diff(starts)
+    return batch.slice(0, int(starts[-1])).filter(pa.array(np.repeat(size > SHORT, size)))
+
+
+def _unsettled(similarity: float):
+    """What is left of long lists: pairs (_id, _other) of different components that pass the bounds.
+
+    A list with more than `SHORT` such pairs an entry gives their entries, without _other.
+    """
+
+    def solve(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        component, entries = batch.column("_component").to_numpy(), _Entries(batch, similarity)
+        at, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if (component[low:high] == component[low]).all():
+                continue
+            one, two, many = [], [], 0
+            found = np.zeros(high - low, bool)
+            for u in range(low, high - 1):
+                rest = np.flatnonzero(component[u + 1 : high] != component[u]) + u + 1
+                near = entries.near(u, rest)
+                found[near - low] = True
+                found[u - low] |= len(near) > 0
+                many += len(near)
+                if many <= SHORT * (high - low):
+                    one.append(np.full(len(near), u))
+                    two.append(near)
+            if many > SHORT * (high - low):
+                one, two = [np.flatnonzero(found) + low], [np.full(int(found.sum()), -1)]
+            at += one
+            other += two
+        at, other = np.concatenate(at), np.concatenate(other)
+        ids = pa.array(entries.ids[np.maximum(other, 0)], mask=other < 0)
+        kept = [batch.column(name).take(pa.array(at)) for name in ("_key", "_i", "_j", "_id")]
+        return pa.RecordBatch.from_arrays([*kept, ids], ["_key", "_i", "_j", "_id", "_other"])
+
+    return solve
+
+
+def _linked_sets(similarity: float):
+    """Forests of exact links of lists whose entries carry their sets."""
+
+    def solve(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        entries = _SetEntries(batch, similarity)
+        left, right = [], []
+        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            _grow(entries, low, high, left, right)
+        return _edges(left, right)
+
+    return solve
+
+
+def _similar(similarity: float):
+    """Whether two sorted sets reach the similarity."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.zeros(len(a), bool)
+        for k in range(len(a)):
+            x, y = a[k].values.to_numpy(), b[k].values.to_numpy()
+            apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = apart <= _apart(len(x) + len(y), similarity)
+        return pa.array(out)
+
+    return F.arrow_udf(run, "boolean")
+
+
+def similar_links(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(_a, _b): a forest of the pairs of this similarity, over all pairs of `classes`.
+
+    `texts` has (_row, _text), `classes` (_id, _size, _sketch, _first) with a
+    row per distinct set.
+    """
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.select(F.col("_id").alias("_row")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= SENT else ids
+        held = texts.join(ids, "_row", "left_semi")
+        found = held.select(F.col("_row").alias("_id"), F.arrow_udf(_sets, "array<bigint>")("_text").alias("_set"))
+        return cut(found.distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")))
+        met = pairs.join(sets.toDF("_a", "_x"), "_a").join(sets.toDF("_b", "_y"), "_b")
+        return cut(met.where(_similar(similarity)("_x", "_y")).select("_a", "_b"))
+
+    postings = classes.select("_id", F.explode("_first").alias("_key"))
+    bounds = classes.select("_id", "_size", "_sketch")
+    by = ["_key", "_i", "_j"]
+    entry = "_id long, _key long, _i int, _j int, _size int, _sketch binary"
+    lists = paired_pieces(postings, ["_key"], F.xxhash64("_id"), LIST, attach=bounds)
+    # Read back as it was dealt and sorted.
+    lists = cut(lists.select("_id", *by, "_size", "_sketch"))
+
+    def solved(rows: DataFrame, solve, schema: str) -> DataFrame:
+        return rows.mapInArrow(lambda b: runs_of(b, by, solve), schema)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*by).sortWithinPartitions(*by, "_id")
+
+    pairs = cut(solved(lists, _candidates(similarity), "_a long, _b long").where("_a <> _b").distinct())
+    near = linked(pairs)
+
+    # Lists of few entries are settled; in the others only entries of different components are not.
+    joined = components(near, "_a", "_b").select(F.col("node").alias("_id"), F.col("component").alias("_component"))
+    placed = solved(lists, _long, entry).join(joined, "_id", "left")
+    placed = placed.withColumn("_component", F.coalesce("_component", "_id"))
+    left = cut(solved(dealt(placed), _unsettled(similarity), "_key long, _i int, _j int, _id long, _other long"))
+    second = left.where("_other <> _id").select(F.least("_id", "_other").alias("_a"), F.greatest("_id", "_other").alias("_b"))
+    near = near.unionByName(linked(cut(second.distinct().join(pairs, ["_a", "_b"], "left_anti"))))
+    whole = left.where("_other is null").select("_id", *by).distinct()
+    whole = whole.join(sets_of(whole), "_id").withColumn("_size", F.size("_set")).join(bounds, ["_id", "_size"])
+    return near.unionByName(solved(dealt(whole), _linked_sets(similarity), "_a long, _b long"))
 
 
 def similar_groups(
@@ -262,37 +487,22 @@ def similar_groups(
 ) -> DataFrame:
     """(id, component_id) of the rows that have an id: groups of near copies.
 
-    Linked are texts whose five-word shingles have about this Jaccard
-    similarity or more, judged by the fingerprints; `component_id` is the
+    Linked are the texts whose sets of five-word shingles have this Jaccard
+    similarity or more, all of them and no others; `component_id` is the
     smallest id reachable. Texts without words are copies of each other.
     """
-
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([row.tobytes() for row in wide_fingerprints(texts)], pa.binary())
-
-    most = most_bits(similarity)
-    solve = _solver(
-        lambda batch: _matrix(batch.column("_print")).view(np.uint64),
-        lambda x: np.bitwise_count(x).sum(axis=1) <= most,
-    )
-    prints = cut(
-        docs.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).alias("_row"), F.arrow_udf(run, "binary")(F.col(text_col)).alias("_print")
-        )
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_row"), F.col(text_col).alias("_text")
     )
-    classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id")))
-    keyed = F.arrow_udf(_wide_keys, "array<bigint>")("_print")
-    # Each row becomes many postings, so rows are dealt over all tasks first.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = classes.repartition(parts).select("_id", F.explode(keyed).alias("_key"))
-    # Fingerprints join only the entries of lists of two or more.
-    lists = paired_pieces(postings, ["_key"], F.xxhash64("_id"), LIST, attach=classes)
-    edges = lists.mapInArrow(lambda b: runs_of(b, ["_key", "_i", "_j"], solve), "_a long, _b long")
-    joined = components(edges, "_a", "_b")
+    described = _described(*_frequent(texts), similarity)
+    prints = cut(texts.select("_row", described("_text").alias("_d")).select("_row", "_d.*"))
+    same = [F.first(c).alias(c) for c in ("_size", "_sketch", "_first")]
+    classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id"), *same))
+    joined = components(similar_links(texts, classes, similarity), "_a", "_b")
     found = classes.join(joined, F.col("_id") == F.col("node"), "left").select(
         "_print", F.coalesce("component", "_id").alias("component_id")
     )
-    return prints.join(found, "_print").select(F.col("_row").alias(id_col), "component_id")
+    return prints.select("_row", "_print").join(found, "_print").select(F.col("_row").alias(id_col), "component_id")
 
 
 def keep_one(
