@@ -160,6 +160,24 @@ def test_decontaminate_recall_on_edits():
     assert np.mean(hit) >= 0.95
 
 
+@pytest.mark.parametrize("size", [20, 100, 300, 1000])
+def test_decontaminate_finds_all_edited_items_of_any_length(size):
+    rng = np.random.default_rng(size)
+    many = 6 if size == 1000 else 40
+    items = [(i, " ".join(f"i{w}" for w in rng.integers(0, 30_000, size))) for i in range(many)]
+    index = decontaminate.build_index(items)
+    texts = []
+    for _, text in items:
+        words = text.split()
+        for p in np.sort(rng.permutation(size)[: size // 5])[::-1]:
+            kind = rng.integers(0, 3)
+            words[p : p + 1] = [[f"x{p}"], [words[p], f"y{p}"], []][kind]
+        texts.append(" ".join(["some", "words", "ahead"] + words + ["and", "behind"]))
+    found = decontaminate.search(index, pa.array(texts))
+    assert [[h["item_id"] for h in hs] for hs in found] == [[i] for i, _ in items]
+    assert all(h["distance"] <= size // 5 for hs in found for h in hs)
+
+
 def test_decontaminate_odd(spark, odd, nothing):
     bench = spark.createDataFrame(
         [(1, "one two three four five six"), (2, None), (None, "word word word word word word"), (3, ""), (4, "of a"), (5, "x y z 漢字かな q")],

@@ -4,13 +4,14 @@ Method: the CGK random walk embeds a sequence of n words so that few edits
 change few positions. The walk holds a pointer into the sequence; each step
 writes the word under it and moves on by a random bit that hangs on the step
 and the word. Bit-sampling LSH reads a few positions of the embedding as a key;
-it is repeated with independent walks until passages at the largest distance
-are found with the target recall. Windows have the size of the item and start
-at every word. Candidates are verified by exact edit distance over words.
+it is repeated with independent walks. Windows have the size of the item and
+start at every word. Candidates are verified by exact edit distance over words.
 
 Windows that cannot reach the threshold are skipped by a bound that loses
 nothing: k edits break at most 2k of an item's n-1 word pairs, so a window of n
-words must hold at least n-1-2k word pairs that occur in items of n words.
+words must hold at least n-1-2k word pairs that occur in items of n words. The
+same bound for each item by itself adds the items that the walks miss: their
+agreement falls with the length of an item, so their recall alone would too.
 
 Everything is decided inside a document: there is no shuffle. The benchmark is
 a stated query set. It is searched in blocks of at most `BLOCK` items, one
@@ -33,13 +34,16 @@ from textbench.llm.wordbytes import byte_chunks, mix, words
 BLOCK = 20_000
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Wanted for one window at the largest distance; a passage is met by up to 2k+1
-#: windows, which carries its recall to about 1 (measured in the tests).
+#: Wanted of the walks for one window of a short item at the largest distance;
+#: what they miss is found by counting the word pairs of each item.
 RECALL = 0.7
 SAMPLED = 2
-#: Chance that a position of the walk agrees at the largest distance, measured on random edits.
+#: Chance that a position of the walk agrees at the largest distance, measured on random
+#: edits of items of up to 100 words; less in longer ones.
 AGREE = 0.3
 _ROWS = 128
+#: Cells of the walks that are held at a time.
+_CELLS = 1 << 22
 HITS = "array<struct<item_id:bigint,distance:int,words:int,first_word:bigint>>"
 
 
@@ -86,6 +90,12 @@ class Index:
         self.grams, first = np.unique(gram, return_index=True)
         self.first = np.append(first, len(gram))
         self.of_length = size.astype(np.uint16)
+        # Items of each word pair and length, as runs of equal numbers in `spot`.
+        of = [np.full(len(g), i) for i, (g, _) in enumerate(own)]
+        of = np.concatenate(of) if of else np.zeros(0, int)
+        whole = np.concatenate([g for g, _ in own]) if own else np.zeros(0, np.uint64)
+        spot = np.searchsorted(self.grams, whole) * len(self.lengths) + np.searchsorted(self.lengths, self.size[of])
+        self.spot, self.holder = np.unique(np.stack([spot, of]), axis=1) if len(of) else (spot, of)
         self.screen = np.zeros(1 << 20, bool)
         self.screen[self.grams >> np.uint64(44)] = True
         buckets, owner = [], []
@@ -119,8 +129,12 @@ class Index:
     def candidates(self, h, start, stop, n):
         """(start, stop, item) of windows that meet an item in some walk."""
         out = []
-        for at in range(0, len(start), _ROWS):
-            part = slice(at, at + _ROWS)
+        at = 0
+        while at < len(start):
+            # Windows come by length; long ones have more steps.
+            rows = max(1, min(_ROWS, _CELLS // int(2 * n[min(at + _ROWS, len(n)) - 1] * self.walks)))
+            part = slice(at, at + rows)
+            at += rows
             keys = self.sample(h, start[part], stop[part], n[part])
             low = np.searchsorted(self.bucket, keys, "left")
             high = np.searchsorted(self.bucket, keys, "right")
@@ -135,6 +149,38 @@ class Index:
             out.append(np.stack([start[part][both[0]], stop[part][both[0]], both[1]]))
         return np.concatenate(out, axis=1) if out else np.zeros((3, 0), int)
 
+    def counted(self, h, doc, bounds, start, n):
+        """(start, stop, item) where a window holds enough word pairs of the item itself; loses nothing."""
+        out = [np.zeros((3, 0), int)]
+        pair = _pairs(h)
+        for k in np.unique(np.searchsorted(self.lengths, n)):
+            size = int(self.lengths[k])
+            least = max(int(size - 1 - 2 * most_edits(size, self.similarity)), 1)
+            first = start[n == size]
+            # A window has size-1 pairs, fewer where its text ends.
+            last = np.minimum(first + size, bounds[doc[first] + 1]) - 1
+            inside = np.cumsum(
+                np.bincount(first, minlength=len(h) + 1) - np.bincount(last, minlength=len(h) + 1)
+            )
+            at = np.flatnonzero(inside[: len(pair)] > 0)
+            gram = np.minimum(np.searchsorted(self.grams, pair[at]), len(self.grams) - 1)
+            true = self.grams[gram] == pair[at]
+            at, spot = at[true], gram[true] * len(self.lengths) + k
+            low = np.searchsorted(self.spot, spot, "left")
+            count = np.searchsorted(self.spot, spot, "right") - low
+            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            item, place = self.holder[which], np.repeat(at, count)
+            order = np.lexsort((place, item))
+            item, place = item[order], place[order]
+            if len(place) < least:
+                continue
+            a, b = place[: len(place) - least + 1], place[least - 1 :]
+            fits = (item[: len(a)] == item[least - 1 :]) & (b - a <= size - 2) & (doc[a] == doc[b])
+            a, b, item = a[fits], b[fits], item[: len(a)][fits]
+            for begin in (np.maximum(b - (size - 2), bounds[doc[a]]), a):
+                out.append(np.stack([begin, bounds[doc[a] + 1], item]))
+        return np.concatenate(out, axis=1)
+
     def windows(self, h: np.ndarray, doc: np.ndarray, bounds: np.ndarray):
         """(start, stop, n) of the windows that hold enough word pairs of the benchmark."""
         none = (np.zeros(0, int),) * 3
@@ -202,7 +248,8 @@ def search(index: Index, texts: pa.Array) -> list[list[dict]]:
         start, stop, n = index.windows(h, found.doc, bounds)
         if not len(start):
             continue
-        start, stop, item = index.candidates(h, start, stop, n)
+        met = [index.candidates(h, start, stop, n), index.counted(h, found.doc, bounds, start, n)]
+        start, stop, item = np.unique(np.concatenate(met, axis=1), axis=1)
         if not len(start):
             continue
         order = np.lexsort((start, item, found.doc[start]))
