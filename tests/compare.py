@@ -19,7 +19,7 @@ sys.path.insert(0, ROOT)
 
 TABLES = """region nation customer supplier part orders lineitem events documents
 embeddings pages benchmark labels conversations""".split()
-KINDS = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
+KINDS = {"BOOLEAN": "boolean", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
 
 
 def session(cores: str = "8") -> SparkSession:
