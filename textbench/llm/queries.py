@@ -16,6 +16,7 @@ from textbench.llm import (
     reputation,
     reshard,
     simhash,
+    spelling,
     tokencount,
     toxicity,
     vectors,
@@ -197,6 +198,42 @@ _CRC_TABLE = """steps(i, k, c) AS (
 crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)"""
 
 
+_RUN_CRC = _CRC.format(
+    bytes="list_concat(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':', ''), lambda x: CAST(ascii(x) AS BIGINT)), "
+    "flatten(list_transform(string_split(run, ''), lambda x: "
+    "CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END)))"
+)
+SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+seen AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_RUN_CRC} AS h FROM seen, crc_table),
+kept AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                   ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+         FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+         UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+ranked AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near,
+                  row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near),
+forms AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+                 CASE WHEN r.m >= 2 * w.n THEN r.other END AS form, CASE WHEN r.m >= 2 * w.n THEN r.m END AS form_n
+          FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (SELECT word, word AS at FROM forms
+          UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root
+FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.at WHERE e.form IS NULL
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def _spelling(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def _merkle_sql(levels: int = 5) -> str:
     """Trees of at most 16 ** levels leaves a source and as many sources."""
     frame = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
