@@ -21,7 +21,7 @@ def test_same_as_sql(spark, name):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries()} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))
 
 
 @pytest.fixture(scope="module")

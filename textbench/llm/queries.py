@@ -17,6 +17,7 @@ from textbench.llm import (
     reshard,
     simhash,
     spelling,
+    suffixes,
     tokencount,
     toxicity,
     vectors,
@@ -282,6 +283,11 @@ def _merkle(spark, folder):
     return merkle.summary(table(spark, folder, "documents"))
 
 
+@query("op13_suffix_array_dedup")
+def _suffixes(spark, folder):
+    return suffixes.summary(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 

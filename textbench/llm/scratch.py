@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from textbench.session import shared_dir
+from textbench.session import scratch_path, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the folder of `spark.checkpoint.dir` and read back."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` as compressed Parquet in the shared folder, and its path for `discard`."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of `stored` whose last reader is done."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
