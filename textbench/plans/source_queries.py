@@ -9,7 +9,7 @@ from textbench.plans.answer_queries import CORRECTION, DETECTION, SENTENCE
 from textbench.plans.registry import query
 from textbench.plans.score_queries import _n
 from textbench.session import scratch_path
-from textbench.sources import readers, writers
+from textbench.sources import elements, readers, writers
 from textbench.sources.schemas import EXPERIMENT
 from textbench.streaming import scores
 
@@ -234,28 +234,40 @@ def _(fx):
     return fx.spark.read.parquet(path).select("split", "ord", "sentences")
 
 
+def _array_files(fx, groups: int):
+    """Folder of JSON arrays with the items of so many neighbouring groups each."""
+    path = scratch_path(fx.spark, "files")
+    rows = fx.sample.select(
+        F.floor(c("grp") / groups).alias("file"), "ord", F.to_json(F.struct(*ITEM_FIELDS), _KEEP).alias("json")
+    )
+    writers.write_json_arrays(rows, path)
+    return path
+
+
 @query(
     "dedup_many_files",
     """SELECT sample_id FROM fx_sample WHERE ord % 3 = 0""",
     ["sample"],
 )
 def _(fx):
-    # One file per group of items, written and read back; every file starts at position 0.
-    path = scratch_path(fx.spark, "files")
-    files = _item_files(fx).select(F.concat("path", F.lit(".json")).alias("name"), "text")
-    files.select("text").repartition(8).write.option("lineSep", "\u0001").text(path)
-    read = readers.read_containers(fx.spark, path)
-    # Spark writes the files of a task one after the other; each becomes a container again.
-    parts = F.posexplode(F.filter(F.split("text", "\u0001"), lambda t: F.length(t) > 0))
-    containers = read.select("path", parts.alias("k", "text")).select(
-        F.concat_ws("#", "path", F.lpad(c("k").cast("string"), 9, "0")).alias("path"), "text"
-    )
-    # Whole files are read by single tasks; their rows go on from all of them.
-    items = readers.deal_rows(readers.number_files(readers.read_items(containers)))
+    # Every file starts at position 0, so positions run over all files first.
+    read = elements.read_elements(fx.spark, _array_files(fx, 64))
+    items = readers.number_files(readers.read_items(read))
     # Items of a group lie in one file in their order, so the first of a base id is that of rest 0.
     return curate.dedup_first(items.select("sample_id", "ord")).select("sample_id")
 
 
+@query(
+    "read_large_files",
+    """SELECT sample_id, row_number() OVER (PARTITION BY CAST(floor(grp / 4096) AS BIGINT) ORDER BY ord) - 1 AS ord, sentences, corrected_sentence,
+              CAST(1 AS INT) AS is_complete FROM fx_sample""",
+    ["sample"],
+)
+def _(fx):
+    items = readers.read_items(elements.read_elements(fx.spark, _array_files(fx, 4096)))
+    return items.select("sample_id", "ord", "sentences", "corrected_sentence", "is_complete")
+
+
 # --- stream -----------------------------------------------------------------
 
 

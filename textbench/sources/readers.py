@@ -1,17 +1,16 @@
 """Readers of the JSON files a benchmark run leaves behind.
 
-Each file holds one JSON value, an array or an object around one, so a file is
-the unit of work and files are spread over tasks. Elements are kept as raw JSON
-first: that gives their position in the file and lets a row with a missing key
-be set aside instead of failing the job.
+Each file holds one JSON value, an array or an object around one. Elements are kept
+as raw JSON first: that gives their position in the file and lets a row with a
+missing key be set aside instead of failing the job.
 
-Positions restart in every file; `number_files` makes them run over all files,
-which duplicate removal and merging need. `deal_rows` spreads rows that came
-out of few large files. Data that outgrows one JSON value per file is better
-kept as Parquet or JSON lines, which split.
+`elements.read_elements` reads files of any size with many tasks a file. Texts that
+are kept in a table, or many small files (`read_containers`), are split row by
+row by `normalize_container`. Every reader here takes the elements of the one or the
+(path, text) rows of the other.
 
-All readers have a form that takes a table of (path, text) rows, so documents
-kept in a table are read the same way.
+Positions restart in every file; `number_files` makes them run over all files,
+which duplicate removal and merging need.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from textbench import constants as K
 from textbench.functions import text as T
 from textbench.sources import schemas as S
+from textbench.sources.elements import LAYOUTS
 
 
 def read_containers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -32,10 +32,6 @@ def read_containers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-# Names under which a file keeps its rows.
-LAYOUTS = ["samples", "interactions"]
-
-
 def normalize_container(files: DataFrame) -> DataFrame:
     """(path, layout, ord, raw): the elements of bare arrays and of wrapped ones.
 
@@ -83,9 +79,9 @@ def number_files(rows: DataFrame) -> DataFrame:
     return rows.join(offsets, "path").withColumn("ord", F.col("ord") + F.col("_before")).drop("_before")
 
 
-def deal_rows(rows: DataFrame) -> DataFrame:
-    """Rows of few large files over all tasks, without a key."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _elements(files: DataFrame) -> DataFrame:
+    """Elements as they are, or those of whole files."""
+    return files if {"ord", "raw"} <= set(files.columns) else normalize_container(files)
 
 
 def container_fields(files: DataFrame, schema: str) -> DataFrame:
@@ -101,7 +97,7 @@ def _has_keys(raw: Column, keys: Sequence[str]) -> Column:
 def read_items(files: DataFrame) -> DataFrame:
     """Items with `ord` and `is_complete`: rows lacking a required key are kept
     apart by that flag for the caller to quarantine."""
-    rows = normalize_container(files)
+    rows = _elements(files)
     read = rows.withColumn("_item", F.from_json("raw", S.ITEM))
     return read.select(
         "path",
@@ -114,7 +110,7 @@ def read_items(files: DataFrame) -> DataFrame:
 
 def read_questions(files: DataFrame, prefix: str = K.QUESTION_ID_PREFIX) -> DataFrame:
     """Exam questions; an id that is missing is made from the position."""
-    rows = normalize_container(files).withColumn("_q", F.from_json("raw", S.QUESTION))
+    rows = _elements(files).withColumn("_q", F.from_json("raw", S.QUESTION))
     made = F.concat(F.lit(prefix), F.col("ord").cast("string"))
     return rows.select(
         "path",
@@ -131,7 +127,7 @@ def read_responses(files: DataFrame) -> DataFrame:
 
     The sample id is taken from the interaction or from its sample.
     """
-    rows = normalize_container(files).withColumn("_i", F.from_json("raw", S.INTERACTION))
+    rows = _elements(files).withColumn("_i", F.from_json("raw", S.INTERACTION))
     r, m = F.col("_i.raw_response"), F.col("_i.response_metadata")
     return rows.select(
         "path",
@@ -152,7 +148,7 @@ def read_responses(files: DataFrame) -> DataFrame:
 
 def read_predictions(files: DataFrame) -> DataFrame:
     """Predictions files → one row per sample; both spellings of the parsers are read."""
-    rows = normalize_container(files).withColumn("_s", F.from_json("raw", S.PREDICTED_SAMPLE))
+    rows = _elements(files).withColumn("_s", F.from_json("raw", S.PREDICTED_SAMPLE))
     p = F.col("_s.predictions")
     index = F.lpad(
         F.col("ord").cast("string"), F.greatest(F.length(F.col("ord").cast("string")), F.lit(3)), F.lit("0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.functions.reasoning import redact_keys
@@ -63,3 +63,15 @@ def drop_null_fields(*columns: str) -> Column:
 def write_json_rows(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Rows as JSON lines without null fields."""
     df.write.mode("append").option("ignoreNullFields", "true").partitionBy(*by).json(path)
+
+
+def write_json_arrays(rows: DataFrame, path: str, file: str = "file", order: str = "ord", json: str = "json") -> None:
+    """One JSON array per value of `file`, below `path`, of its rows in their order.
+
+    A file is written by one task, row by row; how many rows share a file is the
+    caller's choice.
+    """
+    inside = Window.partitionBy(file).orderBy(order)
+    first, last = F.lag(order).over(inside).isNull(), F.lead(order).over(inside).isNull()
+    line = F.concat(F.when(first, "[").otherwise(","), json, F.when(last, "]").otherwise(""))
+    rows.select(file, line.alias("value")).write.partitionBy(file).text(path)
