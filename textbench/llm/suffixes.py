@@ -40,6 +40,7 @@ DEPTH = 200
 MOST = 16_384
 PIECE_BYTES = 1 << 20
 PART = 1 << 15
+SALTS = 32
 SORTED_AT_ONCE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -354,7 +355,11 @@ def repeated(docs: DataFrame, depth: int = DEPTH, most: int = MOST) -> DataFrame
     if worst >= 2:
         windows = todo(2).mapInArrow(_windows(depth), "key binary, from long, high long, low long")
         twice = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        back = windows.join(twice, ["high", "low"]).select("key", "from", (F.col("from") + depth).alias("to")).distinct()
+        # A window of a very common passage meets its digest in SALTS partitions.
+        twice = twice.select("high", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        back = windows.withColumn("salt", F.pmod(F.xxhash64("key", "from"), SALTS).cast("int"))
+        back = back.join(twice, ["high", "low", "salt"])
+        back = back.select("key", "from", (F.col("from") + depth).alias("to")).distinct()
         runs = runs.unionByName(back)
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
     return texts.join(runs, "key", "left")
