@@ -10,6 +10,7 @@ from textbench.plans.registry import query
 from textbench.plans.score_queries import _n
 from textbench.session import scratch_path
 from textbench.sources import elements, readers, writers
+from textbench.sources.commits import read_committed
 from textbench.sources.schemas import EXPERIMENT
 from textbench.streaming import scores
 
@@ -194,8 +195,10 @@ def _(fx):
     )
     rows = _experiment(fx.response).select(*EXPERIMENT, "ord", "content", config.alias("config"))
     path = scratch_path(fx.spark, "sink")
-    writers.write_responses(rows, path, secrets=["api_key"], config_columns=["config"])
-    return fx.spark.read.parquet(path).select(
+    # A repetition under another name replaces the run, one under the same name does nothing.
+    for name in ("first", "second", "second"):
+        writers.write_responses(rows, path, secrets=["api_key"], config_columns=["config"], commit=name)
+    return read_committed(fx.spark, path, "responses").select(
         "task", "dataset", "model", "template", "ord", "content", "config"
     )
 
@@ -215,8 +218,8 @@ def _(fx):
     path = scratch_path(fx.spark, "sink")
     writers.write_predictions(rows.select(*EXPERIMENT, "ord", "ed_pred", "se_pred"), long, path)
     by = ["dataset", "model", "template"]
-    samples = fx.spark.read.parquet(f"{path}/samples").groupBy(*by).agg(F.count(F.lit(1)).alias("samples"))
-    kept = fx.spark.read.parquet(f"{path}/metrics").select(
+    samples = read_committed(fx.spark, path, "samples").groupBy(*by).agg(F.count(F.lit(1)).alias("samples"))
+    kept = read_committed(fx.spark, path, "metrics").select(
         *by, c("value").cast("bigint").alias("right_samples")
     )
     return samples.join(kept, by)
@@ -230,7 +233,9 @@ def _(fx):
 def _(fx):
     split = F.when(c("error_flag") == 1, "adopted").otherwise("rejected")
     path = scratch_path(fx.spark, "sink")
-    writers.split_write(fx.sample.select("ord", "sentences", split.alias("split")), path)
+    rows = fx.sample.select("ord", "sentences", split.alias("split"))
+    for _ in range(2):
+        writers.split_write(rows, path)
     return fx.spark.read.parquet(path).select("split", "ord", "sentences")
 
 

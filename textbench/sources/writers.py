@@ -1,4 +1,8 @@
-"""Sinks: partitioned Parquet, one row per response or prediction."""
+"""Sinks: partitioned Parquet, one row per response or prediction.
+
+Rows are written in commits (`commits`): a repeated or failed job leaves each row once, and
+`commits.read_committed` reads them.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.functions.reasoning import redact_keys
+from textbench.sources.commits import commit_tables
 from textbench.sources.schemas import EXPERIMENT
 
 
@@ -36,23 +41,33 @@ def write_responses(
     secrets: Sequence[str] = (),
     config_columns: Sequence[str] = (),
     by: Sequence[str] = tuple(EXPERIMENT),
-) -> None:
-    """Write responses by experiment with secret keys taken out of JSON columns."""
+    commit: str | None = None,
+) -> str:
+    """Write responses by experiment with secret keys taken out of JSON columns, as table `responses`."""
     clean = responses.withColumns({c: redact_keys(F.col(c), secrets) for c in config_columns})
-    clustered(clean, by).write.mode("append").partitionBy(*by).parquet(path)
+    return commit_tables({"responses": clustered(clean, by)}, path, by, commit)
 
 
 def write_predictions(
-    predictions: DataFrame, metrics: DataFrame, path: str, by: Sequence[str] = tuple(EXPERIMENT)
-) -> None:
-    """Write parsed predictions and the long metric table side by side."""
-    clustered(predictions, by).write.mode("append").partitionBy(*by).parquet(f"{path}/samples")
-    clustered(metrics, by).write.mode("append").partitionBy(*by).parquet(f"{path}/metrics")
+    predictions: DataFrame,
+    metrics: DataFrame,
+    path: str,
+    by: Sequence[str] = tuple(EXPERIMENT),
+    commit: str | None = None,
+) -> str:
+    """Write parsed predictions (`samples`) and the long metric table (`metrics`) in one commit."""
+    tables = {"samples": clustered(predictions, by), "metrics": clustered(metrics, by)}
+    return commit_tables(tables, path, by, commit)
 
 
 def split_write(df: DataFrame, path: str, by: Sequence[str] = ("split",)) -> None:
-    """One pass over the rows, one folder per split (and model or experiment)."""
-    clustered(df, by).write.mode("append").partitionBy(*by).parquet(path)
+    """One pass over the rows, one folder per split (and model or experiment).
+
+    Folders that get rows are replaced as the job commits, others stay, so writing twice
+    leaves each row once; the result is plain Parquet.
+    """
+    writer = clustered(df, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
 
 
 def drop_null_fields(*columns: str) -> Column:
