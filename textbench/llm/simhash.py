@@ -15,15 +15,15 @@ task. Each comparison gives a spanning forest of its links and never all pairs:
 components are the same, and the output of a list is linear in its length.
 
 `similar_groups` serves copies at a Jaccard similarity of 0.8 over five-word
-shingles, which fingerprints cannot tell apart surely. It is an exact join: two
-sets that similar share one of the first 20 % of their shingles in any common
-order, so a text is posted under these only. The order puts shingles last that
-are frequent in a sample; it changes the length of lists, never the result. A
-list compares sizes and the parities of hashed shingles, bounds that lose
-nothing. Short lists give all pairs that pass, longer ones a spanning forest;
-their exact similarity is computed once a pair. Entries of longer lists that
-are still apart give their pairs in turn; where these are many, the entries meet
-with their whole sets, and a forest of exact links leaves the list.
+shingles, which majority bits cannot tell apart surely. It keeps the method with bytes of
+a set's least hashes: two sets agree in a byte as often as they are similar. A text is posted
+under `BANDS` groups of `ROWS` positional bytes; a list tallies the bytes that two
+texts share in place and keeps pairs that reach a count which pairs at the limit
+miss with a chance below one in a million, as they miss all common lists. Short lists give all
+pairs that pass, longer ones a spanning forest; the exact similarity of the sets
+is computed once a pair. Entries of longer lists that are still apart give their
+pairs in turn; where these are many, the entries meet with their whole sets, and
+a forest of exact links leaves the list. No pair below the limit is linked.
 """
 
 from __future__ import annotations
@@ -198,13 +198,11 @@ def near_duplicates(
 
 WIDE_WORDS = 5
 SIMILARITY = 0.8
-#: Bits of the parity sketch of a set.
-SKETCH = 512
 #: Lists of so many entries give all their pairs.
 SHORT = 8
-#: Documents that are counted, and shingles kept, for the order of shingles.
-SAMPLED = 1_000
-FREQUENT = 1 << 15
+#: Positional bytes of a set: 32 groups of five. Pairs at 0.8 share none of the groups once in 300,000.
+BANDS, ROWS = 32, 5
+PLACES = BANDS * ROWS
 #: Ids up to which they are sent to all tasks, so that texts stay where they are.
 SENT = 1 << 20
 _EXACT = 1e-9
@@ -237,29 +235,40 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Shingles of which two sets this similar share one, in any common order."""
-    return n - int(np.ceil(similarity * n - _EXACT)) + 1
+#: Odd factors; the upper and the lower half of a product are two hashes.
+_TURNS = np.random.default_rng(5).integers(1 << 62, (1 << 64) - 1, (PLACES // 2, 1), np.uint64) | np.uint64(1)
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of the hashes that fall on each bit; they differ in no more bits than sets in shingles."""
-    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+def least_bytes(found: np.ndarray) -> np.ndarray:
+    """PLACES bytes of a set, each of its least element under another hash."""
+    least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
+    for part in range(0, len(found), 4096):
+        turned = found[part : part + 4096] * _TURNS
+        turned ^= turned >> np.uint64(29)
+        upper = (turned.min(axis=1) >> np.uint64(32)).astype(np.uint32)
+        lower = turned.astype(np.uint32).min(axis=1)
+        least = np.minimum(least, np.concatenate([upper, lower]))
+    return (mix(least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
-def _described(often: np.ndarray, times: np.ndarray, similarity: float):
-    """Struct of digest, size, sketch and prefix of each text; `often` is sorted."""
+def least_shared(similarity: float) -> int:
+    """Bytes that two sets of this similarity share in place, but for a chance of one in a million."""
+    chance = similarity + (1 - similarity) / 256
+    return int(PLACES * chance - 4.9 * np.sqrt(PLACES * chance * (1 - chance)))
+
+
+def _described():
+    """Struct of digest, size, bytes and list keys of each text."""
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [(b"", 0, bytes(SKETCH // 8), [])] * len(texts)
+        rows = [(b"", 0, bytes(PLACES), [])] * len(texts)
+        band = np.arange(BANDS, dtype=np.uint64)
         for row, found in shingle_sets(texts):
-            order = found
-            if len(often):
-                at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                order = found[np.lexsort((found, np.where(often[at] == found, times[at], 0)))]
-            first = order[: prefix_length(len(found), similarity)].view(np.int64)
-            rows[row] = (xxhash.xxh3_128_digest(found.tobytes()), len(found), sketch(found), first)
+            least = least_bytes(found)
+            keys = np.zeros((BANDS, 8), np.uint8)
+            keys[:, :ROWS] = least.reshape(BANDS, ROWS)
+            keys = mix(keys.view(np.uint64).ravel() + (band << np.uint64(8 * ROWS))).view(np.int64)
+            rows[row] = (xxhash.xxh3_128_digest(found.tobytes()), len(found), least.tobytes(), keys)
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         parts = [pa.array(list(part), kind) for part, kind in zip(zip(*rows) if rows else [()] * 4, kinds)]
         return pa.StructArray.from_arrays(parts, ["_print", "_size", "_sketch", "_first"])
@@ -267,24 +276,6 @@ def _described(often: np.ndarray, times: np.ndarray, similarity: float):
     return F.arrow_udf(run, "_print binary, _size int, _sketch binary, _first array<bigint>")
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several documents of a bounded sample, and how often."""
-    share = min(1.0, SAMPLED / max(docs.count(), 1))
-    drawn = docs.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counted = (
-        drawn.select(F.explode(F.arrow_udf(_sets, "array<bigint>")("_text")).alias("_key"))
-        .groupBy("_key")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 2")
-        .orderBy(F.desc("_n"), "_key")
-        .limit(FREQUENT)
-        .collect()
-    )
-    often = np.array([r._key for r in counted], np.int64).view(np.uint64)
-    order = np.argsort(often)
-    return often[order], np.array([r._n for r in counted], np.int64)[order]
-
-
 def _apart(sizes: np.ndarray, similarity: float):
     """Shingles in one set only that the similarity allows, by the sum of both sizes."""
     return sizes * ((1 - similarity) / (1 + similarity)) + _EXACT
@@ -297,13 +288,14 @@ class _Entries:
         self.similarity = similarity
         self.ids = batch.column("_id").to_numpy()
         self.size = batch.column("_size").to_numpy().astype(np.int64)
-        flat = np.frombuffer(b"".join(batch.column("_sketch").to_pylist()), np.uint64)
-        self.sketch = flat.reshape(len(self.ids), SKETCH // 64)
+        flat = np.frombuffer(b"".join(batch.column("_sketch").to_pylist()), np.uint8)
+        self.sketch = flat.reshape(len(self.ids), PLACES)
+        self.least = least_shared(similarity)
 
     def pass_(self, u, v: np.ndarray) -> np.ndarray:
         most = _apart(self.size[u] + self.size[v], self.similarity)
         fit = np.abs(self.size[u] - self.size[v]) <= most
-        return fit & (np.bitwise_count(self.sketch[u] ^ self.sketch[v]).sum(axis=1) <= most)
+        return fit & ((self.sketch[u] == self.sketch[v]).sum(axis=1) >= self.least)
 
     def near(self, u: int, rest: np.ndarray) -> np.ndarray:
         return rest[self.pass_(u, rest)]
@@ -488,14 +480,13 @@ def similar_groups(
     """(id, component_id) of the rows that have an id: groups of near copies.
 
     Linked are the texts whose sets of five-word shingles have this Jaccard
-    similarity or more, all of them and no others; `component_id` is the
-    smallest id reachable. Texts without words are copies of each other.
+    similarity or more (each pair but for a chance of about one in 300,000 at 0.8, less
+    above it), and no others; `component_id` is the smallest id reachable. Texts without words are copies of each other.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_row"), F.col(text_col).alias("_text")
     )
-    described = _described(*_frequent(texts), similarity)
-    prints = cut(texts.select("_row", described("_text").alias("_d")).select("_row", "_d.*"))
+    prints = cut(texts.select("_row", _described()("_text").alias("_d")).select("_row", "_d.*"))
     same = [F.first(c).alias(c) for c in ("_size", "_sketch", "_first")]
     classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id"), *same))
     joined = components(similar_links(texts, classes, similarity), "_a", "_b")
