@@ -43,12 +43,20 @@ def detection_per_item(preds: DataFrame) -> DataFrame:
     )
 
 
+OUTCOMES = ("tp", "fp", "tn", "fn")
+
+
 def detection_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     counts = detection_per_item(preds).groupBy(*by).agg(
-        *[count_where(F.col("outcome") == x).alias(x) for x in ("tp", "fp", "tn", "fn")],
+        *[count_where(F.col("outcome") == x).alias(x) for x in OUTCOMES],
         F.count(F.lit(1)).alias("n"),
     )
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    return detection_rates(counts)
+
+
+def detection_rates(counts: DataFrame) -> DataFrame:
+    """Add accuracy, precision, recall and f1 to counts of outcomes."""
+    tp, fp, tn, fn = (F.col(x) for x in OUTCOMES)
     rates = counts.withColumns(
         {
             "accuracy": ratio(tp + tn, F.col("n")),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from textbench.operators import prompts, responses
 from textbench.plans.registry import query
-from textbench.plans.score_queries import _n
+from textbench.plans.score_queries import R6, _n
+from textbench.session import scratch_path
+from textbench.streaming import metrics
 
 c = F.col
 BY = ["model", "template"]
@@ -96,6 +98,28 @@ def _(fx):
     return responses.merge_responses(old, new, BY)
 
 
+@query(
+    "stream_metrics",
+    f"""SELECT model, template, tp, fp, tn, fn, n, round((tp + tn) / n::DOUBLE, 6)::DOUBLE AS accuracy, {R6("2.0 * tp", "2 * tp + fp + fn")} AS f1 FROM (
+        SELECT model, template, {_n("error_flag = 1 AND p = 1")} AS tp, {_n("error_flag = 0 AND p <> 0")} AS fp,
+               {_n("error_flag = 0 AND p = 0")} AS tn, {_n("error_flag = 1 AND p <> 1")} AS fn, count(*) AS n
+        FROM (SELECT *, CASE WHEN lang = 'de' AND quality IS NULL THEN -1 ELSE ed_pred END AS p FROM fx_response
+              WHERE lang = 'de' OR NOT (lang = 'es' AND quality IS NULL)) r GROUP BY model, template) x""",
+    ["response"],
+)
+def _(fx):
+    # The answers of run 0 arrive first, then those of run 1, which replace what they repeat.
+    flags = fx.response.select(*BY, "ord", "error_flag")
+    source, target, marks = (scratch_path(fx.spark, n) for n in ("arriving", "counts", "marks"))
+    for i in (0, 1):
+        arrived = _run(fx, f"20240101_00000{i}").join(flags, [*BY, "ord"])
+        arrived = arrived.select(*BY, "run_ts", "ord", "error_flag", "content")
+        arrived.write.mode("append").parquet(source)
+        schema = ", ".join(f"{n} {t}" for n, t in arrived.dtypes)
+        metrics.metrics_stream(fx.spark, source, target, marks, BY, schema).awaitTermination()
+    return metrics.current_metrics(fx.spark, target, BY).select(*BY, "tp", "fp", "tn", "fn", "n", "accuracy", "f1")
+
+
 @query(
     "incomplete_work",
     f"""SELECT model, template, count(*) AS responses, {_n(FAILED)} AS failed, CASE WHEN {_n(FAILED)} > 0 THEN 'partially_completed' ELSE 'completed' END AS status
