@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,22 +118,50 @@ def test_small_text_functions(spark):
     assert one(spark, "0_shot_prior_50_ja_lark", "string", T.base_template) == "0_shot_prior_ja"
 
 
-def test_lcs_and_ngrams_equal_the_plain_recurrence():
+def _plain_rouge(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+
+    def f(hits, n, m):
+        return 2 * hits / (n + m) if hits else 0.0
+
+    out = []
+    for k in (1, 2):
+        p, r = (Counter(zip(*[t[i:] for i in range(k)])) for t in (a, b))
+        out.append(f((p & r).total(), p.total(), r.total()))
+    return [*out, f(row[-1], len(a), len(b))]
+
+
+@pytest.mark.parametrize("dense", [-1, 50, 10**9])
+def test_rouge_of_a_batch_equals_the_plain_recurrence(monkeypatch, dense):
+    """Rows of all lengths side by side, from match points and from bit vectors."""
+    monkeypatch.setattr(G, "DENSE", dense)
+    monkeypatch.setattr(G, "MASK_BYTES", 20)
     rng = random.Random(1)
-    for _ in range(200):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 90))]
-        b = [rng.choice("abcde") for _ in range(rng.randint(0, 90))]
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-            row = new
-        assert G.lcs_length(a, b) == row[-1]
-        p, r = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-        hits = sum(min(p[g], r[g]) for g in p)
-        prec, rec = hits / max(1, sum(p.values())), hits / max(1, sum(r.values()))
-        assert G.ngram_f(a, b, 2) == pytest.approx(2 * prec * rec / (prec + rec) if hits else 0)
+    rows = [
+        [[rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 90))] for _ in "ab"] for _ in range(150)
+    ]
+    rows += [[None, ["a"]], [["a"], None], [[], []], [["a", None, "a"], [None, "a"]]]
+    sides = [pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)]
+    for (a, b), got in zip(rows, G.score_arrays(*sides).to_pylist()):
+        want = [None] * 3 if a is None or b is None else _plain_rouge(a, b)
+        assert list(got.values()) == pytest.approx(want)
+    parts = [pa.chunked_array([x]).slice(3, 40).combine_chunks() for x in sides]
+    assert G.score_arrays(*parts).to_pylist() == G.score_arrays(*sides).to_pylist()[3:43]
+    assert G.score_arrays(*[x.slice(0, 0) for x in sides]).to_pylist() == []
+
+
+@pytest.mark.parametrize("kinds", [100, 50_000])
+def test_rouge_of_very_long_texts(kinds):
+    a = np.random.default_rng(0).zipf(1.3, 200_000) % kinds
+    b = np.where(np.arange(len(a)) % 7 == 0, kinds + 1, a)
+    sides = [pa.array([[str(x) for x in t]]) for t in (a, b)]
+    (got,) = G.score_arrays(*sides).to_pylist()
+    assert got["rouge_l_f"] == pytest.approx(1 - (len(a) + 6) // 7 / len(a))
 
 
 def test_cleaning_equals_sentence_by_sentence_removal(spark):
