@@ -164,6 +164,31 @@ def test_rouge_of_very_long_texts(kinds):
     assert got["rouge_l_f"] == pytest.approx(1 - (len(a) + 6) // 7 / len(a))
 
 
+def test_synthesis_tokens_equal_a_scan_per_form(spark):
+    """All heading forms decided on one pass of tokens, as each form would find them in the whole text."""
+    rng = random.Random(3)
+
+    def text():
+        out = []
+        for _ in range(rng.randint(0, 7)):
+            out += [rng.choice(["###", "####", "##", "#####", "#", "### ", "####\n", "######"]), "選択肢"]
+            out += [rng.choice(["", " ", "　"]), rng.choice("abcdeAB"), rng.choice(["", " "])]
+            out.append(rng.choice(["", "", "（正答）", "(正答)", "(x", "（a#b）", "（x)y）", "（p） q）", "(#)", "（）"]))
+            out.append(rng.choice(["から合成した", "から合成した ", "から合成", ""]))
+            out.append(rng.choice(["Correct record", "Error record", "正しい記録", "エラー記録", "correct RECORD", ""]))
+            out.append(rng.choice(["", "", "（z）", "(z#)", "（q"]))
+            out.append(rng.choice(["\n1. one\n2. two\n", "\nエラータイプ: t\n", "\n", "x # y\n1. k", ""]))
+        return "".join(out)
+
+    rows = spark.createDataFrame([(i, text()) for i in range(1500)] + [(-1, ""), (-2, None)], "id long, content string")
+    scanned = S._form_by_form(F.coalesce("content", F.lit("")))
+    # No choice is looked for one by one where any record was found.
+    got = S.with_sections(rows, "content", 1).select("id", "_sections", scanned.alias("scanned")).collect()
+    told = lambda found: [(x.choice, x.body, x.whole.lstrip("#").split("\n")[0]) for x in found if not x.loose]
+    assert sum(bool(r.scanned) for r in got) > 500
+    assert [r.id for r in got if told(r._sections) != told(r.scanned)] == []
+
+
 def test_cleaning_equals_sentence_by_sentence_removal(spark):
     rng = random.Random(2)
     words = ["told that", "fine", "We Must", "ignore", "reference", "x\ny", ".", ". ", "\n", "", "error example", "ok"]

@@ -80,31 +80,106 @@ def _loose_section(content: Column, letter: str) -> Column:
     return F.transform(found, lambda b: _section(F.lit(letter), b, b, True))
 
 
-def with_sections(df: DataFrame, content: str, few_records: int | None = None) -> DataFrame:
-    """Add `_sections`. A later heading form counts only if it finds strictly
-    more choices, so it is not even tried once all five are found. Choices that
-    are still missing are looked for one by one; with `few_records` only in
-    responses that gave fewer records."""
-    text = F.coalesce(F.col(content), F.lit(""))
-    best = F.col("_sections")
-    out = df.withColumn("_sections", _headed(text, HEADINGS[0]))
-    for pattern in HEADINGS[1:]:
+# A response is read once, into tokens: a run of # and the text up to the next one. A heading form
+# is then a test of a token's beginning and of what follows it.
+_TOKEN = "#+[^#]*"
+_MARK = _FLAGS + r"\A###+\s*選択肢\s*([a-e])"
+
+
+def _token_form(pattern: str) -> tuple[str, str]:
+    """A heading form for the beginning of a token, and what it asks of the token after it."""
+    head, after = pattern.split("([^#]*+)(?=")
+    # A form of three or four marks is met at the end of a longer run, too.
+    hashes = {"###\\": "###+\\", "####": "####+", "###[": "###+"}
+    for short, open_ in hashes.items():
+        if head.startswith(short):
+            head = open_ + head.removeprefix("###[#]?" if short == "###[" else short)
+            break
+    return _FLAGS + r"\A" + head, _FLAGS + r"\A(?:" + after.removesuffix("|$)") + ")"
+
+
+_TOKEN_FORMS = [_token_form(p) for p in HEADINGS]
+# Brackets of a heading that are not closed at once might hold a #; such responses are read form by form.
+_OPEN = _FLAGS + r"\A#+\s*選択肢\s*[a-e]\s*(?:から合成した\s*" + _KIND + r")?\s*(?:（[^）]*|\([^)]*|[（(][^)）]*)\z"
+_WIDE = _FLAGS + r"\A#+\s*選択肢\s*[a-e]\s*（"
+
+
+def _form_by_form(text: Column) -> Column:
+    """Sections by a scan of the whole text under each form."""
+
+    def better(kept: Column, pattern: str) -> Column:
         # The one-element fold lets the candidate be computed once.
-        better = F.aggregate(
+        return F.aggregate(
             F.array(_headed(text, pattern)),
-            best,
-            lambda kept, found: F.when(F.size(found) > F.size(kept), found).otherwise(kept),
-        )
-        out = out.withColumn(
-            "_sections", F.when(F.size(best) < len(K.CHOICES), better).otherwise(best)
+            kept,
+            lambda old, found: F.when(F.size(found) > F.size(old), found).otherwise(old),
         )
+
+    best = _headed(text, HEADINGS[0])
+    for pattern in HEADINGS[1:]:
+        best = better(best, pattern)
+    return best
+
+
+def _by_tokens(tokens: Column, marks: Column) -> Column:
+    """Sections under the first form that finds most choices, the first token of each choice.
+
+    `marks` has for each token its choice (null without a heading) and the numbers of the forms it meets.
+    """
+
+    def choices(k: int) -> Column:
+        return F.size(F.array_distinct(F.filter(marks, lambda m: F.array_contains(m["forms"], k))["choice"]))
+
+    most = F.greatest(*[choices(k) for k in range(len(HEADINGS))])
+    chosen = F.coalesce(*[F.when(choices(k) == most, F.lit(k)) for k in range(len(HEADINGS))])
+
+    def pick(form: Column) -> Column:
+        met = F.filter(F.arrays_zip(tokens.alias("t"), marks.alias("m")), lambda x: F.array_contains(x["m"]["forms"], form))
+
+        def add(kept, x):
+            known = F.exists(kept, lambda s: s["choice"] == x["m"]["choice"])
+            body = F.lit(None).cast("string")
+            for k, (head, _) in enumerate(_TOKEN_FORMS):
+                body = F.when(form == k, F.regexp_extract(x["t"], head + "([^#]*+)", 2)).otherwise(body)
+            section = _section(x["m"]["choice"], x["t"], body, False)
+            return F.when(known, kept).otherwise(F.concat(kept, F.array(section)))
+
+        return F.aggregate(met, F.array().cast(_SECTION_TYPE), add)
+
+    return F.when(most > 0, F.get(F.transform(F.array(chosen), pick), F.lit(0))).otherwise(F.array().cast(_SECTION_TYPE))
+
+
+def with_sections(df: DataFrame, content: str, few_records: int | None = None) -> DataFrame:
+    """Add `_sections`: of the heading forms the first that finds most choices.
+
+    All forms are decided together on the tokens of one pass. Choices that are still missing are looked
+    for one by one; with `few_records` only in responses that gave fewer records."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    best, tokens = F.col("_sections"), F.col("_tokens")
+
+    def mark(token: Column, i: Column) -> Column:
+        after = F.get(tokens, i + 1)
+        met = [
+            F.when(token.rlike(head) & (after.isNull() | F.coalesce(after.rlike(follows), F.lit(False))), F.lit(k))
+            for k, (head, follows) in enumerate(_TOKEN_FORMS)
+        ]
+        forms = F.when(token.rlike(_MARK), F.array_compact(F.array(*met))).otherwise(F.array().cast("array<int>"))
+        # The first form looks on for a later bracket where it is not met.
+        odd = token.rlike(_OPEN) | (token.rlike(_WIDE) & met[0].isNull())
+        choice = F.lower(F.nullif(F.regexp_extract(token, _MARK, 1), F.lit("")))
+        return F.struct(choice.alias("choice"), forms.alias("forms"), odd.alias("odd"))
+
+    odd = F.exists("_marks", lambda m: m["odd"])
+    out = df.withColumn("_tokens", F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)))
+    out = out.withColumn("_marks", F.transform(tokens, mark))
+    out = out.withColumn("_sections", F.when(odd, _form_by_form(text)).otherwise(_by_tokens(tokens, F.col("_marks"))))
     extra = [
         F.when(
             ~F.exists(best, lambda s: s["choice"] == x), _loose_section(text, x)
         ).otherwise(F.array().cast(_SECTION_TYPE))
         for x in K.CHOICES
     ]
-    return out.withColumn(
+    return out.drop("_tokens", "_marks").withColumn(
         "_sections", F.when(F.size(best) < (few_records or len(K.CHOICES)), F.concat(best, *extra)).otherwise(best)
     )
 
