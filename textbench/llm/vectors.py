@@ -6,8 +6,8 @@ list the reference points that two entries share are counted, pairs with at
 least `SHARED` are kept and their cosine is computed in double precision.
 
 Exact copies are one entry with a count. The number of reference points grows
-with the square root of the entries (up to `MOST_PIVOTS`), so lists stay short;
-they are spread out, as points from inside one dense group would order its
+with the square root of the entries of a length (up to `MOST_PIVOTS`), so lists stay short;
+lengths of few vectors are one list without them. They are spread out, as points from inside one dense group would order its
 members at random. A long list is compared in pairs of pieces. A pair that
 meets in several lists is counted in the one of their smallest common posting.
 Lists give counts per entry and a spanning forest, never all pairs.
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.blocks import paired_pieces, runs_of
@@ -36,6 +36,8 @@ LEAST_PIVOTS = 32
 #: Cosine above which two reference points would be too close to order anything.
 CLOSEST_PIVOTS = 0.95
 LIST = 1024
+#: Vectors of one length that are compared without an index.
+DIRECT = 256
 
 
 def usable(vector: Column) -> Column:
@@ -67,6 +69,9 @@ def describe(vector: Column, pivots: dict[int, np.ndarray]) -> Column:
             at = np.flatnonzero(length == size)
             own = pivots.get(int(size))
             if own is None:
+                # A length of few vectors is one list, whose entries are all compared.
+                for row in at:
+                    out[row] = np.zeros(1, np.int32)
                 continue
             k = min(DESCRIBED, len(own))
             for part in np.array_split(at, max(1, len(at) * len(own) // 2_000_000)):
@@ -177,24 +182,31 @@ def _spread_out(x: np.ndarray, many: int) -> np.ndarray:
     return x[chosen]
 
 
-def fit_pivots(classes: DataFrame, entries: int) -> dict[int, np.ndarray]:
-    """Reference points per length of vector.
+def fit_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Reference points per length of vector, for lengths of more than DIRECT vectors.
 
-    Four candidates each are chosen by a hash of the vector, and of those the
-    ones that lie farthest apart.
+    Four candidates each are drawn from the vectors of a length by a hash, and of those the
+    ones that lie farthest apart are taken. Lengths are the dimensions of a few models.
     """
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(entries))))
-    rows = (
-        classes.select("_vector", "_id")
-        .orderBy(F.xxhash64("_vector"), "_id")
-        .limit(4 * wanted)
-        .collect()
-    )
+    counts = {r._length: r.n for r in classes.groupBy(F.size("_vector").alias("_length")).agg(F.count("*").alias("n")).collect()}
+    wanted = {
+        length: min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(n))))
+        for length, n in counts.items()
+        if n > DIRECT
+    }
+    if not wanted:
+        return {}
+    order = Window.partitionBy("_length").orderBy(F.xxhash64("_vector"), "_id")
+    drawn = classes.select("_id", "_vector", F.size("_vector").alias("_length")).withColumn("_rank", F.row_number().over(order))
+    # A constant bound is applied in every task before rows of a length come together.
+    drawn = drawn.where(F.col("_rank") <= 4 * max(wanted.values()))
+    each = F.create_map(*[F.lit(x) for length, n in wanted.items() for x in (length, 4 * n)])
+    rows = drawn.where(F.col("_rank") <= F.try_element_at(each, F.col("_length"))).orderBy("_length", "_rank").collect()
     by_size: dict[int, list] = {}
     for r in rows:
-        by_size.setdefault(len(r._vector), []).append(r._vector)
+        by_size.setdefault(r._length, []).append(r._vector)
     return {
-        n: _spread_out(_matrix(pa.array(v, pa.list_(pa.float64()))), wanted)
+        n: _spread_out(_matrix(pa.array(v, pa.list_(pa.float64()))), wanted[n])
         for n, v in by_size.items()
     }
 
@@ -232,9 +244,7 @@ def near_duplicates(
             F.first("_vector").alias("_vector"),
         )
     )
-    entries = classes.count()
-    pivots = fit_pivots(classes, entries) if entries else {}
-    described = classes.withColumn("_near", describe(F.col("_vector"), pivots)).where("_near is not null")
+    described = classes.withColumn("_near", describe(F.col("_vector"), fit_pivots(classes)))
     postings = described.select(
         "_id", "_count", "_label", "_vector", "_near",
         F.size("_vector").alias("_length"),
