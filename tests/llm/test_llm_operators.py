@@ -211,7 +211,9 @@ def test_decontaminate_finds_at_ends_and_across_case(spark):
 # --- 2 embeddings ---------------------------------------------------------
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("direct", [0, 256])
+def test_vectors_equal_brute_force(spark, monkeypatch, direct):
+    monkeypatch.setattr(vectors, "DIRECT", direct)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
     x = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 16)), np.repeat(base[:3], 5, axis=0)])
@@ -248,6 +250,28 @@ def test_vectors_odd(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("direct", [3, 256])
+def test_vectors_of_every_length(spark, monkeypatch, direct):
+    """Rare lengths are indexed as well as frequent ones."""
+    monkeypatch.setattr(vectors, "DIRECT", direct)
+    rng = np.random.default_rng(9)
+    rows = [rng.normal(size=16).tolist() for _ in range(4000)]
+    for length in range(3, 16):
+        a = rng.normal(size=length)
+        rows += [a.tolist(), (a * 1.0001 + 1e-4).tolist(), (-a).tolist(), rng.normal(size=length).tolist()]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).where("vec_id >= 4000").collect()}
+    for at in range(4000, len(rows), 4):
+        assert got[at].n_links >= 1 and got[at].component_id == got[at + 1].component_id == at
+    units = collections.defaultdict(list)
+    for i in range(4000, len(rows)):
+        v = np.array(rows[i])
+        units[len(v)].append((i, v / np.linalg.norm(v)))
+    for some in units.values():
+        for i, v in some:
+            assert got[i].n_links == sum(v @ w >= 0.98 for j, w in some if j != i)
+
+
 def test_long_list_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LIST", 8)
     rng = np.random.default_rng(4)
@@ -724,6 +748,22 @@ def test_reshard_odd(odd, nothing):
     assert reshard.summary(nothing).count() == 0 and reshard.reshard(nothing).count() == 0
 
 
+def test_plan_places_rows_without_a_shard(spark):
+    rows = [(i, (0, 1, None, -3, 7, 2)[i % 6], 10 + i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, old int, size long")
+    got = reshard.plan(df, "old", "size", shards=4, old_shards=2).collect()
+    assert len(got) == 600 and None not in {r.shard for r in got}
+    assert all(r.moved for r in got if r.old not in (0, 1)) and not all(r.moved for r in got)
+    slots, sizes = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) < 60
+    # Rows that have a shard stay: 2,100 of 6,600 bytes, less than the shards' capacity.
+    assert sum(r.size for r in got if r.moved) <= 4500 + 30
+
+
 def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     rows = [(i, i % 2, 10) for i in range(40)] + [(100 + i, 2, 10) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, old int, size long")
@@ -734,3 +774,54 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     reshard.rewrite(planned, "old", str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {1: 10, 3: 10}
+
+
+def _shard_files(folder):
+    return {p.parent.name: p.name for p in sorted(folder.glob("shard=*/*.parquet"))}
+
+
+def _shard_rows(spark, folder):
+    rows = spark.read.parquet(str(folder)).select("doc_id", "shard").collect()
+    return sorted((r.doc_id, r.shard) for r in rows)
+
+
+@pytest.mark.parametrize("lost", [None, "before", "within"])
+def test_rewrite_of_a_full_folder(spark, tmp_path, monkeypatch, lost):
+    """Other shards keep their files; an interrupted exchange can be ended."""
+    folder = tmp_path / "table"
+    rows = [(i, i % 6, 10) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, shard int, size long").repartition("shard").write.partitionBy(
+        "shard"
+    ).parquet(str(folder))
+    before, files = _shard_rows(spark, folder), _shard_files(folder)
+    table = spark.read.parquet(str(folder)).withColumnRenamed("shard", "old")
+    # Shard 5 is given up, shard 4 takes half of it and shard 6 is new.
+    planned = reshard.plan(table, "old", "size", shards=7, old_shards=6, capacity=[200, 200, 200, 200, 300, 0, 100])
+    want = sorted((r.doc_id, r.shard) for r in planned.collect())
+    assert reshard.affected(planned, "old") == [4, 5, 6]
+    if lost == "before":
+        monkeypatch.setattr(reshard, "resume", lambda *_: None)
+        reshard.rewrite(planned, "old", str(folder))
+        monkeypatch.undo()
+        assert _shard_rows(spark, folder) == before
+        reshard.resume(spark, str(folder))
+    elif lost == "within":
+        real, done = reshard._Files.rename, []
+
+        def once(self, old, new):
+            if done:
+                raise OSError("lost")
+            done.append(new)
+            real(self, old, new)
+
+        monkeypatch.setattr(reshard._Files, "rename", once)
+        with pytest.raises(OSError, match="lost"):
+            reshard.rewrite(planned, "old", str(folder))
+        monkeypatch.undo()
+        reshard.resume(spark, str(folder))
+    else:
+        reshard.rewrite(planned, "old", str(folder))
+    assert _shard_rows(spark, folder) == want
+    after = _shard_files(folder)
+    assert {k: after[k] for k in ("shard=0", "shard=1", "shard=2", "shard=3")} == {k: files[k] for k in files if k < "shard=4"}
+    assert "shard=5" not in after and not list(folder.glob("_reshard*"))

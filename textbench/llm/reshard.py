@@ -11,13 +11,15 @@ nothing keep their files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbench.llm.order import piece_sums, with_running_sums
+from textbench.llm.scratch import stored
 
 OLD_SHARDS = 32
 SHARDS = 40
@@ -100,7 +102,8 @@ def plan(
 ) -> DataFrame:
     """`docs` plus shard (from 0), slot (gapless from 0 in its shard) and moved.
 
-    `old` names each row's present shard below `old_shards`, `size` its bytes.
+    `old` names each row's present shard below `old_shards`, `size` its bytes. Rows
+    without such a shard (null, or any other number) are supply that has to move.
     Repeated rows are rows of their own. What reaches the driver is a figure per
     old shard and a count per pair of old and new shard.
     """
@@ -111,16 +114,24 @@ def plan(
         F.lpad(F.hex(level), 2, "0"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
     )
-    rows = docs.drop(*names).withColumns({"_old": F.col(old), "_digest": digest})
+    placed = F.col(old).between(0, old_shards - 1)
+    rows = docs.drop(*names).withColumns(
+        {"_old": F.when(placed, F.col(old)).otherwise(old_shards).cast("int"), "_digest": digest}
+    )
     sums = {"_before": F.col(size), "_rank": F.lit(1).cast("long")}
     pieces = piece_sums(rows, "_old", "_digest", sums)
     held = {r._old: r.n for r in pieces.groupBy("_old").agg(F.sum("_all__before").alias("n")).collect()}
     supply = [int(held.get(k, 0)) for k in range(old_shards)]
-    flow = transfers(supply, capacity or capacities(sum(supply), shards), cost)
+    price = 1.0 - np.eye(old_shards, shards) if cost is None else np.asarray(cost, float)
+    if held.get(old_shards):
+        # Rows without a shard: wherever they go, they move.
+        supply.append(int(held[old_shards]))
+        price = np.vstack([price, np.full(shards, max(1.0, price.max()))])
+    flow = transfers(supply, capacity or capacities(sum(supply), shards), price)
     # What stays comes first: the largest documents do not move.
     bounds: dict[int, list[tuple[int, int]]] = {}
-    for i in range(old_shards):
-        targets = sorted((j for j in range(shards) if flow[i, j]), key=lambda j: (j != i, j))
+    for i in range(len(supply)):
+        targets = sorted((j for j in range(shards) if flow[i, j]), key=lambda j: (j != i or i == old_shards, j))
         ends = np.cumsum([int(flow[i, j]) for j in targets]) if targets else []
         bounds[i] = [(int(j), int(e)) for j, e in zip(targets, ends)]
     middle = F.col("_before") + F.col(size) / 2
@@ -146,24 +157,77 @@ def plan(
     key = F.col("_old") * shards + F.col("shard")
     slot = F.col("_rank") + (_lookup(shift, key) if shift else F.lit(0))
     return placed.withColumns(
-        {"slot": slot.cast("long"), "moved": F.col("shard") != F.col("_old")}
+        {"slot": slot.cast("long"), "moved": (F.col("shard") != F.col("_old")) | (F.col("_old") == old_shards)}
     ).drop("_old", "_digest", "_before", "_rank")
 
 
 def affected(planned: DataFrame, old: str) -> list[int]:
-    """New shards whose files must be written: all that gain or lose a row."""
+    """Shards whose files must be written or removed: all that gain or lose a row."""
     moves = planned.where("moved").select(F.explode(F.array("shard", F.col(old))).alias("s"))
-    return sorted(r.s for r in moves.distinct().collect())
+    return sorted(r.s for r in moves.where("s is not null").distinct().collect())
+
+
+_STAGED, _PLAN = "_reshard-", "_plan"
+
 
+def rewrite(planned: DataFrame, old: str, path: str) -> list[int]:
+    """Write the affected shards of the table in `path` in slot order; gives their numbers.
 
-def rewrite(planned: DataFrame, old: str, path: str) -> None:
-    """Write the affected shards in slot order, one folder each; others keep their files."""
+    A shard is a folder `shard=k`. Affected ones are written beside the others first, so `planned` may
+    read `path` itself, and then take their places one by one; a shard that
+    keeps no row is removed. Other shards keep their files. A job that is lost before the
+    exchange leaves the table as it was; one that is lost within it is ended by `resume`.
+    """
     changed = affected(planned, old)
+    if not changed:
+        return []
+    spark = planned.sparkSession
+    staged = f"{path}/{_STAGED}{uuid.uuid4().hex}"
     part = planned.where(F.col("shard").isin(changed))
     # A shard may be large: its rows go to files by ranges of slots.
-    part.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).mode("overwrite").parquet(path)
+    part = part.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    part.write.partitionBy("shard").parquet(staged)
+    kept = {int(n.removeprefix("shard=")) for n in _Files(spark, staged).names() if n.startswith("shard=")}
+    plan_rows = [(k, k in kept) for k in changed]
+    spark.createDataFrame(plan_rows, "shard int, kept boolean").coalesce(1).write.parquet(f"{staged}/{_PLAN}")
+    resume(spark, path)
+    return changed
+
+
+def resume(spark: SparkSession, path: str) -> None:
+    """End an exchange of shards that was planned whole, and drop what was not."""
+    files = _Files(spark, path)
+    for staged in [n for n in files.names() if n.startswith(_STAGED)]:
+        if files.exists(f"{staged}/{_PLAN}/_SUCCESS"):
+            for r in spark.read.parquet(f"{path}/{staged}/{_PLAN}").collect():
+                name = f"shard={r.shard}"
+                if not r.kept:
+                    files.remove(name)
+                elif files.exists(f"{staged}/{name}"):
+                    files.remove(name)
+                    files.rename(f"{staged}/{name}", name)
+        files.remove(staged)
+
+
+class _Files:
+    """Names below a folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+        self.fs = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at("")))
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.at(name))
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self.fs.rename(self.at(old), self.at(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> DataFrame:
@@ -178,6 +242,8 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         hashed_layout(F.col(id_col), old_shards).alias("old_shard"),
     )
+    # Texts are read once; what the plan goes over three times is narrow.
+    rows, _ = stored(rows, "sizes")
     return plan(rows, "old_shard", "size", id_col, shards, old_shards).select(
         id_col,
         "size",
