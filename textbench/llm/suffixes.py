@@ -181,15 +181,18 @@ def repeated_grams(docs: DataFrame, depth: int = DEPTH, most: int = MOST) -> tup
     told, path = stored(texts.mapInArrow(_described(depth), schema), "stretches")
     each = told.select("uid", "copies", F.explode(F.arrays_zip("gram", "hash", "place")).alias("s"))
     twice = each.groupBy(F.col("s.gram").alias("gram")).agg(F.sum("copies").alias("n")).where("n > 1").select("gram")
+    # As tables of their own, small sides leave Spark free to split a join at a very common gram.
+    twice, twice_path = stored(twice, "twice")
     one = told.groupBy("key", "part").agg(F.min("uid").alias("uid")).select("key", "uid")
     hits = each.select("uid", "s.gram", "s.hash", "s.place").join(twice, "gram").join(one, "uid").drop("uid")
     hits, hit_path = stored(hits, "repeated")
     kinds = hits.groupBy("gram").agg(
         F.when(F.min("hash") == F.max("hash"), 0).when(F.count(F.lit(1)) <= most, 1).otherwise(2).alias("kind")
     )
+    kinds, kind_path = stored(kinds, "kind")
     out, _ = stored(hits.join(kinds, "gram").select("key", "gram", "hash", "place", "kind"), "kinds")
-    discard(docs.sparkSession, path)
-    discard(docs.sparkSession, hit_path)
+    for done in (path, twice_path, hit_path, kind_path):
+        discard(docs.sparkSession, done)
     return out, out.agg(F.max("kind")).first()[0] or 0
 
 
