@@ -80,6 +80,11 @@ def item_accuracy(preds: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataF
         count_where(F.col("complete")).alias("complete_models"),
         count_where(F.col("detected")).alias("detection_models"),
     )
+    return accuracy_rates(counts)
+
+
+def accuracy_rates(counts: DataFrame) -> DataFrame:
+    """Add both accuracies to counts of models."""
     return counts.withColumns(
         {
             "complete_accuracy": ratio(F.col("complete_models"), F.col("models")),

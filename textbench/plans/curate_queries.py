@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from textbench import constants as K
 from textbench.functions import text as T
 from textbench.functions import verdicts as V
-from textbench.operators import curate
+from textbench.operators import curate, states
 from textbench.plans.answer_queries import JUDGE_COLUMNS
 from textbench.plans.registry import query
 from textbench.plans.score_queries import R6, _n
+from textbench.session import scratch_path
 
 c = F.col
 MODELS = 11
@@ -53,6 +54,20 @@ def _(fx):
     return _accuracies(fx)
 
 
+@query(
+    "accuracy_states",
+    f"""WITH {_ACCURACY} SELECT sample_id, models, complete_models, detection_models,
+        round(complete_accuracy, 6) AS complete_accuracy, round(detection_accuracy, 6) AS detection_accuracy FROM acc""",
+    ["pred"],
+)
+def _(fx):
+    # Runs arrive one after the other and share models and items; the last one comes twice.
+    path = scratch_path(fx.spark, "states")
+    for turn in (0, 1, 2, 2):
+        states.add_run(fx.pred.where(F.pmod(F.xxhash64("template", "ord"), 3) == turn), path, f"run{turn}")
+    return states.current_accuracies(fx.spark, path)
+
+
 @query(
     "accuracy_summary",
     f"""WITH {_ACCURACY}, m AS (SELECT 'complete' AS measure, complete_accuracy AS v FROM acc UNION ALL SELECT 'detection', detection_accuracy FROM acc
