@@ -191,6 +191,23 @@ def test_decontaminate_odd(spark, odd, nothing):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_short_items_word_for_word(spark):
+    bench = spark.createDataFrame(
+        [(1, "Alpha beta"), (2, "gamma"), (3, "alpha, beta gamma delta"), (4, "alpha beta!"), (5, "..."), (6, "beta delta")],
+        "item_id long, text string",
+    )
+    docs = spark.createDataFrame(
+        [(1, "x alpha BETA y alpha beta"), (2, "beta"), (3, "alpha beta gamma delta"), (4, "alpha"), (5, "beta; gamma"), (6, None)],
+        "doc_id long, text string",
+    )
+    got = sorted((r.doc_id, r.item_id, r.distance, r.words, r.first_word) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [
+        (1, 1, 0, 2, 1), (1, 4, 0, 2, 1),
+        (3, 1, 0, 2, 0), (3, 2, 0, 1, 2), (3, 3, 0, 4, 0), (3, 4, 0, 2, 0),
+        (5, 2, 0, 1, 1),
+    ]
+
+
 def test_decontaminate_finds_at_ends_and_across_case(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")

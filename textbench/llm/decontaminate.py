@@ -33,7 +33,6 @@ from textbench.llm.wordbytes import byte_chunks, mix, words
 
 BLOCK = 20_000
 SIMILARITY = 0.8
-LEAST_WORDS = 5
 #: Wanted of the walks for one window of a short item at the largest distance;
 #: what they miss is found by counting the word pairs of each item.
 RECALL = 0.7
@@ -68,6 +67,7 @@ class Index:
     similarity: float
     walks: int
     sampled: int
+    short: Short
 
     def __post_init__(self):
         random = np.random.default_rng(20240607)
@@ -221,6 +221,39 @@ class Index:
         return tuple(np.concatenate(found, axis=1)) if found else none
 
 
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words."""
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+    for k in range(n):
+        out = mix(out * np.uint64(31) + h[k : k + len(out)])
+    return out
+
+
+class Short:
+    """Items of too few words for an edit: they are met as they are, word for word."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.by_length = {}
+        for n in sorted({len(t) for _, t in items}):
+            own = sorted((int(_sequences(t, n)[0]), i) for i, t in items if len(t) == n)
+            self.by_length[n] = np.array([k for k, _ in own], np.uint64), [i for _, i in own]
+
+    def met(self, h: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], dict]:
+        """The first place of each (text, item)."""
+        out: dict[tuple[int, int], dict] = {}
+        for n, (keys, ids) in self.by_length.items():
+            if len(h) < n:
+                continue
+            own = _sequences(h, n)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for at in np.flatnonzero((high > low) & (doc[: len(own)] == doc[n - 1 :])).tolist():
+                d = int(doc[at])
+                for item in ids[low[at] : high[at]]:
+                    hit = {"item_id": int(item), "distance": 0, "words": n, "first_word": at - int(bounds[d])}
+                    out.setdefault((d, int(item)), hit)
+        return out
+
+
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edits between the item and any stretch of the region, and where it ends."""
     n = len(item)
@@ -240,11 +273,13 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 def search(index: Index, texts: pa.Array) -> list[list[dict]]:
     """Verified hits per text."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    if not len(index.ids):
-        return out
     for first, data, places in byte_chunks(texts):
         found = words(data, places)
         h, bounds = found.hash(), found.bounds()
+        for (d, _), hit in sorted(index.short.met(h, found.doc, bounds).items()):
+            out[first + d].append(hit)
+        if not len(index.ids):
+            continue
         start, stop, n = index.windows(h, found.doc, bounds)
         if not len(start):
             continue
@@ -288,15 +323,18 @@ def build_index(
     sampled: int = SAMPLED,
 ) -> Index:
     """Index of one block of items (id, lower-case text)."""
-    ids, tokens = [], []
+    ids, tokens, short = [], [], []
     for first, data, places in byte_chunks(pa.array([t for _, t in items], pa.large_string())):
         found = words(data, places)
         h, bounds = found.hash(), found.bounds()
         for d in range(found.texts):
-            if bounds[d + 1] - bounds[d] >= LEAST_WORDS:
+            own = h[bounds[d] : bounds[d + 1]].copy()
+            if most_edits(len(own), similarity) > 0:
                 ids.append(items[first + d][0])
-                tokens.append(h[bounds[d] : bounds[d + 1]].copy())
-    return Index(np.array(ids, np.int64), tokens, similarity, repetitions(recall, sampled), sampled)
+                tokens.append(own)
+            elif len(own):
+                short.append((items[first + d][0], own))
+    return Index(np.array(ids, np.int64), tokens, similarity, repetitions(recall, sampled), sampled, Short(short))
 
 
 def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> Column:
@@ -304,7 +342,8 @@ def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col:
 
     Words are compared in lower case without punctuation. An item is found when
     a stretch of the text lies within (1 - similarity) times its words in edits.
-    Items of fewer than `LEAST_WORDS` words or with a null id are not searched.
+    Items that are too short for an edit (fewer than five words at 0.8) are found as they are;
+    items without words or with a null id are not searched.
     Null and empty texts have no hits.
     """
     named = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
