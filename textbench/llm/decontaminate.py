@@ -304,6 +304,9 @@ def search(index: Index, texts: pa.Array) -> list[list[dict]]:
             else:
                 low = max(int(start[a]) - most, int(bounds[d]))
                 high = min(int(start[b - 1]) + n_ + most, int(stop[a]))
+                # Each edit changes one word of the item, so all others are in the region.
+                if n_ - np.isin(words_, h[low:high]).sum() > most:
+                    continue
                 distance, end = edit_distance(words_, h[low:high])
                 if distance > most:
                     continue
