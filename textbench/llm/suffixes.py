@@ -41,7 +41,8 @@ MOST = 16_384
 PIECE_BYTES = 1 << 20
 PART = 1 << 15
 SALTS = 32
-SORTED_AT_ONCE = 1 << 20
+#: Stretches whose windows are sorted together, or those of one gram.
+SORTED_AT_ONCE = 2048
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -295,21 +296,23 @@ def _sorted_out(depth: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+        left = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kept.append(batch)
-            if sum(b.column("bytes").nbytes for b in kept) < SORTED_AT_ONCE * 4:
-                continue
-            table = pa.Table.from_batches(kept)
+            table = pa.Table.from_batches([*(left.to_batches() if left else ()), batch])
             gram = table["gram"].to_numpy()
-            edge = int(np.searchsorted(gram, gram[-1]))
-            if edge:
-                yield solve(table.slice(0, edge))
-                kept = table.slice(edge).combine_chunks().to_batches()
-        if kept:
-            yield solve(pa.Table.from_batches(kept))
+            edges = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+            # The last gram may go on in the next batch.
+            at = 0
+            while len(edges) and at < edges[-1]:
+                k = int(np.searchsorted(edges, at + SORTED_AT_ONCE, "right")) - 1
+                end = int(edges[k] if k >= 0 and edges[k] > at else edges[np.searchsorted(edges, at, "right")])
+                yield solve(table.slice(at, end - at))
+                at = end
+            left = table.slice(at)
+        if left:
+            yield solve(left)
 
     return run
 
