@@ -178,6 +178,28 @@ def test_decontaminate_finds_all_edited_items_of_any_length(size):
     assert all(h["distance"] <= size // 5 for hs in found for h in hs)
 
 
+@pytest.mark.parametrize("size", [6, 20, 60, 130, 400])
+def test_decontaminate_walks_alone_reach_their_recall(size):
+    """The window that starts with a passage at the largest distance meets its item in some walk."""
+    rng = np.random.default_rng(size)
+    many = 40 if size == 400 else 200
+    items = [(i, " ".join(f"i{w}" for w in rng.integers(0, 30_000, size))) for i in range(many)]
+    index = decontaminate.build_index(items)
+    met = 0
+    for i, own in enumerate(index.tokens):
+        h = decontaminate.edited(own, size // 5, rng)
+        _, _, item = index.candidates(h, np.zeros(1, int), np.array([len(h)]), np.array([size]))
+        met += i in item
+    assert met >= 0.95 * many
+
+
+def test_decontaminate_needs_more_walks_for_less_agreement():
+    shares = [decontaminate.agreement(n, 0.8).mean() for n in (10, 40, 160, 640)]
+    assert shares == sorted(shares, reverse=True)
+    assert decontaminate.plan(40, 0.8, 0.99, 2) > decontaminate.plan(40, 0.8, 0.8, 2)
+    assert decontaminate.plan(640, 0.8, 0.99, 2)[1] == 1
+
+
 def test_decontaminate_odd(spark, odd, nothing):
     bench = spark.createDataFrame(
         [(1, "one two three four five six"), (2, None), (None, "word word word word word word"), (3, ""), (4, "of a"), (5, "x y z 漢字かな q")],

@@ -3,15 +3,18 @@
 Method: the CGK random walk embeds a sequence of n words so that few edits
 change few positions. The walk holds a pointer into the sequence; each step
 writes the word under it and moves on by a random bit that hangs on the step
-and the word. Bit-sampling LSH reads a few positions of the embedding as a key;
-it is repeated with independent walks. Windows have the size of the item and
-start at every word. Candidates are verified by exact edit distance over words.
+and the word. Bit-sampling LSH reads one or two positions of the embedding as a
+key; it is repeated with independent walks. Windows have the size of the item
+and start at every word. Candidates are verified by exact edit distance over words.
 
-Windows that cannot reach the threshold are skipped by a bound that loses
+Walks agree at ever fewer positions the longer an item is. The agreement is
+measured for each group of lengths on random edits at the largest distance, and
+gives the walks that reach the wanted recall there; nearer passages are met with
+a higher chance, exact ones always.
+
+Windows that cannot reach the threshold are not embedded. That bound loses
 nothing: k edits break at most 2k of an item's n-1 word pairs, so a window of n
-words must hold at least n-1-2k word pairs that occur in items of n words. The
-same bound for each item by itself adds the items that the walks miss: their
-agreement falls with the length of an item, so their recall alone would too.
+words must hold at least n-1-2k word pairs that occur in items of n words.
 
 Everything is decided inside a document: there is no shuffle. The benchmark is
 a stated query set. It is searched in blocks of at most `BLOCK` items, one
@@ -20,9 +23,8 @@ column for each, so the index an executor holds is bounded.
 
 from __future__ import annotations
 
-import math
-import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +35,19 @@ from textbench.llm.wordbytes import byte_chunks, mix, words
 
 BLOCK = 20_000
 SIMILARITY = 0.8
-#: Wanted of the walks for one window of a short item at the largest distance;
-#: what they miss is found by counting the word pairs of each item.
-RECALL = 0.7
+#: Wanted of the walks for the window that starts with a passage at the largest distance;
+#: the windows around it add to that.
+RECALL = 0.99
+#: Positions that a key reads at most, and the walks up to which it reads more than one.
 SAMPLED = 2
-#: Chance that a position of the walk agrees at the largest distance, measured on random
-#: edits of items of up to 100 words; less in longer ones.
-AGREE = 0.3
-_ROWS = 128
+MOST_WALKS = 64
+#: Edited copies and walks of one measurement.
+_COPIES, _TRIALS = 64, 32
 #: Cells of the walks that are held at a time.
-_CELLS = 1 << 22
+_CELLS = 1 << 18
 HITS = "array<struct<item_id:bigint,distance:int,words:int,first_word:bigint>>"
 
 
-def repetitions(recall: float = RECALL, sampled: int = SAMPLED, agree: float = AGREE) -> int:
-    """Independent walks needed so that one sample of all agrees with the wanted chance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled))
-
-
 def most_edits(n: np.ndarray | int, similarity: float):
     return np.floor(n * (1 - similarity) + 1e-9).astype(int)
 
@@ -60,24 +57,87 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
+def _bits(walks: int, step: int) -> np.ndarray:
+    """Odd multipliers whose product with a word gives the walks' random bit at a step."""
+    return mix(np.arange(walks, dtype=np.uint64) * np.uint64(0x1F123BB5) + np.uint64(step)) | np.uint64(1)
+
+
+def walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, steps: int):
+    """The word that each walk (rows x walks) writes at each step; 1 beyond the end."""
+    h = np.append(h, np.uint64(1))
+    at = at.copy()
+    for step in range(steps):
+        word = h[np.where(at < end, at, len(h) - 1)]
+        yield word
+        at += ((word * _bits(at.shape[1], step)[None]) >> np.uint64(63)).astype(np.int64)
+
+
+def edited(words_: np.ndarray, edits: int, random: np.random.Generator) -> np.ndarray:
+    """A copy with words replaced, inserted and deleted at random places."""
+    out = words_.tolist()
+    for _ in range(edits):
+        at, kind = int(random.integers(len(out))), random.integers(3)
+        if kind == 0:
+            del out[at]
+        else:
+            out[at : at + (kind == 1)] = [int(random.integers(2, 1 << 62))]
+    return np.array(out, np.uint64)
+
+
+@lru_cache(maxsize=256)
+def agreement(n: int, similarity: float) -> np.ndarray:
+    """Share of positions at which walks over an item of n words and over its edited copies agree.
+
+    One row per copy at the largest distance, one column per walk.
+    """
+    random = np.random.default_rng(n)
+    item = random.integers(2, 1 << 62, n, np.uint64)
+    # A window reads on in the text where its passage became shorter.
+    after = random.integers(2, 1 << 62, n, np.uint64)
+    copies = [
+        np.append(edited(item, int(most_edits(n, similarity)), random), after)[:n] for _ in range(_COPIES)
+    ]
+    h = np.concatenate([item, *copies])
+    start = np.repeat(np.arange(_COPIES + 1)[:, None] * n, _TRIALS, axis=1)
+    same = np.zeros((_COPIES, _TRIALS))
+    for word in walk(h, start, start[:, :1] + n, 2 * n):
+        same += word[1:] == word[:1]
+    return same / (2 * n)
+
+
+def plan(n: int, similarity: float, recall: float, sampled: int) -> tuple[int, int]:
+    """(walks, positions per key) that meet passages of n words with the wanted chance."""
+    share = agreement(n, similarity)
+    for positions in range(sampled, 0, -1):
+        met = (share**positions).mean(axis=1)
+        walks = 1
+        while (1 - (1 - met) ** walks).mean() < recall:
+            walks += 1
+        if walks <= MOST_WALKS:
+            break
+    return walks, positions
+
+
 @dataclass
 class Index:
     ids: np.ndarray
     tokens: list[np.ndarray]
     similarity: float
-    walks: int
+    recall: float
     sampled: int
     short: Short
 
     def __post_init__(self):
-        random = np.random.default_rng(20240607)
         self.size = np.array([len(t) for t in self.tokens], int)
         self.lengths = np.unique(self.size)
-        longest = int(self.lengths.max(initial=1))
-        # Positions beyond twice the length hold mostly padding.
-        self.steps = 2 * longest
-        self.keys = random.integers(0, 1 << 63, (self.walks, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.draw = random.random((self.walks, self.sampled))
+        # Lengths of one half power of two share a plan, that of the longest.
+        self.group = np.floor(2 * np.log2(np.maximum(self.lengths, 1))).astype(int)
+        longest = {g: int(self.lengths[self.group == g].max()) for g in np.unique(self.group)}
+        plans = {g: plan(n, self.similarity, self.recall, self.sampled) for g, n in longest.items()}
+        self.walks = np.array([plans[g][0] for g in self.group], int)
+        self.positions = np.array([plans[g][1] for g in self.group], int)
+        random = np.random.default_rng(20240607)
+        self.draw = random.random((int(self.walks.max(initial=1)), self.sampled))
         # Which lengths of items hold a word pair; the bound is kept per length.
         own = [(_pairs(t), np.searchsorted(self.lengths, len(t))) for t in self.tokens]
         gram = np.concatenate([g for g, _ in own]) if own else np.zeros(0, np.uint64)
@@ -90,95 +150,55 @@ class Index:
         self.grams, first = np.unique(gram, return_index=True)
         self.first = np.append(first, len(gram))
         self.of_length = size.astype(np.uint16)
-        # Items of each word pair and length, as runs of equal numbers in `spot`.
-        of = [np.full(len(g), i) for i, (g, _) in enumerate(own)]
-        of = np.concatenate(of) if of else np.zeros(0, int)
-        whole = np.concatenate([g for g, _ in own]) if own else np.zeros(0, np.uint64)
-        spot = np.searchsorted(self.grams, whole) * len(self.lengths) + np.searchsorted(self.lengths, self.size[of])
-        self.spot, self.holder = np.unique(np.stack([spot, of]), axis=1) if len(of) else (spot, of)
         self.screen = np.zeros(1 << 20, bool)
         self.screen[self.grams >> np.uint64(44)] = True
-        buckets, owner = [], []
-        for i in np.argsort(self.size, kind="stable"):
-            buckets.append(self.sample(self.tokens[i], np.zeros(1, int), np.array([len(self.tokens[i])]), self.size[i : i + 1]))
-            owner.append(np.full(self.walks, i))
-        bucket = np.concatenate([b.ravel() for b in buckets]) if buckets else np.zeros(0, np.uint64)
-        owner = np.concatenate(owner) if owner else np.zeros(0, int)
+        buckets, owner = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+        for n in self.lengths:
+            own = np.flatnonzero(self.size == n)
+            rows = max(1, _CELLS // int(n))
+            for part in (own[a : a + rows] for a in range(0, len(own), rows)):
+                start = np.arange(len(part)) * n
+                keys = self.sample(np.concatenate([self.tokens[i] for i in part]), start, start + n, n)
+                buckets.append(keys.ravel())
+                owner.append(np.repeat(part, keys.shape[1]))
+        bucket, owner = np.concatenate(buckets), np.concatenate(owner)
         order = np.argsort(bucket, kind="stable")
         self.bucket, self.owner = bucket[order], owner[order]
 
-    def sample(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def sample(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
         """LSH keys (rows x walks) of windows of n words from `start`, padded beyond `stop`."""
-        rows, steps = len(start), int(2 * n.max())
-        h = np.append(h, np.uint64(1))
-        pad = len(h) - 1
-        at = np.repeat(start[:, None], self.walks, axis=1)
+        k = np.searchsorted(self.lengths, n)
+        walks, positions = int(self.walks[k]), int(self.positions[k])
+        step = (self.draw[:walks, :positions] * (2 * int(n))).astype(np.int64)
+        read = np.empty((positions, len(start), walks), np.uint64)
+        at = np.repeat(start[:, None], walks, axis=1)
         end = np.minimum(start + n, stop)[:, None]
-        path = np.empty((steps, rows, self.walks), np.uint64)
-        for step in range(steps):
-            word = h[np.where(at < end, at, pad)]
-            path[step] = word
-            at += ((word * self.keys[None, :, step]) >> np.uint64(63)).astype(np.int64)
-        key = mix(n.astype(np.uint64)[:, None] * np.uint64(0x9E37) + np.arange(self.walks, dtype=np.uint64)[None])
-        row, walk = np.arange(rows)[:, None], np.arange(self.walks)[None]
-        for k in range(self.sampled):
-            step = (self.draw[None, :, k] * (2 * n)[:, None]).astype(np.int64)
-            key = mix(key ^ (path[step, row, walk] * np.uint64(2 * k + 3)))
+        for t, word in enumerate(walk(h, at, end, int(step.max()) + 1)):
+            for p in range(positions):
+                now = np.flatnonzero(step[:, p] == t)
+                if len(now):
+                    read[p][:, now] = word[:, now]
+        key = mix(np.uint64(n) * np.uint64(0x9E3779B9) + np.arange(walks, dtype=np.uint64))[None]
+        for p in range(positions):
+            key = mix(key ^ (read[p] * np.uint64(2 * p + 3)))
         return key
 
     def candidates(self, h, start, stop, n):
         """(start, stop, item) of windows that meet an item in some walk."""
-        out = []
-        at = 0
-        while at < len(start):
-            # Windows come by length; long ones have more steps.
-            rows = max(1, min(_ROWS, _CELLS // int(2 * n[min(at + _ROWS, len(n)) - 1] * self.walks)))
-            part = slice(at, at + rows)
-            at += rows
-            keys = self.sample(h, start[part], stop[part], n[part])
-            low = np.searchsorted(self.bucket, keys, "left")
-            high = np.searchsorted(self.bucket, keys, "right")
-            row, walk = np.nonzero(high > low)
-            if not len(row):
-                continue
-            count = (high - low)[row, walk]
-            first = np.repeat(low[row, walk], count)
-            item = self.owner[first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            row = np.repeat(row, count)
-            both = np.unique(np.stack([row, item]), axis=1)
-            out.append(np.stack([start[part][both[0]], stop[part][both[0]], both[1]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((3, 0), int)
-
-    def counted(self, h, doc, bounds, start, n):
-        """(start, stop, item) where a window holds enough word pairs of the item itself; loses nothing."""
         out = [np.zeros((3, 0), int)]
-        pair = _pairs(h)
         for k in np.unique(np.searchsorted(self.lengths, n)):
-            size = int(self.lengths[k])
-            least = max(int(size - 1 - 2 * most_edits(size, self.similarity)), 1)
-            first = start[n == size]
-            # A window has size-1 pairs, fewer where its text ends.
-            last = np.minimum(first + size, bounds[doc[first] + 1]) - 1
-            inside = np.cumsum(
-                np.bincount(first, minlength=len(h) + 1) - np.bincount(last, minlength=len(h) + 1)
-            )
-            at = np.flatnonzero(inside[: len(pair)] > 0)
-            gram = np.minimum(np.searchsorted(self.grams, pair[at]), len(self.grams) - 1)
-            true = self.grams[gram] == pair[at]
-            at, spot = at[true], gram[true] * len(self.lengths) + k
-            low = np.searchsorted(self.spot, spot, "left")
-            count = np.searchsorted(self.spot, spot, "right") - low
-            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            item, place = self.holder[which], np.repeat(at, count)
-            order = np.lexsort((place, item))
-            item, place = item[order], place[order]
-            if len(place) < least:
-                continue
-            a, b = place[: len(place) - least + 1], place[least - 1 :]
-            fits = (item[: len(a)] == item[least - 1 :]) & (b - a <= size - 2) & (doc[a] == doc[b])
-            a, b, item = a[fits], b[fits], item[: len(a)][fits]
-            for begin in (np.maximum(b - (size - 2), bounds[doc[a]]), a):
-                out.append(np.stack([begin, bounds[doc[a] + 1], item]))
+            own = np.flatnonzero(n == self.lengths[k])
+            rows = max(1, _CELLS // int(self.walks[k] * self.positions[k]))
+            for first in range(0, len(own), rows):
+                part = own[first : first + rows]
+                keys = self.sample(h, start[part], stop[part], self.lengths[k])
+                low = np.searchsorted(self.bucket, keys, "left")
+                high = np.searchsorted(self.bucket, keys, "right")
+                row, at = np.nonzero(high > low)
+                count = (high - low)[row, at]
+                spot = np.repeat(low[row, at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.unique(np.stack([np.repeat(row, count), self.owner[spot]]), axis=1)
+                out.append(np.stack([start[part][both[0]], stop[part][both[0]], both[1]]))
         return np.concatenate(out, axis=1)
 
     def windows(self, h: np.ndarray, doc: np.ndarray, bounds: np.ndarray):
@@ -283,8 +303,7 @@ def search(index: Index, texts: pa.Array) -> list[list[dict]]:
         start, stop, n = index.windows(h, found.doc, bounds)
         if not len(start):
             continue
-        met = [index.candidates(h, start, stop, n), index.counted(h, found.doc, bounds, start, n)]
-        start, stop, item = np.unique(np.concatenate(met, axis=1), axis=1)
+        start, stop, item = index.candidates(h, start, stop, n)
         if not len(start):
             continue
         order = np.lexsort((start, item, found.doc[start]))
@@ -337,7 +356,7 @@ def build_index(
                 tokens.append(own)
             elif len(own):
                 short.append((items[first + d][0], own))
-    return Index(np.array(ids, np.int64), tokens, similarity, repetitions(recall, sampled), sampled, Short(short))
+    return Index(np.array(ids, np.int64), tokens, similarity, recall, sampled, Short(short))
 
 
 def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> Column:
