@@ -372,6 +372,24 @@ def test_base_spans_equal_plain_patterns(spark, texts):
     assert {r.doc_id: r.s for r in got} == {k: base_spans(t) for k, t in enumerate(every)}
 
 
+def test_pii_wider_proposals_are_added_to_base_spans(spark):
+    """A model that takes every proposal: the whole address is found around the base match."""
+    texts = spark.createDataFrame([(1, "an müller@firma.de, ok"), (2, None), (3, "x@y.de")], "doc_id long, text string")
+    always = pii.Detector({"email": (pii.Boosted(1.0, []), 0.0)})
+    found = pii.find(texts, always).select("doc_id", pii._text_of(F.col("_base")).alias("b"), pii._text_of(F.col("_spans")).alias("s"), pii.redacted(F.col("text"), F.col("_spans")).alias("r"))
+    got = {r.doc_id: tuple(r)[1:] for r in found.collect()}
+    assert got[1] == ("email:5:18", "email:3:18,email:5:18", "an [email], ok")
+    assert got[2] == ("", "", None)
+    assert got[3] == ("email:0:6", "email:0:6", "[email]")
+
+
+def test_pii_a_span_that_gives_way_displaces_no_other(spark):
+    kind = "ordered array<struct<order:double,c:struct<start:int,end:int>>>"
+    spans = [(-3.0, (0, 5)), (-2.0, (4, 9)), (-1.0, (8, 12)), (0.0, (11, 13))]
+    rows = spark.createDataFrame([(spans,), ([],)], kind).select(pii._selected(F.col("ordered"))["c"].alias("c")).collect()
+    assert [[tuple(c) for c in r.c] for r in rows] == [[(0, 5), (8, 12)], []]
+
+
 def test_pii_query_columns(spark, odd, nothing):
     got = {r.doc_id: r for r in pii.summary(odd).collect()}
     empty = hashlib.sha256(b"").hexdigest()
@@ -725,6 +743,29 @@ def test_hosts_paths_and_rules(spark):
     assert reputation.judge(pages, outcomes.limit(0), RULES).count() == len(urls)
 
 
+def test_domains_below_listed_suffixes(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"),
+        "xco.uk": ("uk", "xco.uk"), "www.x.com": ("com", "x.com"), "": ("", ""), "a.x.y.z": ("x.y.z", "a.x.y.z"), "q.y.z": ("y.z", "q.y.z"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    listed = ("co.uk", "y.z", "x.y.z")
+    got = hosts.select("host", reputation.suffix_of(F.col("host"), listed), reputation.domain_of(F.col("host"), listed)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    known = spark.createDataFrame([("www.bad.co.uk", 0)] * 50 + [("www.good.co.uk", 1)] * 50, "host string, good int")
+    hosts = spark.createDataFrame([("new.bad.co.uk",), ("new.good.co.uk",)], "host string")
+    bound = {r.host: r.bound for r in reputation.host_bounds(known, hosts).collect()}
+    assert bound["new.good.co.uk"] > 0.5 > bound["new.bad.co.uk"]
+
+
+def test_repeated_pages_null_ids_and_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/aa/1"), (1, "http://x.net/aa/1"), (None, "http://x.net/b")], "page_id long, url string")
+    outcomes = spark.createDataFrame([("http://x.net/aa/1", 1), ("http://x.net/aa/1", 1)], "url string, good int")
+    rules = [("block", "x.net/a"), ("allow", "x.net/a")]
+    got = sorted((r.page_id or 0, r.rule or "", r.verdict) for r in reputation.judge(pages, outcomes, rules).collect())
+    assert [g[:2] for g in got] == [(0, ""), (1, "x.net/a"), (1, "x.net/a")] and got[1][2] == got[2][2] == "block"
+
+
 def test_bounds_shrink_to_the_domain(spark):
     rows = [("http://a.bad.net/", 0)] * 200 + [("http://a.good.net/", 1)] * 200 + [("http://b.good.net/", 1)]
     hosts = spark.createDataFrame([("b.good.net",), ("c.bad.net",), ("z.other.org",), ("a.good.net",)], "host string")

@@ -126,7 +126,8 @@ RULES = [
 ]
 
 REPUTATION_SQL = r"""
-WITH p AS (
+WITH listed(ending) AS (SELECT unnest(string_split('ac.jp ac.uk co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn com.hk com.mx com.sg com.tr com.tw edu.au go.jp gov.au gov.br gov.cn gov.in gov.uk ne.jp net.au or.jp org.au org.br org.cn org.nz org.uk', ' '))),
+p AS (
   SELECT page_id, url,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 q AS (SELECT page_id, url,
@@ -137,10 +138,12 @@ o AS (SELECT q.host, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1.0 ELSE 0.0 E
       WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL),
 seen AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS k FROM o GROUP BY host),
 names AS (SELECT DISTINCT host FROM q),
+cut AS (SELECT host, coalesce(max(len(string_split(ending, '.'))), 1) AS many
+        FROM names LEFT JOIN listed ON ends_with('.' || host, '.' || ending) GROUP BY host),
 tree AS (SELECT h.host, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
-                array_to_string(string_split(h.host, '.')[-2:], '.') AS domain,
-                string_split(h.host, '.')[-1] AS suffix
-         FROM names h LEFT JOIN seen USING (host)),
+                array_to_string(string_split(h.host, '.')[-(h.many + 1):], '.') AS domain,
+                array_to_string(string_split(h.host, '.')[-h.many:], '.') AS suffix
+         FROM cut h LEFT JOIN seen USING (host)),
 whole AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM seen),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT mean FROM whole) AS above FROM tree GROUP BY suffix),
 s1 AS (SELECT (sum(n * (k / n - above) * (k / n - above) / (above * (1 - above))) - count(*)) / nullif(sum(n) - count(*), 0) AS r

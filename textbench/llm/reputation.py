@@ -26,6 +26,13 @@ DEVIATIONS = 1.645
 #: Least share of good pages the bound must reach.
 LEAST_GOOD = 0.5
 
+# Common public suffixes of two labels, below which domains are registered.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
+    "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "edu.au", "go.jp", "gov.au", "gov.br",
+    "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.br", "org.cn", "org.nz", "org.uk",
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,13 +45,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def _per_suffix(host: Column, suffixes: Sequence[str], more: int) -> Column:
+    """The labels of the longest listed suffix (else the last label) and `more` before them."""
+    depths: dict[int, list[str]] = {}
+    for suffix in suffixes:
+        depths.setdefault(suffix.count(".") + 1, []).append(suffix)
+    out = F.substring_index(host, ".", -1 - more)
+    for depth in sorted(depths):
+        listed = F.substring_index(host, ".", -depth).isin(depths[depth])
+        out = F.when(listed, F.substring_index(host, ".", -depth - more)).otherwise(out)
+    return out
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of `suffixes` that ends the host at a label, else its last label."""
+    return _per_suffix(host, suffixes, 0)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """Registered domain: the suffix of a host and the label before it; a bare suffix is its own."""
+    return _per_suffix(host, suffixes, 1)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -95,12 +115,13 @@ def _shrink(members: DataFrame) -> DataFrame:
 
 
 def host_bounds(
-    outcomes: DataFrame, hosts: DataFrame, deviations: float = DEVIATIONS
+    outcomes: DataFrame, hosts: DataFrame, deviations: float = DEVIATIONS, suffixes: Sequence[str] = SUFFIXES
 ) -> DataFrame:
     """(host, bound) for each of `hosts`, from outcomes (host, good 0/1).
 
     Null outcomes are ignored. Without any outcome every bound is that of a
-    uniform prior. The counts per host are written once; the overall share and
+    uniform prior. `suffixes` is a list that becomes part of the plan, such as that of
+    all public suffixes. The counts per host are written once; the overall share and
     the three strengths are all that reaches the driver.
     """
     seen = (
@@ -111,7 +132,7 @@ def host_bounds(
     tree = cut(
         hosts.select("host").distinct().join(seen, "host", "full_outer")
         .fillna(0.0, ["_n", "_k"])
-        .withColumns({"_domain": domain_of(F.col("host")), "_suffix": suffix_of(F.col("host"))})
+        .withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"), suffixes)})
     )
     sums = tree.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
     mean = ((sums.k or 0.0) + 1) / ((sums.n or 0.0) + 2)
@@ -132,7 +153,7 @@ def host_bounds(
 def judge(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]],
     least_good: float = LEAST_GOOD, deviations: float = DEVIATIONS,
-    id_col: str = "page_id", url_col: str = "url",
+    id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, bound) per row of `pages`.
 
@@ -144,7 +165,7 @@ def judge(
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     known = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), "good")
-    bounds = host_bounds(known, rows.select("host").distinct(), deviations)
+    bounds = host_bounds(known, rows.select("host").distinct(), deviations, suffixes)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least_good, "allow").otherwise("block")
     return rows.join(bounds, "host").select(
