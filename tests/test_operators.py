@@ -166,6 +166,39 @@ def test_a_bad_row_fails_alone(spark):
     assert got == {1: ("ok", None), 2: (None, "down"), 3: (None, "0 answers to 1 prompts"), 4: ("ok", None)}
 
 
+def test_a_responder_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda rows: [{"content": "ok"} for _ in rows]
+
+    df = spark.range(0, 320, 1, 64).select(F.col("id").alias("ord"))
+    assert responses.apply_responder(df, load, ["ord"]).where("content = 'ok'").count() == 320
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 64
+
+
+def test_positions_of_samples_keep_other_columns(spark):
+    rows = [(k, f"s{k % 3}", None if k == 4 else k / 10, "text" * k) for k in range(6)]
+    df = spark.createDataFrame(rows, "ord bigint, sample_id string, detection double, text string")
+    got = report.sort_samples(df, "error_detection_desc").orderBy("place").collect()
+    assert [r.ord for r in got] == [5, 3, 2, 1, 4, 0] and [r.place for r in got] == list(range(6))
+    assert all(r.text == "text" * r.ord for r in got)
+    with pytest.raises(Exception, match="position used twice"):
+        report.sort_samples(df.union(df)).collect()
+
+
+def test_an_unknown_choice_has_no_position(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "z")], "ord bigint, choice string")
+    assert curate.record_position(df.where("ord = 1")).first().ord == 5
+    with pytest.raises(Exception, match="unknown choice: z"):
+        curate.record_position(df).collect()
+
+
 def test_rounds_start_from_an_earlier_run(spark):
     def load():
         return lambda rows: [{"content": "new"} for _ in rows]

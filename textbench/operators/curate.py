@@ -350,8 +350,13 @@ def merge_datasets(
 
 
 def record_position(records: DataFrame, choice: str = "choice") -> DataFrame:
-    """Make `ord` of responses unique over their records: five times it plus the choice."""
-    place = F.array_position(F.array(*[F.lit(x) for x in K.CHOICES]), F.col(choice)) - 1
+    """Make `ord` of responses unique over their records: five times it plus the choice.
+
+    A choice that is none of the five is an error, as it would take another's position.
+    """
+    found = F.array_position(F.array(*[F.lit(x) for x in K.CHOICES]), F.col(choice))
+    unknown = F.raise_error(F.concat(F.lit("unknown choice: "), F.coalesce(F.col(choice), F.lit("null"))))
+    place = F.when(found > 0, found - 1).otherwise(unknown.cast("long"))
     return records.withColumn("ord", F.col("ord") * len(K.CHOICES) + place)
 
 

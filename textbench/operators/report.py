@@ -268,20 +268,29 @@ SORT_KEYS = {
 def sort_samples(items: DataFrame, sort_key: str = "original_order") -> DataFrame:
     """Add `place`, the 0-based position under a sort order.
 
-    `items` hold ord, sample_id and the score columns the key needs. A missing
-    score counts as 0; descending orders turn the id tie-break round as well.
+    `items` hold a unique ord (a repeated one is an error), sample_id and the
+    score columns the key needs. Only these are sorted; other columns are joined
+    to the positions at the end. A missing score counts as 0; descending orders turn the id tie-break round as well.
     Unknown keys keep the original order.
     """
     name, _, way = sort_key.rpartition("_")
+    needed = ["ord"]
     if sort_key == "sample_id":
+        needed = ["ord", "sample_id"]
         order = [F.col("sample_id").asc(), F.col("ord").asc()]
     elif way in ("asc", "desc") and name in SORT_KEYS:
+        needed = ["ord", "sample_id", SORT_KEYS[name]]
         score = F.coalesce(F.col(SORT_KEYS[name]), F.lit(0.0))
         ends = [score, F.col("sample_id")]
         order = [c.asc() if way == "asc" else c.desc() for c in ends] + [F.col("ord").asc()]
     else:
         order = [F.col("ord").asc()]
-    return with_sorted_position(items, order, "place")
+    placed = with_sorted_position(items.select(*needed), order, "place")
+    once = F.when(F.count(F.lit(1)) == 1, F.min("place")).otherwise(
+        F.raise_error(F.concat(F.lit("position used twice: "), F.col("ord").cast("string"))).cast("long")
+    )
+    places = placed.groupBy("ord").agg(once.alias("place"))
+    return items.join(places.withColumnRenamed("ord", "_ord"), F.col("ord").eqNullSafe(F.col("_ord"))).drop("_ord")
 
 
 def compare_prediction(items: DataFrame, preds: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -157,22 +160,37 @@ def _answers(respond: Responder, rows: list[dict]) -> list[dict]:
     return [answer for row in rows for answer in _answers(respond, [row])]
 
 
+def _kept(token: str, load: Callable[[], Responder]) -> Responder:
+    """The worker's responder of a token; a worker holds one at a time.
+
+    Functions reach a worker by value, task by task, so what outlives a task is
+    held by a module of the worker's own.
+    """
+    holder = sys.modules.setdefault("_textbench_worker", types.ModuleType("_textbench_worker"))
+    if getattr(holder, "token", None) != token:
+        holder.token = holder.respond = None
+        holder.respond = load()
+        holder.token = token
+    return holder.respond
+
+
 def apply_responder(
-    prompts: DataFrame, load: Callable[[], Responder], keys: Sequence[str]
+    prompts: DataFrame, load: Callable[[], Responder], keys: Sequence[str], token: str | None = None
 ) -> DataFrame:
     """(keys…, content, reasoning, error) of a responder over prompt rows.
 
-    `load` runs once per task and returns respond(batch), which takes row
-    dicts and gives dicts with `content`, `reasoning` and `error`. When a batch
+    `load` runs once per Python worker, which keeps what it returned for later
+    tasks of the same `token` (one per call unless given). It returns
+    respond(batch), which takes row dicts and gives dicts with `content`, `reasoning` and `error`. When a batch
     raises or gets a wrong number of answers its rows are asked one by one, and
     those that fail are recorded as failed; the job goes on.
     """
-    keys = list(keys)
+    keys, token = list(keys), token or uuid.uuid4().hex
     answer = [Ty.StructField(n, Ty.StringType()) for n in ("content", "reasoning", "error")]
     schema = Ty.StructType([prompts.schema[k] for k in keys] + answer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        respond = load()
+        respond = _kept(token, load)
         for batch in batches:
             answers = _answers(respond, batch.to_dict("records"))
             out = batch[keys].copy()
@@ -205,7 +223,7 @@ def resume_rounds(
     lost executor never makes the responder run again for rows already
     answered, and the latest answer of a row counts.
     """
-    keys = [*by, "ord"]
+    keys, token = [*by, "ord"], uuid.uuid4().hex
     path = scratch_path(spark, "responses")
     blank = apply_responder(prompts.limit(0), load, keys)
     before = blank if existing is None else existing.select(*blank.columns)
@@ -217,7 +235,7 @@ def resume_rounds(
     used = 0
     for used in range(1, rounds + 1):
         todo = pending_samples(prompts, merged(), by)
-        answered = apply_responder(todo, load, keys).withColumn("_round", F.lit(used))
+        answered = apply_responder(todo, load, keys, token).withColumn("_round", F.lit(used))
         # Written aside first: a round reads the folder that it adds to.
         fresh = scratch_path(spark, "answers")
         answered.write.parquet(fresh)
