@@ -4,9 +4,12 @@ Base spans are pattern matches that pass a check (octets, Luhn sum, number of
 digits). Beside them, generators of high recall propose spans that may overlap
 (addresses in other spellings, numbers without a plus sign, keys and
 passwords). Boosted trees score each by its format and its context; a threshold
-per kind, calibrated on held-out candidates, decides. The trees are fitted on
-the driver to a bounded sample (`SAMPLE_DOCUMENTS`) whose labels come from the
-checks and from key words next to the span, which the trees do not see; they
+per kind, calibrated on held-out candidates, decides. The trees are fitted to the
+candidates of all rows, whose labels come from the checks and from key words
+next to the span, which the trees do not see. Spark counts the candidates by
+label and rounded features. Up to `HERE` such counts go to the driver, which picks
+the cuts; beyond, Spark sums gradients by feature and value in each round and only those
+sums, whose number does not grow with the rows, reach the driver. The trees
 become one SQL expression.
 
 Everything runs inside a row with DataFrame functions; there is no shuffle of
@@ -22,13 +25,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textbench.llm.scratch import discard, stored
+
 KINDS = ["email", "ip", "card", "phone", "secret"]
-SAMPLE_DOCUMENTS = 10_000
-SAMPLE_CANDIDATES = 40_000
 #: Share of true spans that the selected candidates of a kind must reach on held-out ones.
 PRECISION = 0.95
 TREES = 16
 RATE = 0.4
+RIDGE = 1.0
+#: Gradients are summed as whole multiples of 1 / PARTS, scores are cut at multiples of 1 / STEPS up to MOST_RAW.
+PARTS, STEPS, MOST_RAW = 1 << 28, 1024, 32.0
+#: Different candidates up to which their counts go to the driver; of more, Spark sums in each round. The trees are the same.
+HERE = 50_000
 
 # A match may start where a run of its first characters starts, or where the last match ended.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -219,20 +227,20 @@ class Tree:
         return F.when(x[self.top[0]] <= self.top[1], leaf(self.low, a, b)).otherwise(leaf(self.high, c, d))
 
 
-def _best_cut(x, g, h, ridge=1.0):
-    """Best (gain, feature, limit) of one cut."""
+def _best_cut(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[float, int, float]:
+    """Best (gain, feature, limit) of one cut, from the sums at each value of each feature."""
     best = (0.0, 0, float("inf"))
-    whole = g.sum() ** 2 / (h.sum() + ridge)
-    for k in range(x.shape[1]):
-        values, place = np.unique(x[:, k], return_inverse=True)
+    g, h = parts[0][1].sum(), parts[0][2].sum()
+    whole = g**2 / (h + RIDGE)
+    for k, (values, at_g, at_h) in enumerate(parts):
         if len(values) < 2:
             continue
-        a = np.bincount(place, g, len(values)).cumsum()[:-1]
-        b = np.bincount(place, h, len(values)).cumsum()[:-1]
-        gain = a**2 / (b + ridge) + (g.sum() - a) ** 2 / (h.sum() - b + ridge) - whole
+        a, b = at_g.cumsum()[:-1], at_h.cumsum()[:-1]
+        gain = a**2 / (b + RIDGE) + (g - a) ** 2 / (h - b + RIDGE) - whole
         at = int(gain.argmax())
         if gain[at] > best[0] + 1e-9:
-            best = (float(gain[at]), k, float((values[at] + values[at + 1]) / 2))
+            # Features are whole numbers, rounded down: all below the next value go left.
+            best = (float(gain[at]), k, float(values[at + 1]) - 0.5)
     return best
 
 
@@ -245,29 +253,64 @@ class Boosted:
         return self.start + sum((t.value(x) for t in self.trees), np.zeros(len(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Gradient boosting of shallow trees with the logistic loss."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    model = Boosted(float(np.log(share / (1 - share))), [])
-    f = np.full(len(y), model.start)
-    for _ in range(TREES if 0 < y.sum() < len(y) else 0):
-        p = 1 / (1 + np.exp(-f))
-        g, h = y - p, p * (1 - p)
-        gain, k, limit = _best_cut(x, g, h)
-        if gain <= 1e-6:
+def grow(counts: dict[str, tuple[int, int]], sums) -> dict[str, Boosted]:
+    """Gradient boosting of shallow trees with the logistic loss, for all kinds side by side.
+
+    `counts` has the rows and the true rows of each kind. `sums(models, tops)` gives per (kind, side)
+    the values of each feature with their sums of gradients and of second derivatives; the side
+    is that of the kind's cut in `tops`, 0 where `tops` is None.
+    """
+    models, growing = {}, []
+    for kind, (n, true) in counts.items():
+        share = (true + 0.5) / (n + 1)
+        models[kind] = Boosted(float(np.log(share / (1 - share))), [])
+        if 0 < true < n:
+            growing.append(kind)
+    for _ in range(TREES):
+        found = sums({kind: models[kind] for kind in growing}, None) if growing else {}
+        cuts = {kind: _best_cut(found[kind, 0]) for kind in growing}
+        growing = [kind for kind in growing if cuts[kind][0] > 1e-6]
+        if not growing:
             break
-        left = x[:, k] <= limit
-        cuts, leaves = [], []
-        for side in (left, ~left):
-            _, k2, limit2 = _best_cut(x[side], g[side], h[side])
-            cuts.append((k2, limit2))
-            inner = side & (x[:, k2] <= limit2)
-            for part in (inner, side & ~inner):
-                leaves.append(RATE * float(g[part].sum() / (h[part].sum() + 1.0)))
-        tree = Tree((k, limit), cuts[0], cuts[1], tuple(leaves))
-        model.trees.append(tree)
-        f += tree.value(x)
-    return model
+        tops = {kind: cuts[kind][1:] for kind in growing}
+        found = sums({kind: models[kind] for kind in growing}, tops)
+        for kind in growing:
+            below, leaves = [], []
+            for side in (0, 1):
+                _, k, limit = _best_cut(found[kind, side])
+                below.append((k, limit))
+                values, g, h = found[kind, side][k]
+                for part in (values <= limit, values > limit):
+                    leaves.append(RATE * float(g[part].sum() / (h[part].sum() + RIDGE)))
+            models[kind].trees.append(Tree(tops[kind], below[0], below[1], tuple(leaves)))
+    return models
+
+
+def _sums_here(kind: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray):
+    """`sums` of `grow` over rows in memory that stand for `n` rows each."""
+
+    def sums(models, tops):
+        out = {}
+        for name, model in models.items():
+            at = np.flatnonzero(kind == name)
+            p = 1 / (1 + np.exp(-model.raw(x[at])))
+            weights = [np.floor(w * PARTS + 0.5) / PARTS * n[at] for w in (y[at] - p, p * (1 - p))]
+            side = x[at, tops[name][0]] > tops[name][1] if tops else np.zeros(len(at), bool)
+            for s in np.unique(side).tolist():
+                parts = []
+                for k in range(x.shape[1]):
+                    values, place = np.unique(x[at[side == s], k], return_inverse=True)
+                    parts.append((values, *(np.bincount(place, w[side == s], len(values)) for w in weights)))
+                out[name, int(s)] = parts
+        return out
+
+    return sums
+
+
+def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
+    """`grow` on whole numbers in memory."""
+    sums = _sums_here(np.full(len(y), "", object), x, y, np.ones(len(y)))
+    return grow({"": (len(y), int(y.sum()))}, sums)[""]
 
 
 @dataclass
@@ -287,16 +330,15 @@ class Detector:
         return out
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str) -> list:
-    """Bounded sample of candidates with features, from documents chosen by a hash of the id."""
-    chosen = (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"))
-        .distinct()
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(SAMPLE_DOCUMENTS)
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+def rounded(value: Column) -> Column:
+    """A whole number rounded down to its five leading bits: each below 32, then 16 in a doubling."""
+    low = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(kind, held, y, x, n): how many candidates of all rows share label and rounded features."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # Base spans are true examples of their kind; proposals are judged by key words beside them.
     found = _with_matches(rows, GENERATORS, "_c")
     every = F.concat(*[F.col(f"_c{k}") for k in range(len(GENERATORS))])
@@ -308,42 +350,96 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> list:
     for kind, pattern in BASE.items():
         whole = c["m"].rlike(f"^(?:{pattern})$")
         strong = strong | ((c["kind"] == kind) & F.when(whole, valid(kind, c["m"])).otherwise(F.lit(False)))
+    held = F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 0
     table = spans.select(
-        "_id",
         c["kind"].alias("kind"),
-        c["start"].alias("start"),
+        F.coalesce(held, F.lit(False)).alias("held"),
         strong.cast("int").alias("y"),
-        F.array(*[f(c).cast("double") for f in FEATURES.values()]).alias("x"),
-        (F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 0).alias("held"),
+        F.array(*[rounded(f(c)) for f in FEATURES.values()]).alias("x"),
     )
-    return table.orderBy(F.xxhash64("_id", "start"), "_id", "start", "kind").limit(SAMPLE_CANDIDATES).collect()
+    return table.groupBy("kind", "held", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_kind(models: dict[str, Boosted]) -> Column:
+    """Raw score of a row of `_labelled`, as SQL text: it is made anew in each round."""
+
+    def cut(at, a, b):
+        return f"if(get(x, {at[0]}) <= double('{at[1]}'), {a}, {b})"
+
+    def total(model):
+        parts = [f"double('{model.start}')"]
+        for tree in model.trees:
+            a, b, c, d = (f"double('{leaf}')" for leaf in tree.leaves)
+            parts.append(cut(tree.top, cut(tree.low, a, b), cut(tree.high, c, d)))
+        return " + ".join(parts)
+
+    return F.expr(f"case {' '.join(f"when kind = '{kind}' then {total(model)}" for kind, model in models.items())} end")
+
+
+def _sums_of(table: DataFrame):
+    """`sums` of `grow` over a table of `_labelled`; a row per kind, side, feature and value reaches the driver.
+
+    Terms are whole multiples of 1 / `PARTS`, so that their order does not matter.
+    """
+
+    def sums(models, tops):
+        p = 1 / (1 + F.exp(-F.col("_raw")))
+        sides = " ".join(f"when kind = '{kind}' and get(x, {k}) > {limit} then 1" for kind, (k, limit) in (tops or {}).items())
+        side = F.expr(f"case {sides} else 0 end") if sides else F.lit(0)
+        rows = table.where(F.col("kind").isin(*models)).withColumn("_raw", _by_kind(models))
+        rows = rows.select(
+            "kind",
+            side.alias("side"),
+            (F.round((F.col("y") - p) * PARTS).cast("long") * F.col("n")).alias("g"),
+            (F.round(p * (1 - p) * PARTS).cast("long") * F.col("n")).alias("h"),
+            F.posexplode("x").alias("feature", "value"),
+        )
+        found = rows.groupBy("kind", "side", "feature", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        out: dict = {}
+        for r in sorted(found.collect(), key=lambda r: r.value):
+            parts = out.setdefault((r.kind, r.side), [([], [], []) for _ in FEATURES])
+            for kept, v in zip(parts[r.feature], (r.value, r.g / PARTS, r.h / PARTS)):
+                kept.append(v)
+        return {at: [tuple(np.array(v, float) for v in part) for part in parts] for at, parts in out.items()}
+
+    return sums
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector:
-    """Trees per kind, and thresholds that keep `PRECISION` on held-out candidates.
+    """Trees per kind, and thresholds that keep `PRECISION` on held-out candidates, from all rows.
 
     A kind whose held-out candidates never reach the precision, or that has no
     true examples, gets no model and proposes nothing.
     """
-    rows = _labelled(docs, id_col, text_col)
+    spark = docs.sparkSession
+    table, path = stored(_labelled(docs, id_col, text_col), "spans")
+    totals = table.groupBy("kind", "held").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("true"))
+    counts = {(r.kind, r.held): (r.n, r.true) for r in totals.collect()}
+    both = [k for k in KINDS if all(counts.get((k, held), (0, 0))[1] for held in (False, True))]
+    known = table.where(~F.col("held") & F.col("kind").isin(both))
+    if known.count() <= HERE:
+        rows = known.select("kind", "x", "y", "n").collect()
+        x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
+        y, n = (np.array([r[c] for r in rows], float) for c in ("y", "n"))
+        sums = _sums_here(np.array([r.kind for r in rows], object), x, y, n)
+    else:
+        sums = _sums_of(known)
+    grown = grow({k: counts[k, False] for k in both}, sums)
     models = {}
-    for kind in KINDS:
-        own = [r for r in rows if r.kind == kind]
-        x = np.array([r.x for r in own], float).reshape(len(own), len(FEATURES))
-        y = np.array([r.y for r in own], float)
-        held = np.array([r.held for r in own], bool)
-        if not y[~held].any() or not y[held].any():
-            continue
-        model = boost(x[~held], y[~held])
-        f = model.raw(x[held])
-        order = np.argsort(-f, kind="stable")
-        right = np.cumsum(y[held][order])
-        precise = right / np.arange(1, len(order) + 1) >= PRECISION
-        # The lowest score down to which every prefix cut at it is precise enough; equal scores go together.
-        last = np.append(f[order][1:] < f[order][:-1], True)
-        ok = np.flatnonzero(precise & last)
-        if len(ok):
-            models[kind] = (model, float(f[order][ok[-1]]) - 1e-9)
+    if grown:
+        # Scores in steps: a row per kind and step reaches the driver.
+        step = F.floor(F.greatest(F.least(_by_kind(grown), F.lit(MOST_RAW)), F.lit(-MOST_RAW)) * STEPS).alias("step")
+        scored = table.where(F.col("held") & F.col("kind").isin(*grown)).select("kind", step, "n", "y")
+        at = scored.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("true"))
+        rows = sorted(at.collect(), key=lambda r: -r.step)
+        for kind, model in grown.items():
+            own = np.array([(r.step, r.n, r.true) for r in rows if r.kind == kind], np.int64)
+            n, true = own[:, 1].cumsum(), own[:, 2].cumsum()
+            # The lowest score at which the held-out spans above are precise enough; equal scores go together.
+            ok = np.flatnonzero(true / n >= PRECISION)
+            if len(ok):
+                models[kind] = (model, float(own[ok[-1], 0]) / STEPS - 1e-9)
+    discard(spark, path)
     return Detector(models)
 
 
