@@ -1,8 +1,8 @@
 """ROUGE-1, ROUGE-2 and ROUGE-L of token arrays.
 
 All three are functions of one row, so they run inside the task that holds the
-row and need no shuffle. A batch is scored as a whole over its flat Arrow buffers: tokens
-become numbers once, n-grams are counted by sorting, and the longest common subsequences
+row and need no shuffle. A batch is scored in pieces of bounded tokens over flat Arrow buffers: tokens
+of a piece become numbers once, n-grams are counted by sorting, and the longest common subsequences
 of all rows grow side by side.
 
 The subsequence is found from match points (Hunt and Szymanski 1977): `piles` holds
@@ -14,6 +14,8 @@ of a step, never the product of two texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 SCORES = "rouge_1_f double, rouge_2_f double, rouge_l_f double"
 #: Match points of one row from which bit vectors are cheaper, and bytes of masks that are kept for them.
 DENSE, MASK_BYTES = 20_000_000, 64 << 20
+#: Tokens of both sides that are scored at once.
+PIECE = 1 << 17
 
 
 def f_measures(hits: np.ndarray, predicted: np.ndarray, referenced: np.ndarray) -> np.ndarray:
@@ -156,7 +160,25 @@ def lcs_lengths(a: Tokens, b: Tokens) -> np.ndarray:
     return out + np.bincount(owner[piles < base[owner] + none], minlength=rows)
 
 
+def pieces_of(preds: pa.Array, refs: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that hold PIECE tokens of both sides, or one row that holds more."""
+    tokens = sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (preds, refs))
+    ends = np.cumsum(tokens)
+    low = 0
+    while low < len(ends):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        yield low, high
+        low = high
+
+
 def score_arrays(preds: pa.Array, refs: pa.Array) -> pa.Array:
+    """Scores of a batch, piece by piece: memory follows a piece and not the rows of a batch."""
+    found = [_score_piece(preds.slice(low, high - low), refs.slice(low, high - low)) for low, high in pieces_of(preds, refs)]
+    return pa.concat_arrays(found) if found else _score_piece(preds, refs)
+
+
+def _score_piece(preds: pa.Array, refs: pa.Array) -> pa.Array:
     a, b = both_tokens(preds, refs)
     rows = len(a.lengths)
     one = shared_counts(a.codes, a.row, b.codes, b.row, rows)
