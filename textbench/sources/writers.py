@@ -16,23 +16,14 @@ from textbench.sources.commits import commit_tables
 from textbench.sources.schemas import EXPERIMENT
 
 
-#: Rows of one experiment that a single task writes, about.
-ROWS_PER_FILE = 1_000_000
+def clustered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of a key together in as many tasks as its bytes need.
 
-
-def clustered(df: DataFrame, by: Sequence[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Rows of a key together in as many tasks as its rows need.
-
-    Without it every task writes a file for each key it meets. Keys are counted
-    (a row per key and task); large ones are dealt over several tasks by a salt.
+    Without it every task writes a file for each key it meets. Adaptive execution splits
+    keys whose shuffled bytes pass `spark.sql.adaptive.advisoryPartitionSizeInBytes`, also those of
+    equal rows, and joins small ones; without it a key is one task's.
     """
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in by], "_files")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
-    others = [c for c in df.columns if c not in by]
-    salt = F.pmod(F.xxhash64(*others) if others else F.lit(0), F.col("_files"))
-    dealt = df.join(sizes, same).withColumn("_salt", salt)
-    return dealt.repartition(*by, "_salt").select(*df.columns)
+    return df.hint("rebalance", *[F.col(k) for k in by])
 
 
 def write_responses(
