@@ -570,6 +570,35 @@ def test_similar_lists_in_pieces(spark, monkeypatch):
     assert {r.component_id for r in simhash.similar_groups(df).collect()} == {0}
 
 
+def test_similar_fingerprints_are_majorities():
+    """Candidates of near copies come from majority votes, of whole sets and of parts of them."""
+    rng = np.random.default_rng(41)
+    for size in (4, 5, 9, 40, 159, 160, 700, 3000):
+        found = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        single = np.array([np.unpackbits(simhash.wide_fingerprint(found[k : k + 1])) for k in range(size)])
+        want = single.sum(axis=0, dtype=np.int64) * 2 > size
+        assert (np.unpackbits(simhash.wide_fingerprint(found)) == want).all()
+        level = simhash._level(size)
+        prints, many = simhash.part_fingerprints(found, level)
+        ones = [simhash.part_fingerprints(found[k : k + 1], level) for k in range(size)]
+        for band in range(simhash.BANDS):
+            votes = [np.unpackbits(p[band]) for p, n in ones if n[band]]
+            assert len(votes) == many[band]
+            if votes:
+                assert (np.unpackbits(prints[band]) == (np.sum(votes, axis=0) * 2 > len(votes))).all()
+        # Sets at the limit, one with shingles of its own or both, share lists and pass both bounds.
+        for own in (0, 1) * 20:
+            union = rng.permutation(np.unique(rng.integers(0, 1 << 64, size, np.uint64)))
+            shared = int(np.ceil(0.8 * size))
+            cut = (size + shared) // 2 if own else size
+            a, b = np.sort(union[:cut]), np.sort(np.append(union[:shared], union[cut:]))
+            if shared < size:
+                assert len(np.intersect1d(simhash.list_keys(a, 0.8), simhash.list_keys(b, 0.8)))
+            x, y = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
+            least, most = simhash.bounds_at(0.8, simhash.TIES if size <= 5 else simhash.LEAST_TIES)
+            assert (x == y).sum() >= least and np.bitwise_count(x ^ y).sum() <= most
+
+
 def test_simhash_lists_in_pieces(spark):
     rng = np.random.default_rng(7)
     base = int(rng.integers(0, 1 << 62))

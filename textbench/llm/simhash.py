@@ -15,11 +15,13 @@ task. Each comparison gives a spanning forest of its links and never all pairs:
 components are the same, and the output of a list is linear in its length.
 
 `similar_groups` serves copies at a Jaccard similarity of 0.8 over five-word
-shingles, which majority bits cannot tell apart surely. It keeps the method with bytes of
-a set's least hashes: two sets agree in a byte as often as they are similar. A text is posted
-under `BANDS` groups of `ROWS` positional bytes; a list tallies the bytes that two
-texts share in place and keeps pairs that reach a count which pairs at the limit
-miss with a chance below one in a million, as they miss all common lists. Short lists give all
+shingles, which differ in more bits than an index of 64 can allow. It keeps the method with
+wider fingerprints. The set of shingles is dealt to `BANDS` parts of a few by their
+hashes, and each part has a majority fingerprint of `ROWS` bytes; parts that two texts
+share whole have equal ones. A text is posted under these groups of positional bytes. A list
+tallies the bytes in place that two texts share in the `PLACES` bytes of a majority
+fingerprint of their whole sets, keeps pairs that reach a count, and counts their differing bits;
+pairs at the limit miss either with a chance of about one in a million. Short lists give all
 pairs that pass, longer ones a spanning forest; the exact similarity of the sets
 is computed once a pair. Entries of longer lists that are still apart give their
 pairs in turn; where these are many, the entries meet with their whole sets, and
@@ -200,9 +202,15 @@ WIDE_WORDS = 5
 SIMILARITY = 0.8
 #: Lists of so many entries give all their pairs.
 SHORT = 8
-#: Positional bytes of a set: 32 groups of five. Pairs at 0.8 share none of the groups once in 300,000.
+#: Parts of a set and the bytes of their fingerprints.
 BANDS, ROWS = 32, 5
-PLACES = BANDS * ROWS
+#: Parts hold so many shingles on average, or up to twice as many; parts of fewer than two are not posted.
+PART = 2.5
+#: Bytes of the fingerprint of a whole set.
+PLACES = 128
+#: Bits of two sets differ more often than the angle between them says where votes are few: by
+#: 1.24 with five shingles, by 1.064 with more (exact sums over all pairs of sizes up to 140 at 0.8).
+TIES, LEAST_TIES = 1.24, 1.064
 #: Ids up to which they are sent to all tasks, so that texts stay where they are.
 SENT = 1 << 20
 _EXACT = 1e-9
@@ -235,40 +243,82 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-#: Odd factors; the upper and the lower half of a product are two hashes.
-_TURNS = np.random.default_rng(5).integers(1 << 62, (1 << 64) - 1, (PLACES // 2, 1), np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Added to a shingle's hash for the words of its votes; the others are for samples, and for votes and deals of parts.
+_TURNS = np.arange(1, PLACES // 8 + BANDS + 3, dtype=np.uint64) * _STEP
+_WIDE, _DRAW, _DEAL = np.split(_TURNS, [PLACES // 8, PLACES // 8 + 1])
+_ROWS_OF = np.arange(BANDS)[:, None]
 
 
-def least_bytes(found: np.ndarray) -> np.ndarray:
-    """PLACES bytes of a set, each of its least element under another hash."""
-    least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
-    for part in range(0, len(found), 4096):
-        turned = found[part : part + 4096] * _TURNS
-        turned ^= turned >> np.uint64(29)
-        upper = (turned.min(axis=1) >> np.uint64(32)).astype(np.uint32)
-        lower = turned.astype(np.uint32).min(axis=1)
-        least = np.minimum(least, np.concatenate([upper, lower]))
-    return (mix(least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """PLACES bytes: majority votes of the hashes of a set of shingles."""
+    votes = np.zeros(PLACES * 8, np.int64)
+    for part in range(0, len(found), 255):
+        hashes = mix(mix(found[part : part + 255, None] + _WIDE))
+        # At most 255 votes fit a byte.
+        votes += np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(found))
 
 
-def least_shared(similarity: float) -> int:
-    """Bytes that two sets of this similarity share in place, but for a chance of one in a million."""
-    chance = similarity + (1 - similarity) / 256
-    return int(PLACES * chance - 4.9 * np.sqrt(PLACES * chance * (1 - chance)))
+def _level(many: float) -> int:
+    """Parts of so large a set are 2 ** level."""
+    return max(1, int(np.floor(np.log2(many / PART))))
 
 
-def _described():
-    """Struct of digest, size, bytes and list keys of each text."""
+def part_fingerprints(found: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(BANDS rows of ROWS bytes, their votes): majority fingerprints of parts of a set.
+
+    A set with fewer than BANDS parts is dealt several times. Of one with more, BANDS are
+    taken, those of a sample by hash. Equal sets of shingles are dealt alike.
+    """
+    few = min(level, BANDS.bit_length() - 1)
+    if level > few:
+        found = found[mix(found + _DRAW) & np.uint64((1 << (level - few)) - 1) == 0]
+    deals = BANDS >> few
+    # A row of hashes for the votes, and one for each deal.
+    hashes = mix(mix(found + _DEAL[: deals + 1, None]))
+    part = (hashes[1:] >> np.uint64(64 - few)).astype(np.int64)
+    member = np.zeros((deals, 1 << few, len(found)), np.float32)
+    member[_ROWS_OF[:deals], part, np.arange(len(found))] = 1
+    member = member.reshape(BANDS, len(found))
+    bits = np.unpackbits(hashes[0].view(np.uint8).reshape(-1, 8)[:, :ROWS], axis=1)
+    many = member.sum(axis=1)
+    return np.packbits(member @ bits.astype(np.float32) * 2 > many[:, None], axis=1), many
+
+
+def list_keys(found: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the lists of a set: level, part and bytes of the parts' fingerprints.
+
+    Sets of this similarity have a level in common: that of the larger one, which the
+    smaller one reaches with the largest size that a set like it can have.
+    """
+    keys = [np.zeros(0, np.uint64)]
+    for level in {_level(len(found)), _level(len(found) / similarity + _EXACT)}:
+        prints, many = part_fingerprints(found, level)
+        wide = np.zeros((BANDS, 8), np.uint8)
+        wide[:, :ROWS] = prints
+        wide[:, ROWS], wide[:, ROWS + 1] = _ROWS_OF[:, 0], level
+        keys.append(mix(wide[many >= 2].view(np.uint64).ravel()))
+    return np.concatenate(keys).view(np.int64)
+
+
+def bounds_at(similarity: float, ties: float = LEAST_TIES) -> tuple[int, int]:
+    """Bytes in place that two sets of this similarity share at least, and bits that differ at
+    most, each but for a chance of about one in a million."""
+    flip = ties * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    same, bits = (1 - flip) ** 8, PLACES * 8
+    least = PLACES * same - 4.9 * np.sqrt(PLACES * same * (1 - same))
+    return max(0, int(least)), int(bits * flip + 4.9 * np.sqrt(bits * flip * (1 - flip))) + 1
+
+
+def _described(similarity: float):
+    """Struct of digest, size, fingerprint and list keys of each text."""
 
     def run(texts: pa.Array) -> pa.Array:
         rows = [(b"", 0, bytes(PLACES), [])] * len(texts)
-        band = np.arange(BANDS, dtype=np.uint64)
         for row, found in shingle_sets(texts):
-            least = least_bytes(found)
-            keys = np.zeros((BANDS, 8), np.uint8)
-            keys[:, :ROWS] = least.reshape(BANDS, ROWS)
-            keys = mix(keys.view(np.uint64).ravel() + (band << np.uint64(8 * ROWS))).view(np.int64)
-            rows[row] = (xxhash.xxh3_128_digest(found.tobytes()), len(found), least.tobytes(), keys)
+            wide, keys = wide_fingerprint(found).tobytes(), list_keys(found, similarity)
+            rows[row] = (xxhash.xxh3_128_digest(found.tobytes()), len(found), wide, keys)
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         parts = [pa.array(list(part), kind) for part, kind in zip(zip(*rows) if rows else [()] * 4, kinds)]
         return pa.StructArray.from_arrays(parts, ["_print", "_size", "_sketch", "_first"])
@@ -289,13 +339,18 @@ class _Entries:
         self.ids = batch.column("_id").to_numpy()
         self.size = batch.column("_size").to_numpy().astype(np.int64)
         flat = np.frombuffer(b"".join(batch.column("_sketch").to_pylist()), np.uint8)
-        self.sketch = flat.reshape(len(self.ids), PLACES)
-        self.least = least_shared(similarity)
+        self.sketch = flat.view(np.uint64).reshape(len(self.ids), PLACES // 8)
+        self.bounds = np.array([bounds_at(similarity, TIES), bounds_at(similarity)])
 
     def pass_(self, u, v: np.ndarray) -> np.ndarray:
         most = _apart(self.size[u] + self.size[v], self.similarity)
-        fit = np.abs(self.size[u] - self.size[v]) <= most
-        return fit & ((self.sketch[u] == self.sketch[v]).sum(axis=1) >= self.least)
+        near = np.abs(self.size[u] - self.size[v]) <= most
+        x = self.sketch[u] ^ self.sketch[v]
+        larger = np.maximum(self.size[u], self.size[v])
+        least, bits = self.bounds[(larger > 5).astype(int)].T
+        near[near] = shared_bytes(x[near]).sum(axis=1) >= least[near]
+        near[near] = np.bitwise_count(x[near]).sum(axis=1) <= bits[near]
+        return near
 
     def near(self, u: int, rest: np.ndarray) -> np.ndarray:
         return rest[self.pass_(u, rest)]
@@ -480,13 +535,13 @@ def similar_groups(
     """(id, component_id) of the rows that have an id: groups of near copies.
 
     Linked are the texts whose sets of five-word shingles have this Jaccard
-    similarity or more (each pair but for a chance of about one in 300,000 at 0.8, less
+    similarity or more (each pair but for a chance of at most about one in 100,000 at 0.8, less
     above it), and no others; `component_id` is the smallest id reachable. Texts without words are copies of each other.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_row"), F.col(text_col).alias("_text")
     )
-    prints = cut(texts.select("_row", _described()("_text").alias("_d")).select("_row", "_d.*"))
+    prints = cut(texts.select("_row", _described(similarity)("_text").alias("_d")).select("_row", "_d.*"))
     same = [F.first(c).alias(c) for c in ("_size", "_sketch", "_first")]
     classes = cut(prints.groupBy("_print").agg(F.min("_row").alias("_id"), *same))
     joined = components(similar_links(texts, classes, similarity), "_a", "_b")
