@@ -257,7 +257,7 @@ def _array_files(fx, groups: int):
 def _(fx):
     # Every file starts at position 0, so positions run over all files first.
     read = elements.read_elements(fx.spark, _array_files(fx, 64))
-    items = readers.number_files(readers.read_items(read))
+    items = readers.number_files(readers.read_items(read).select("path", "ord", "sample_id"))
     # Items of a group lie in one file in their order, so the first of a base id is that of rest 0.
     return curate.dedup_first(items.select("sample_id", "ord")).select("sample_id")
 

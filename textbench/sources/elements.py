@@ -24,10 +24,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textbench.session import scratch_path
+from textbench.session import stored
 
 # Names under which a file keeps its rows, in the order they are tried.
 LAYOUTS = ("samples", "interactions")
@@ -97,32 +98,39 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes, b
     """
     last = None
     for batch in batches:
-        paths, starts = batch.column("path").to_pylist(), batch.column("start").to_numpy()
+        paths, starts = batch.column("path"), batch.column("start").to_numpy()
+        if not len(paths):
+            continue
+        other = pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False) | (starts[1:] != starts[:-1])
+        new = [0, *(np.flatnonzero(other) + 1).tolist(), len(paths)]
+        # A batch has few ranges and many fragments.
         values = batch.column("bytes").to_pylist()
-        new = [i for i in range(len(paths)) if not i or starts[i] != starts[i - 1] or paths[i] != paths[i - 1]]
-        for a, b in zip(new, [*new[1:], len(paths)]):
-            name = paths[a], int(starts[a])
+        for a, b in zip(new, new[1:]):
+            name = paths[a].as_py(), int(starts[a])
             extra = {c: batch.column(c)[a].as_py() for c in batch.schema.names if c not in ("path", "start", "bytes")}
             yield name, b",".join([*values[a:b], b""]), name != last, extra
             last = name
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: path, start, quotes, outer and inner change of depth."""
-    now, sums = None, [0, 0, 0]
+    """First pass: path, start, quotes, outer and inner change of depth, and whether a file is a bare array.
+
+    The first bytes of a file tell its form; other ranges have null.
+    """
+    now, sums, bare = None, [0, 0, 0], None
 
     def row():
-        values = [[now[0]], [now[1]], *[[s] for s in sums]]
-        kinds = [pa.string()] + [pa.int64()] * 4
+        values = [*now, *sums, bare]
+        kinds = [pa.string()] + [pa.int64()] * 4 + [pa.bool_()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(values, kinds)], ["path", "start", "quotes", "outer", "inner"]
+            [pa.array([v], k) for v, k in zip(values, kinds)], ["path", "start", "quotes", "outer", "inner", "bare"]
         )
 
     for name, raw, fresh, _ in _ranges(batches):
         if fresh:
             if now:
                 yield row()
-            now, sums = name, [0, 0, 0]
+            now, sums, bare = name, [0, 0, 0], None if name[1] else _bare(raw)
         data = np.frombuffer(raw, np.uint8)
         quotes = _real_quotes(data)
         odd = (np.cumsum(quotes) + sums[0]) % 2 == 1
@@ -133,12 +141,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _starts(ranges: DataFrame) -> DataFrame:
-    """path, start, inside, depth: the true start of each range, from running sums."""
+    """path, start, inside, depth, bare: the true start of each range, from running sums."""
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     known = ranges.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
     change = F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))
     return known.withColumn("depth", F.coalesce(F.sum(change).over(before), F.lit(0))).select(
-        "path", "start", "inside", "depth"
+        "path", "start", "inside", "depth", F.max("bare").over(Window.partitionBy("path")).alias("bare")
     )
 
 
@@ -264,12 +272,6 @@ def _with_starts(rows: DataFrame, starts: DataFrame, ranges: int) -> DataFrame:
     return met.sortWithinPartitions("path", "start", "_seq").drop("_seq")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _arrays_of(segments: DataFrame) -> DataFrame:
     """path, start, segment, layout, before, pieces of the array that is read of each file.
 
@@ -301,13 +303,11 @@ def read_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     last when the result is read. A compressed file is one range.
     """
     rows = fragments(spark, path)
-    ranges = _stored(rows.mapInArrow(_summed, "path string, start long, quotes long, outer long, inner long"), "ranges")
-    # The first bytes of a file tell its form.
-    first = rows.where("start = 0").mapInArrow(_first_bytes, "path string, bare boolean")
-    starts = _starts(ranges).join(first.groupBy("path").agg(F.max("bare").alias("bare")), "path")
-    starts, many = _stored(starts, "starts"), ranges.count()
-    segments = _stored(_with_starts(rows, starts, many).mapInArrow(_counted, _SEGMENTS), "segments")
-    arrays = _stored(_arrays_of(segments), "arrays")
+    sums = "path string, start long, quotes long, outer long, inner long, bare boolean"
+    ranges = stored(rows.mapInArrow(_summed, sums), "ranges")
+    starts, many = stored(_starts(ranges), "starts"), ranges.count()
+    segments = stored(_with_starts(rows, starts, many).mapInArrow(_counted, _SEGMENTS), "segments")
+    arrays = stored(_arrays_of(segments), "arrays")
     wanted = arrays.groupBy("path", "start").agg(F.collect_list(F.struct("segment", "layout", "before")).alias("wanted"))
     whole = _with_starts(rows, starts.join(wanted, ["path", "start"]), many)
     whole = whole.mapInArrow(_given_out, "path string, layout string, ord long, raw binary")
@@ -320,13 +320,3 @@ def read_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     text = F.col("raw").cast("string")
     out = out.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
     return out.withColumn("raw", F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0)))
-
-
-def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
-    for name, raw, fresh, _ in _ranges(batches):
-        if fresh and name != last:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name[0]]), pa.array([_bare(raw)])], ["path", "bare"]
-            )
-        last = name

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from textbench import constants as K
 from textbench.functions import text as T
+from textbench.session import stored
 from textbench.sources import schemas as S
 from textbench.sources.elements import LAYOUTS
 
@@ -64,7 +65,12 @@ def number_files(rows: DataFrame) -> DataFrame:
     A file's rows are counted (a row per file); the running sum over files has
     two levels, 4,096 hashed folders of paths and the paths inside them, so no
     task sees all paths. The order is that of the paths inside a folder group.
+
+    The rows are written to the shared folder first: they are read for the counts and
+    again by each use of the result, and files would be read and parsed as often. Leave out
+    columns that are not needed.
     """
+    rows = stored(rows, "numbered")
     sizes = rows.groupBy("path").agg((F.max("ord") + 1).alias("_rows"))
     sizes = sizes.withColumn("_group", F.pmod(F.xxhash64("path"), F.lit(4096)))
     inside = Window.partitionBy("_group").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
