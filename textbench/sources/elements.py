@@ -318,5 +318,5 @@ def read_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     joined = F.aggregate("_parts", F.lit(b""), lambda all_of, p: F.concat(all_of, p["bytes"]))
     out = whole.unionByName(parts.select("path", "layout", "ord", joined.alias("raw")))
     text = F.col("raw").cast("string")
-    out = out.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
+    out = out.where(text.rlike(r"\S"))
     return out.withColumn("raw", F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0)))
