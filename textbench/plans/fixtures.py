@@ -8,12 +8,15 @@ from the rows themselves.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ["documents", "labels", "conversations", "events"]
 TEXTS = ["documents", "conversations"]
+# The space separators of Unicode, which DuckDB's trim takes off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,13 @@ class Dialect:
         out = f"replace({out}, chr(34), concat(chr(92), chr(34)))"
         return f"replace({out}, chr(10), concat(chr(92), 'n'))"
 
+    def spelled(self, sql: str) -> str:
+        """`concat` leaves out nulls and `trim` takes off every space separator, as in DuckDB."""
+        if self.name == "spark":
+            sql = re.sub(r"\bconcat\(", "concat_ws('', ", sql)
+            sql = re.sub(r"\btrim\(", f"trim(BOTH '{SPACES}' FROM ", sql)
+        return sql
+
 
 SPARK, DUCK = Dialect("spark"), Dialect("duck")
 
@@ -286,7 +296,7 @@ def with_tables(names: list[str], query: str, dialect: Dialect = DUCK) -> str:
     """The query under a WITH clause of the tables it names."""
     if not names:
         return query
-    ctes = [f"{n} AS ({_TABLES[n][0](dialect)})" for n in _ordered(names)]
+    ctes = [f"{n} AS ({dialect.spelled(_TABLES[n][0](dialect))})" for n in _ordered(names)]
     rest = query.lstrip()
     # A query with its own WITH continues the list.
     if rest[:5].upper() == "WITH ":
